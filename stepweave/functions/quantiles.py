@@ -115,11 +115,16 @@ def column_quantiles(
         distinct_per_task = setting(df.sparkSession, DISTINCT_PER_TASK_KEY, DISTINCT_PER_TASK)
     df = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     names = df.columns
-    sizes = df.agg(
-        *[F.count(c).alias(f"n_{c}") for c in names], *[F.approx_count_distinct(c).alias(f"d_{c}") for c in names]
-    ).first()
-    counts = [sizes[f"n_{c}"] for c in names]
-    if all(sizes[f"d_{c}"] <= distinct_per_task for c in names):
+    # no more distinct values than rows; counting rows prunes every column
+    sizes = [F.count(c).alias(f"n_{c}") for c in names]
+    if df.count() > distinct_per_task:
+        sizes += [F.approx_count_distinct(c).alias(f"d_{c}") for c in names]
+    elif method == "linear":
+        found = df.agg(*sizes, *[F.percentile(c, list(probs)).alias(c) for c in names]).first()
+        return {c: (found[f"n_{k}"], list(found[k] or [None] * len(probs))) for c, k in zip(columns, names)}
+    row = df.agg(*sizes).first().asDict()
+    counts = [row[f"n_{c}"] for c in names]
+    if all(row.get(f"d_{c}", 0) <= distinct_per_task for c in names):
         aggs = [_counting_quantiles(c, n, probs, method).alias(c) for c, n in zip(names, counts)]
         found = df.agg(*aggs).first()
         return {c: (n, list(found[k] or [None] * len(probs))) for c, k, n in zip(columns, names, counts)}

@@ -101,5 +101,9 @@ def normal_split(label: Column) -> Column:
 
 
 def steady(col: Column, digits: int = 6) -> Column:
-    """Rounded double without a negative zero, for comparing float aggregates."""
-    return F.round(col, digits) + F.lit(0.0)
+    """Rounded double for comparing float aggregates.
+
+    The small offset moves exact rounding ties away from the border, where the
+    summation order would decide; a negative zero becomes zero.
+    """
+    return F.round(col + F.lit(1e-9), digits) + F.lit(0.0)

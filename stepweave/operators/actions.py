@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.functions.quantiles import column_quantiles
@@ -40,15 +40,49 @@ def standardise_rate(
     )
 
 
-def complete_steps(steps: DataFrame, totals: DataFrame, column: str) -> DataFrame:
-    """Every step with its level, 0 where nothing was given."""
-    return (
-        steps.select("stay_id", "step_index")
-        .join(totals, ["stay_id", "step_index"], "left")
-        .withColumn(column, F.coalesce(column, F.lit(0.0)))
+def _given_intervals(
+    intervals: DataFrame, episodes: DataFrame, rate: str, start: str, end: str, key: str, cfg: GridConfig
+) -> DataFrame:
+    rows = intervals.select(*dict.fromkeys([key, start, end, rate]))
+    cut = intervals_in_steps(rows, episodes, key, start, end, cfg)
+    return cut.select(
+        "stay_id", "step_index", (F.col(rate) * F.col("overlap_hours")).alias("_dose"), F.col("overlap_hours").alias("_h")
     )
 
 
+def _given_points(
+    events: DataFrame,
+    episodes: DataFrame,
+    amount: str,
+    time: str,
+    key: str,
+    items: Sequence | None,
+    item: str,
+    cfg: GridConfig,
+) -> DataFrame:
+    rows = events if items is None else events.where(F.col(item).isin(list(items)))
+    placed = events_in_steps(rows.select(*dict.fromkeys([key, time, amount])), episodes, key, time, cfg)
+    return placed.select("stay_id", "step_index", F.col(amount).alias("_amount"))
+
+
+def _per_step(steps: DataFrame, given: Sequence[DataFrame], levels: Mapping[str, Column]) -> DataFrame:
+    """Aggregate stacked rows per step. The steps are stacked too, so a step
+    without treatment needs no join back.
+    """
+    stacked = steps.select("stay_id", "step_index")
+    for rows in given:
+        stacked = stacked.unionByName(rows, allowMissingColumns=True)
+    return stacked.groupBy("stay_id", "step_index").agg(*[level.alias(name) for name, level in levels.items()])
+
+
+def _mean_rate() -> Column:
+    return F.coalesce(F.try_divide(F.sum("_dose"), F.sum("_h")), F.lit(0.0))
+
+
+def _total_amount() -> Column:
+    return F.coalesce(F.sum("_amount"), F.lit(0.0))
+
+
 def interval_weighted_mean(
     intervals: DataFrame,
     episodes: DataFrame,
@@ -60,17 +94,12 @@ def interval_weighted_mean(
     name: str = "vaso_dose_4h",
     cfg: GridConfig = GridConfig(),
 ) -> DataFrame:
-    """Overlap-weighted mean rate per step: ``sum(rate·h) / sum(h)``.
+    """Overlap-weighted mean rate per step: ``sum(rate·h) / sum(h)``, 0 without any.
 
     Concurrent intervals are averaged and idle time does not count.
     """
-    cut = intervals_in_steps(
-        intervals.select(*dict.fromkeys([key, start, end, rate])), episodes, key, start, end, cfg
-    )
-    totals = cut.groupBy("stay_id", "step_index").agg(
-        (F.sum(F.col(rate) * F.col("overlap_hours")) / F.sum("overlap_hours")).alias(name)
-    )
-    return complete_steps(steps, totals, name)
+    given = _given_intervals(intervals, episodes, rate, start, end, key, cfg)
+    return _per_step(steps, [given], {name: _mean_rate()})
 
 
 def point_sum(
@@ -85,13 +114,30 @@ def point_sum(
     name: str = "fluid_volume_4h",
     cfg: GridConfig = GridConfig(),
 ) -> DataFrame:
-    """Sum of the amounts that start within each step."""
-    rows = events if items is None else events.where(F.col(item).isin(list(items)))
-    placed = events_in_steps(rows.select(*dict.fromkeys([key, time, amount])), episodes, key, time, cfg)
-    totals = placed.groupBy("stay_id", "step_index").agg(F.sum(amount).alias(name))
-    return complete_steps(steps, totals, name)
+    """Sum of the amounts that start within each step, 0 without any."""
+    given = _given_points(events, episodes, amount, time, key, items, item, cfg)
+    return _per_step(steps, [given], {name: _total_amount()})
 
 
+def treatment_levels(
+    intervals: DataFrame,
+    points: DataFrame,
+    episodes: DataFrame,
+    steps: DataFrame,
+    items: Sequence | None = None,
+    rate: str = "standard_rate",
+    amount: str = "amount",
+    first: str = "vaso_dose_4h",
+    second: str = "fluid_volume_4h",
+    cfg: GridConfig = GridConfig(),
+) -> DataFrame:
+    """Both treatment levels per step in one aggregation."""
+    given = [
+        _given_intervals(intervals, episodes, rate, "starttime", "endtime", "stay_id", cfg),
+        _given_points(points, episodes, amount, "starttime", "stay_id", items, "itemid", cfg),
+    ]
+    return _per_step(steps, given, {first: _mean_rate(), second: _total_amount()})
+
 @dataclass(frozen=True)
 class ActionBins:
     """Fitted edges. ``n_bins`` counts the zero bin."""

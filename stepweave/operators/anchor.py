@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepweave.functions.scalars import hours, micros_between, order_key
@@ -55,24 +55,28 @@ def suspected_anchor(
         F.min(F.when(F.col("is_a"), F.col("t"))).alias("min_a"),
         F.min(F.when(~F.col("is_a"), F.col("t"))).alias("min_b"),
     )
+    # one row per cell: a key has as many as its time span holds gaps
+    timeline = Window.partitionBy("k").orderBy("cell")
     both = F.col("min_a").isNotNull() & F.col("min_b").isNotNull()
-    inside = cells.where(both).select("k", F.least("min_a", "min_b").alias("t"))
-
-    following = cells.select(
-        "k", (F.col("cell") - 1).alias("cell"), F.col("min_a").alias("next_a"), F.col("min_b").alias("next_b")
+    other = F.when(F.col("min_a").isNotNull(), F.lead("min_b").over(timeline)).otherwise(
+        F.lead("min_a").over(timeline)
     )
-    reach = cells.where(~both).join(following, ["k", "cell"]).select(
+    adjacent = F.lead("cell").over(timeline) == F.col("cell") + 1
+    cells = cells.select(
         "k",
         "cell",
-        (F.when(F.col("min_a").isNotNull(), F.col("next_b")).otherwise(F.col("next_a")) - hours(max_gap_hours))
-        .alias("from_time"),
+        F.when(both, F.least("min_a", "min_b")).alias("t"),
+        F.when(~both & adjacent, other - hours(max_gap_hours)).alias("from_time"),
+        F.min(F.when(both, F.col("cell"))).over(Window.partitionBy("k")).alias("first_both"),
     )
-    reach = reach.where(F.col("from_time").isNotNull())
+    inside = cells.where(F.col("cell") == F.col("first_both")).select("k", "t")
+    # a later cell cannot beat the first one that holds both kinds
+    earlier = F.col("first_both").isNull() | (F.col("cell") < F.col("first_both"))
+    reach = cells.where(F.col("from_time").isNotNull() & earlier).select("k", "cell", "from_time")
     across = (
         skew_join(orders.select("k", "cell", "t"), reach, ["k", "cell"])
         .where(F.col("t") >= F.col("from_time"))
-        .groupBy("k")
-        .agg(F.min("t").alias("t"))
+        .select("k", "t")
     )
     return (
         inside.unionByName(across)

@@ -12,6 +12,7 @@ from stepweave.functions.quantiles import group_quantiles
 from stepweave.functions.scalars import clip, in_range, number, order_key, ratio
 from stepweave.functions.skew import skew_join
 from stepweave.operators.grid import GridConfig, events_in_steps, grid_steps
+from stepweave.operators.split import attach_split
 
 # Missing-value strategies
 FORWARD_FILL, MEDIAN, ZERO, NORMAL = "forward_fill", "median_train", "zero", "normal_value"
@@ -232,6 +233,7 @@ def step_context(
     ages: DataFrame | None = None,
     weights: DataFrame | None = None,
     splits: DataFrame | None = None,
+    outcomes: DataFrame | None = None,
 ) -> DataFrame:
     """Per-episode attributes that the state rows carry."""
     rows = episodes.select("stay_id", "subject_id", "hadm_id", "onset_time")
@@ -239,11 +241,9 @@ def step_context(
         rows = skew_join(rows, ages.select("subject_id", "age_years"), "subject_id", "left")
     if weights is not None:
         rows = rows.join(weights.select("stay_id", "weight_kg"), "stay_id", "left")
-    if splits is not None:
-        from stepweave.operators.split import attach_split
-
-        rows = attach_split(rows, splits)
-    return rows
+    if outcomes is not None:
+        rows = rows.join(outcomes, "stay_id", "left")
+    return rows if splits is None else attach_split(rows, splits)
 
 
 def raw_state(

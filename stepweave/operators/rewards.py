@@ -30,7 +30,10 @@ class RewardConfig:
             raise ValueError(f"unknown reward variant {self.variant!r}")
 
 
-def step_rewards(
+TERMS = ("terminal", "sofa_shaping", "lactate_shaping", "map_shaping")
+
+
+def with_rewards(
     state: DataFrame,
     cfg: RewardConfig = RewardConfig(),
     sofa: str = "sofa_score",
@@ -38,21 +41,22 @@ def step_rewards(
     pressure: str = "map",
     outcome: str = "mortality_90d",
 ) -> DataFrame:
-    """Reward components and total per step.
+    """Add the reward terms, their total and the terminal mark to state rows.
 
     An episode holds at most one row per grid step, so its window is bounded.
     Missing or NaN inputs switch their term off; an unknown outcome gives 0.
     """
     steps = Window.partitionBy("stay_id").orderBy("step_index")
-    rows = state.select(
-        "stay_id",
-        "step_index",
-        number(F.col(sofa)).alias("_sofa"),
-        number(F.col(lactate)).alias("_lact"),
-        number(F.col(pressure)).alias("_map"),
-        F.first(outcome).over(steps).alias("_died"),
-        F.lead("step_index").over(steps).isNull().alias("is_terminal"),
-    ).withColumns({"_sofa0": F.lag("_sofa").over(steps), "_lact0": F.lag("_lact").over(steps)})
+    rows = state.withColumns(
+        {"_sofa": number(F.col(sofa)), "_lact": number(F.col(lactate)), "_map": number(F.col(pressure))}
+    ).withColumns(
+        {
+            "_died": F.first(outcome).over(steps),
+            "_sofa0": F.lag("_sofa").over(steps),
+            "_lact0": F.lag("_lact").over(steps),
+            "is_terminal": F.lead("step_index").over(steps).isNull(),
+        }
+    )
 
     def gated(on: bool, term: Column) -> Column:
         return F.coalesce(term, F.lit(0.0)) if on else F.lit(0.0)
@@ -60,29 +64,24 @@ def step_rewards(
     shaped = cfg.variant in (SOFA_SHAPED, FULL_SHAPED)
     full = cfg.variant == FULL_SHAPED
     ends = F.col("is_terminal") & F.col("_died").isNotNull()
+    clearance = (F.col("_lact0") - F.col("_lact")) / F.col("_lact0")
     terms = {
         "terminal": F.when(ends, F.when(F.col("_died") == 0, cfg.survived).otherwise(cfg.died)).otherwise(0.0),
         "sofa_shaping": gated(shaped, F.lit(cfg.sofa_weight) * (F.col("_sofa") - F.col("_sofa0"))),
-        "lactate_shaping": gated(
-            full,
-            F.when(F.col("_lact0") > 0, cfg.lactate_weight * (F.col("_lact0") - F.col("_lact")) / F.col("_lact0")),
-        ),
+        "lactate_shaping": gated(full, F.when(F.col("_lact0") > 0, cfg.lactate_weight * clearance)),
         "map_shaping": gated(
             full,
             F.when(F.col("_map") < cfg.map_threshold, -cfg.map_weight * (cfg.map_threshold - F.col("_map"))),
         ),
     }
-    named = [c.alias(n) for n, c in terms.items()]
-    rows = rows.select("stay_id", "step_index", *named, "is_terminal")
-    return rows.select(
-        "stay_id",
-        "step_index",
-        *terms,
-        (F.col("terminal") + F.col("sofa_shaping") + F.col("lactate_shaping") + F.col("map_shaping")).alias(
-            "reward_total"
-        ),
-        "is_terminal",
-    )
+    rows = rows.withColumns(terms)
+    total = F.col("terminal") + F.col("sofa_shaping") + F.col("lactate_shaping") + F.col("map_shaping")
+    return rows.withColumn("reward_total", total).drop("_sofa", "_lact", "_map", "_died", "_sofa0", "_lact0")
+
+
+def step_rewards(state: DataFrame, cfg: RewardConfig = RewardConfig(), **columns: str) -> DataFrame:
+    """Reward terms and total per step, without the state."""
+    return with_rewards(state, cfg, **columns).select("stay_id", "step_index", *TERMS, "reward_total", "is_terminal")
 
 
 def reward_summary(rewards: DataFrame) -> DataFrame:

@@ -162,7 +162,7 @@ def split_manifest(s: Study) -> DataFrame:
 
 @query
 def split_stats(s: Study) -> DataFrame:
-    rows = s.episodes.join(s.labels, "stay_id").withColumn("died", F.pmod("subject_id", F.lit(2)))
+    rows = s.episodes.withColumn("died", F.pmod("subject_id", F.lit(2)))
     return split.split_stats(rows, s.splits, outcome="died")
 
 
@@ -176,7 +176,7 @@ def leakage_check(s: Study) -> DataFrame:
 @query
 def step_context(s: Study) -> DataFrame:
     weights = features.static_weight(s.infusions.where(F.col("itemid") == "purchase"))
-    return rounded(features.step_context(s.episodes, s.ages, weights, s.splits))
+    return rounded(features.step_context(s.episodes, s.ages, weights, s.splits, s.labels))
 
 
 # --- state

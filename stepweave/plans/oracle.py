@@ -14,7 +14,7 @@ SQL: dict[str, str] = {}
 
 
 def _r(expr: str, name: str | None = None) -> str:
-    return f"round({expr}, 6) + 0.0 AS {name or expr}"
+    return f"round({expr} + 1e-9, 6) + 0.0 AS {name or expr}"
 
 
 def _clip(expr: str, low: float, high: float) -> str:
@@ -46,7 +46,7 @@ SELECT * EXCLUDE (rule), CASE WHEN rule IS NOT NULL THEN rule
 FROM cohort_rules"""
 
 _COHORT = (
-    "subject_id, hadm_id, stay_id, intime, outtime, round(los_hours, 6) + 0.0 AS los_hours, anchor_age, gender, "
+    "subject_id, hadm_id, stay_id, intime, outtime, round(los_hours + 1e-9, 6) + 0.0 AS los_hours, anchor_age, gender, "
     "deathtime, hospital_expire_flag"
 )
 SQL["cohort_included"] = f"SELECT {_COHORT} FROM cohort WHERE exclusion_reason IS NULL"
@@ -221,9 +221,10 @@ SQL["leakage_check"] = """
 SELECT g.subject_id, count(DISTINCT s.split) AS n_splits FROM grid g JOIN stay_splits s ON s.id = g.stay_id
 GROUP BY 1 HAVING count(DISTINCT s.split) > 1"""
 SQL["step_context"] = """
-SELECT g.stay_id, g.subject_id, g.hadm_id, g.onset_time, round(c.c_acctbal / 100, 6) + 0.0 AS age_years,
-  round(w.weight_kg, 6) + 0.0 AS weight_kg, s.split
+SELECT g.stay_id, g.subject_id, g.hadm_id, g.onset_time, round(c.c_acctbal / 100 + 1e-9, 6) + 0.0 AS age_years,
+  round(w.weight_kg + 1e-9, 6) + 0.0 AS weight_kg, s.split, l.mortality_90d
 FROM grid g LEFT JOIN customer c ON c.c_custkey = g.subject_id LEFT JOIN weights w ON w.stay_id = g.stay_id
+JOIN labels l ON l.stay_id = g.stay_id
 JOIN splits s ON s.id = g.subject_id"""
 
 # --- state
@@ -370,7 +371,7 @@ SQL["state_raw"] = (
     "SELECT stay_id, step_index, step_start, step_end, " + ", ".join(_r(f) for f in _EVENT_FEATURES) + " FROM wide"
 )
 SQL["cumulative_exposure"] = (
-    "SELECT stay_id, step_index, round(coalesce(paid_total, 0), 6) + 0.0 AS paid_total FROM wide"
+    "SELECT stay_id, step_index, round(coalesce(paid_total, 0) + 1e-9, 6) + 0.0 AS paid_total FROM wide"
 )
 SQL["missing_flags"] = (
     "SELECT stay_id, step_index, " + ", ".join(c for c in _COLUMNS if c.endswith("_missing")) + " FROM pass1"
@@ -725,7 +726,7 @@ def _variants(rows: list[tuple[str, str]]) -> str:
 
 def _steps_body(source: str) -> str:
     return (
-        "count(*) AS total_episodes, round(avg(n_steps), 2) + 0.0 AS avg_steps, "
+        "count(*) AS total_episodes, round(round(avg(n_steps), 2) + 1e-9, 6) + 0.0 AS avg_steps, "
         f"CAST(max(n_steps) AS INTEGER) AS max_steps FROM {source}"
     )
 

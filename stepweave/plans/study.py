@@ -186,7 +186,7 @@ class Study:
 
     @cached_property
     def context(self) -> DataFrame:
-        return features.step_context(self.episodes, ages=self.ages, splits=self.splits)
+        return features.step_context(self.episodes, ages=self.ages, splits=self.splits, outcomes=self.labels)
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -202,10 +202,12 @@ class Study:
         first_pass = features.impute_state(self.wide, REGISTRY, {})
         return scaling.fit_medians(scaling.train_rows(first_pass), REGISTRY)
 
+    def imputed(self, rows: DataFrame) -> DataFrame:
+        return features.clinical_proxy(features.impute_state(rows, REGISTRY, self.medians), PROXY)
+
     @cached_property
     def state(self) -> DataFrame:
-        rows = features.impute_state(self.wide, REGISTRY, self.medians)
-        return features.clinical_proxy(rows, PROXY)
+        return self.imputed(self.wide)
 
     @cached_property
     def state_view(self) -> DataFrame:
@@ -216,10 +218,6 @@ class Study:
     def labels(self) -> DataFrame:
         return features.outcome_label(self.episodes, self.deaths)
 
-    @cached_property
-    def labelled(self) -> DataFrame:
-        return self.state.join(self.labels, "stay_id", "left")
-
     @cached_property
     def scaler(self) -> list[scaling.FeatureTransform]:
         return scaling.fit_scaler(scaling.train_rows(self.state), REGISTRY, self.medians)
@@ -254,9 +252,8 @@ class Study:
 
     @cached_property
     def doses(self) -> DataFrame:
-        rows = self.vaso.join(self.fluid, ["stay_id", "step_index"])
-        labels = self.episodes.select("stay_id", "subject_id").join(self.splits, "subject_id")
-        return cut_lineage(rows.join(labels.select("stay_id", "split"), "stay_id"))
+        levels = act.treatment_levels(self.rates, self.infusions, self.episodes, self.steps, FLUID, cfg=self.cfg)
+        return cut_lineage(levels.join(self.context.select("stay_id", "split"), "stay_id"))
 
     @cached_property
     def bins(self) -> act.ActionBins:
@@ -275,12 +272,16 @@ class Study:
         return rewards.RewardConfig(self.setup.reward)
 
     def rewards_for(self, cfg: rewards.RewardConfig) -> DataFrame:
-        return rewards.step_rewards(self.labelled, cfg, **REWARD_COLUMNS)
+        return rewards.step_rewards(self.state, cfg, **REWARD_COLUMNS)
 
     @cached_property
     def transitions(self) -> DataFrame:
-        merged = tr.merge_steps(self.labelled, self.actions, self.rewards_for(self.reward_config))
-        return cut_lineage(tr.build_transitions(merged, self.columns))
+        """Actions join the raw rows, so imputation, rewards and successors share
+        one exchange and one sort by stay.
+        """
+        acted = self.wide.join(self.actions.select("stay_id", "step_index", "action_id"), ["stay_id", "step_index"])
+        rewarded = rewards.with_rewards(self.imputed(acted), self.reward_config, **REWARD_COLUMNS)
+        return cut_lineage(tr.build_transitions(rewarded, self.columns))
 
     def part(self, label: str) -> DataFrame:
         return self.transitions.where(F.col("split") == label)
