@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepweave.functions.quantiles import group_quantiles
@@ -74,7 +74,8 @@ def compare_runs(
     one dataset contract.
     """
     signature = metas.select(run, F.to_json(F.struct(*contract)).alias("contract"))
-    shared = signature.agg((F.count_distinct("contract") <= 1).alias("contract_consistent"))
-    joined = signature.join(final_metrics(log, [run, "name"], seq), run, "left")
-    # one-row table of the drift flag, repeated per (run, metric)
-    return joined.withColumn("_one", F.lit(1)).join(F.broadcast(shared.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    runs = Window.partitionBy(F.lit(0))  # one row per run
+    signature = signature.withColumn(
+        "contract_consistent", F.min("contract").over(runs) == F.max("contract").over(runs)
+    )
+    return signature.join(final_metrics(log, [run, "name"], seq), run, "left")
