@@ -19,9 +19,8 @@ from stepweave import build_session  # noqa: E402
 from stepweave.plans import catalog  # noqa: E402
 
 HEADLINE = (
-    "cohort_included", "anchor_pairs", "dysfunction_score", "onset_usable", "grid_steps", "split_assign", "feature_long",
-    "state_imputed", "state_normalised", "interval_weighted_mean", "action_ids", "rewards_sofa", "transitions",
-    "clinician_baseline", "behaviour_support", "ope_wis_ess", "agreement", "metric_summary", "rolling_return", "td_error",
+    "cohort_included", "anchor_pairs", "onset_usable", "grid_steps", "feature_long", "state_imputed",
+    "interval_weighted_mean", "transitions", "ope_wis_ess", "metric_summary",
 )
 
 
@@ -31,7 +30,13 @@ def main() -> None:
     spark = build_session(
         "bench",
         f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g"},
+        **{
+            "spark.sql.shuffle.partitions": cpus,
+            "spark.ui.enabled": "false",
+            "spark.driver.memory": "16g",
+            # no call-site capture per column expression
+            "spark.python.sql.dataFrameDebugging.enabled": "false",
+        },
     )
     spark.sparkContext.setLogLevel("OFF")
     queries = catalog.queries()

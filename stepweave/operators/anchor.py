@@ -113,7 +113,8 @@ def dysfunction_score(
 
 def attach_anchor(stays: DataFrame, anchors: DataFrame, key: str = "hadm_id") -> DataFrame:
     """Stay boundaries plus the anchor of their admission (null when it has none)."""
-    return stays.select("stay_id", "subject_id", "hadm_id", "intime", "outtime").join(anchors, key, "left")
+    bounds = stays.select("stay_id", "subject_id", "hadm_id", "intime", "outtime")
+    return skew_join(bounds, anchors, key, "left")
 
 
 def onset_candidates_raw(stays: DataFrame, scores: DataFrame, cfg: OnsetConfig) -> DataFrame:

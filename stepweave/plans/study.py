@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.functions.scalars import micros_between
+from stepweave.functions.skew import skew_join
 from stepweave.functions.vectors import softmax
 from stepweave.operators import actions as act
 from stepweave.operators import anchor, baselines, features, grid, ope, rewards, safety, scaling, split
@@ -67,8 +68,8 @@ SUBSETS = {
 class Study:
     """Lazily built stages over one data directory.
 
-    ``episodes``, ``wide`` and ``transitions`` feed several consumers each and
-    are written once to the shared checkpoint folder.
+    ``episodes``, ``context``, ``wide``, ``doses`` and ``transitions`` feed
+    several consumers each and are written once to the shared checkpoint folder.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, setup: Setup = Setup()):
@@ -186,7 +187,8 @@ class Study:
 
     @cached_property
     def context(self) -> DataFrame:
-        return features.step_context(self.episodes, ages=self.ages, splits=self.splits, outcomes=self.labels)
+        rows = features.step_context(self.episodes, ages=self.ages, splits=self.splits, outcomes=self.labels)
+        return cut_lineage(rows)
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -307,7 +309,7 @@ class Study:
         """Test steps with the behaviour probability of the logged action."""
         rows = self.part("test").withColumn("state_bin", self.state_bin).withColumn("policy_action", self.rule)
         table = self.support.select("state_bin", "action", "support_prob")
-        joined = rows.join(table, ["state_bin", "action"], "left")
+        joined = skew_join(rows, table, ["state_bin", "action"], "left")
         return joined.select(
             F.col("stay_id").alias("episode_id"), "step_index", "state", "action", "reward", "done", "policy_action",
             F.coalesce("support_prob", F.lit(0.01)).alias("behavior_action_prob"),

@@ -24,7 +24,7 @@ def spark():
             "spark.sql.shuffle.partitions": 4,
             "spark.ui.enabled": "false",
             "spark.driver.memory": "4g",
-            "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1",
+            "spark.python.sql.dataFrameDebugging.enabled": "false",
         },
     )
     session.sparkContext.setLogLevel("OFF")
