@@ -68,7 +68,7 @@ SUBSETS = {
 class Study:
     """Lazily built stages over one data directory.
 
-    ``episodes``, ``context``, ``wide``, ``doses`` and ``transitions`` feed
+    ``anchored``, ``episodes``, ``context``, ``wide``, ``doses`` and ``transitions`` feed
     several consumers each and are written once to the shared checkpoint folder.
     """
 
@@ -145,7 +145,7 @@ class Study:
 
     @cached_property
     def anchored(self) -> DataFrame:
-        return anchor.attach_anchor(self.stays, self.anchors)
+        return cut_lineage(anchor.attach_anchor(self.stays, self.anchors))
 
     @cached_property
     def classified(self) -> DataFrame:
