@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepweave.functions.scalars import action_label, decode_action
-from stepweave.functions.shares import with_share
 from stepweave.functions.skew import skew_join
 
 # Default support thresholds
@@ -73,13 +72,10 @@ def heatmap(rows: DataFrame, action: str, n_bins: int = 5) -> DataFrame:
     counts = rows.groupBy(F.col(action).alias("action")).agg(F.count(F.lit(1)).alias("_n"))
     cells = _cells(rows.sparkSession, n_bins).join(counts, "action", "left")
     cells = cells.select("vaso_bin", "fluid_bin", F.coalesce("_n", F.lit(0)).alias("count"))
-    shared = with_share(cells, "count", "_pct")
-    return _normalised(shared.drop("_pct"), F.col("count"))
+    return _normalised(cells, F.col("count"))
 
 
 def _normalised(cells: DataFrame, size: Column) -> DataFrame:
-    from pyspark.sql import Window
-
     everything = F.sum(size).over(Window.partitionBy(F.lit(0)))  # n_bins² rows
     return cells.withColumn("normalized", F.when(everything > 0, size / everything).otherwise(0.0))
 
