@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import decontaminate, secrets, sentencepieces, sharding, token_files
+from stepweave.llm import decontaminate, near_copies, secrets, sentencepieces, sharding, token_files
 from stepweave.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.digest(near_copies.near_copies(table(spark, sf_dir, "documents")))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_files.digest(spark, token_files.write_tokens(docs, vocabulary("byte_bpe_50k.json")))
@@ -42,6 +46,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
+        "op3_near_copies": op3_near_copies,
         "op4_token_files": op4_token_files,
         "op5_decontaminate": op5_decontaminate,
         "op7_sentencepieces": op7_sentencepieces,
