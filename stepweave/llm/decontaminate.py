@@ -70,7 +70,7 @@ def decontaminate(
     window: int = WINDOW,
     shingle: int = SHINGLE,
 ) -> DataFrame:
-    """``id, text, n_words, hits, items`` per document.
+    """``doc, n_words, hits, items``: all columns of a row as a struct, and what was found in it.
 
     ``hits`` are the positions of hit words, ``items`` the sorted ids of the
     items with an occurring window.
@@ -80,8 +80,9 @@ def decontaminate(
     length = F.least(F.size("words"), F.lit(shingle))
     lengths = sorted(r[0] for r in wanted.select(length.alias("n")).distinct().collect())  # at most `shingle`
 
-    keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("whole")).withColumn(
-        "key", F.xxhash64("id", "whole")
+    whole_text = F.col("doc")[text].cast("string")
+    keyed = docs.select(F.struct("*").alias("doc")).select(
+        "doc", F.xxhash64(F.col("doc")[id_col], whole_text).alias("key")
     )
     parts = [
         wanted.where(length == n).select("win", F.lit(n).alias("len"), F.posexplode(_shingles(F.col("words"), n)))
@@ -90,9 +91,8 @@ def decontaminate(
     if not parts:
         none = F.array()
         return keyed.select(
-            "id",
-            F.col("whole").alias("text"),
-            F.size(words_of(F.col("whole"))).alias("n_words"),
+            "doc",
+            F.size(words_of(whole_text)).alias("n_words"),
             none.cast("array<int>").alias("hits"),
             none.cast("array<string>").alias("items"),
         )
@@ -111,7 +111,7 @@ def decontaminate(
         )
 
     whole = bind(
-        words_of(F.col("whole")),
+        words_of(whole_text),
         lambda w: F.struct(F.size(w).alias("n_words"), F.concat(*[placed(w, n) for n in lengths]).alias("shingles")),
     )
     met = cut_lineage(
@@ -154,14 +154,13 @@ def decontaminate(
         return F.struct(F.size(words).alias("n_words"), found.alias("found"))
 
     checked = keyed.join(candidates, "key", "left").select(
-        "key", "id", F.col("whole").alias("text"), bind(words_of(F.col("whole")), verified).alias("v")
+        "key", "doc", bind(words_of(whole_text), verified).alias("v")
     )
     spans = F.transform(F.col("v.found"), lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1))
     checked = cut_lineage(
         checked.select(
             "key",
-            "id",
-            "text",
+            "doc",
             "v.n_words",
             F.array_distinct(F.flatten(spans)).alias("hits"),
             F.array_distinct(F.col("v.found.win")).alias("wins"),
@@ -176,14 +175,14 @@ def decontaminate(
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
     return checked.join(items, "key", "left").select(
-        "id", "text", "n_words", "hits", F.coalesce("items", F.array().cast("array<string>")).alias("items")
+        "doc", "n_words", "hits", F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     n_hit = F.size("hits").cast("long")
     return found.select(
-        F.col("id").alias(id_col),
+        F.col("doc")[id_col].alias(id_col),
         F.col("n_words").cast("long").alias("n_words"),
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),

@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -274,9 +274,10 @@ def _across(shared: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFram
 
 
 def near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``id, n_shingles, set, component_id, kept`` per document.
+    """``id, row, n_shingles, root, component_id, kept`` per document.
 
-    ``component_id`` is the least id of the group, ``kept`` marks the rows that
+    ``row`` is a hash of id and text, ``root`` names the group and is null
+    without words; ``component_id`` is the least id of the group, ``kept`` marks the rows that
     carry it.
     """
     ship(docs.sparkSession)
@@ -298,16 +299,35 @@ def near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
         found = cut_lineage(_confirm(cut_lineage(more), classes, docs, text, id_col))
         if not found.isEmpty():
             roots = components(links.unionByName(found), "a", "b")
-    rooted = signed.select("id", "n_shingles", "set").join(
-        roots.select(F.col("node").alias("set"), "root"), "set", "left"
-    ).select("id", "n_shingles", "set", F.coalesce("root", "set").alias("root"))
+    rooted = (
+        signed.select("id", "row", "n_shingles", "set")
+        .join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
+        .select("id", "row", "n_shingles", F.coalesce("root", "set").alias("root"))
+    )
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least"))
     component = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least"))
     return rooted.join(least, "root", "left").select(
-        "id", "n_shingles", "set", component.alias("component_id"),
+        "id",
+        "row",
+        "n_shingles",
+        "root",
+        component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.col("id").isNull() & component.isNull()).alias("kept"),
     )
 
 
+def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each group, of the least id; rows without words all stay."""
+    grouped = cut_lineage(near_copies(docs, text, id_col))
+    chosen = grouped.where("kept AND root IS NOT NULL").groupBy("root").agg(F.min("row").alias("row"))
+    wordless = grouped.where("root IS NULL").select("row", F.lit(False).alias("once")).distinct()
+    stays = chosen.select("row", F.lit(True).alias("once")).unionByName(wordless)
+    keyed = docs.select(F.struct("*").alias("doc")).withColumn(
+        "row", F.xxhash64(F.col("doc")[id_col], F.col("doc")[text].cast("string"))
+    )
+    place = F.row_number().over(Window.partitionBy("row").orderBy("row"))
+    return keyed.join(stays, "row").withColumn("place", place).where(~F.col("once") | (F.col("place") == 1)).select("doc.*")
+
+
 def digest(grouped: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return grouped.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")

@@ -6,14 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import decontaminate, near_copies, secrets, sentencepieces, sharding, token_files
-from stepweave.llm.common import table
-
-
-def vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+import corpus_pipeline
+from stepweave.llm import decontaminate, line_dedup, near_copies, secrets, sentencepieces, sharding, token_files, toxicity
+from stepweave.llm.common import table, vocabulary
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,23 +29,40 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(docs, benchmark))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out("doc_id")), "text", "doc_id", "toxic")
+    return toxicity.digest(toxicity.score(docs, model))
+
+
 def op7_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sentencepieces.digest(sentencepieces.encode_decode(docs, vocabulary("piece_bpe_32k.model")))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
         "op3_near_copies": op3_near_copies,
         "op4_token_files": op4_token_files,
         "op5_decontaminate": op5_decontaminate,
+        "op6_toxicity": op6_toxicity,
         "op7_sentencepieces": op7_sentencepieces,
+        "op8_line_dedup": op8_line_dedup,
         "op10_sharding": op10_sharding,
+        "pipeline": pipeline,
     }
 
 
@@ -58,4 +70,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_secrets": secrets.oracle(),
         "op5_decontaminate": decontaminate.ORACLE,
+        "op8_line_dedup": line_dedup.ORACLE,
     }
