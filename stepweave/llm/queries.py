@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from stepweave.llm import decontaminate, line_dedup, near_copies, secrets, sentencepieces, sharding, token_files, toxicity
+from stepweave.llm import cover_tree, decontaminate, line_dedup, near_copies, secrets, sentencepieces, sharding, token_files, toxicity
 from stepweave.llm.common import table, vocabulary
 
 
@@ -44,6 +44,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return cover_tree.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_sentencepieces": op7_sentencepieces,
         "op8_line_dedup": op8_line_dedup,
+        "op9_top_k": op9_top_k,
         "op10_sharding": op10_sharding,
         "pipeline": pipeline,
     }
@@ -71,4 +77,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_secrets": secrets.oracle(),
         "op5_decontaminate": decontaminate.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
+        "op9_top_k": cover_tree.ORACLE,
     }
