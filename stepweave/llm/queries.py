@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from stepweave.llm import cover_tree, decontaminate, line_dedup, near_copies, secrets, sentencepieces, sharding, token_files, toxicity
+from stepweave.llm import (
+    cover_tree,
+    decontaminate,
+    katz,
+    line_dedup,
+    near_copies,
+    secrets,
+    sentencepieces,
+    sharding,
+    token_files,
+    toxicity,
+)
 from stepweave.llm.common import table, vocabulary
 
 
@@ -15,6 +26,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.digest(katz.score(table(spark, sf_dir, "documents"), ~katz.held_out("doc_id")))
+
+
 def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.digest(near_copies.near_copies(table(spark, sf_dir, "documents")))
 
@@ -60,6 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
+        "op2_katz": op2_katz,
         "op3_near_copies": op3_near_copies,
         "op4_token_files": op4_token_files,
         "op5_decontaminate": op5_decontaminate,

@@ -225,7 +225,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str, id_col: str, label: str
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows[:most], share))], pa.binary())], ["model"])
 
     # one task for a sample of bounded size
-    return pickle.loads(bytes(chosen.coalesce(1).mapInArrow(build, "model binary").first()[0]))
+    row = chosen.coalesce(1).mapInArrow(build, "model binary").first()
+    return pickle.loads(bytes(row[0])) if row else fit([], share)
 
 
 def hash_of(text: str) -> int:
