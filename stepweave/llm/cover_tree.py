@@ -32,16 +32,17 @@ from stepweave.session import cut_lineage
 SCALE = 1024
 DATA_BLOCK = 16_384
 QUERY_BLOCK = 4_096
-LEAF = 48
+DATA_LEAF = 48
+QUERY_LEAF = 4
 MOST_CENTRES = 512
-SEEDS = 256
+MOST_OPEN = 256
 
 
 class Tree:
     """A cover tree in arrays. ``points`` are reordered so that a node is a range of them."""
 
-    def __init__(self, points: np.ndarray):
-        self.points = points
+    def __init__(self, points: np.ndarray, leaf: int):
+        self.points, self.leaf = points, leaf
         self.order = np.arange(len(points))
         self.low, self.high, self.centre, self.radius, self.children = [], [], [], [], []
         self._build(0, len(points), 0)
@@ -66,7 +67,7 @@ class Tree:
         # a hair more than the distances, against rounding
         self.radius.append(float(away.max()) * (1 + 1e-12) + 1e-9)
         self.children.append(np.empty(0, int))
-        if high - low <= LEAF or away.max() == 0:
+        if high - low <= self.leaf or away.max() == 0:
             return node
         apart = away.max() / 2
         centres, nearest, owner = [centre], away, np.zeros(len(rows), int)
@@ -93,8 +94,8 @@ class DualSearch:
     def __init__(self, queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int):
         self.k = k
         self.exact = queries.dtype != object
-        self.q = Tree(queries.astype(float))
-        self.d = Tree(data.astype(float))
+        self.q = Tree(queries.astype(float), QUERY_LEAF)
+        self.d = Tree(data.astype(float), DATA_LEAF)
         self.queries, self.query_ids = queries[self.q.order], query_ids[self.q.order]
         self.data, self.data_ids = data[self.d.order], data_ids[self.d.order]
         n = len(queries)
@@ -137,7 +138,7 @@ class DualSearch:
         if len(self.q.children[q]):
             # open the data nodes that are wider than the query node
             wide = [n for n in nodes if len(self.d.children[n]) and self.d.radius[n] >= self.q.radius[q]]
-            if wide and len(nodes) < SEEDS:
+            if wide and len(nodes) < MOST_OPEN:
                 opened = np.concatenate([self.d.children[n] for n in wide])
                 nodes = np.r_[np.setdiff1d(nodes, wide), opened]
             for child in self.q.children[q]:
