@@ -47,7 +47,9 @@ class PieceCodec:
         self.independent = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.checked = checked
         self._pair_table()
-        self.cache = ChunkCache(self._encode_chunks, entries)
+        # marks that no piece holds behind a letter or digit
+        tails = [c for c in ",.;:!?" if c in self.ids and not any(re.search(rf"\w{re.escape(c)}", p) for p in self.ids)]
+        self.cache = ChunkCache(self._encode_chunks, entries, {c: _packed([self.ids[c]]) for c in tails})
 
     def _pair_table(self) -> None:
         """Sorted keys of the symbol pairs that form a piece, with the piece and its rank."""

@@ -8,7 +8,7 @@ from itertools import chain
 
 import pyarrow as pa
 
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 600_000
 GROUP_CHARS = 2_000_000
 
 
@@ -17,29 +17,74 @@ class ChunkCache:
 
     A text is cut before each space; ``encode_many(chunks, spaced)`` gives the
     ids of distinct chunks: the first of a text has no space before it, the
-    others have one. A full cache is emptied, which costs time and changes no
-    result.
+    others have one. ``tails`` are marks with ids of their own wherever they
+    end a chunk behind a letter or digit, so ``word`` and ``word,`` are encoded
+    once.
+
+    The cache has two generations: when the younger is full it becomes the
+    older, and what is still in use moves over. Sizes change no result.
     """
 
-    def __init__(self, encode_many: Callable[[list[str], bool], list[bytes]], entries: int = CACHE_ENTRIES):
+    def __init__(
+        self,
+        encode_many: Callable[[list[str], bool], list[bytes]],
+        entries: int = CACHE_ENTRIES,
+        tails: dict[str, bytes] | None = None,
+    ):
         self.encode_many = encode_many
-        self.entries = entries
+        self.half = max(1, entries // 2)
+        self.tails = tails or {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+
+    def _heads(self, heads: list[str]) -> list[bytes]:
+        asked = list(set(heads).difference(self.heads))
+        if len(self.heads) + len(asked) > self.half // 8:
+            self.heads = {}
+            asked = list(set(heads))
+        self.heads.update(zip(asked, self.encode_many(asked, False)))
+        return [self.heads[h] for h in heads]
+
+    def _find(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not in the younger generation."""
+        older, tails = self.older, self.tails
+        found, split, asked = {}, [], set()
+        for c in chunks:
+            ids = older.get(c)
+            if ids is not None:
+                found[c] = ids
+            elif c[-1:] in tails and c[-2:-1].isalnum():
+                split.append(c)
+                asked.add(c[:-1])
+            else:
+                asked.add(c)
+        cores = {}
+        for c in asked:
+            ids = self.known.get(c) or found.get(c) or older.get(c)
+            if ids is not None:
+                cores[c] = ids
+        fresh = list(asked.difference(cores))
+        found.update(cores)
+        found.update(zip(fresh, self.encode_many(fresh, True)))
+        for c in split:
+            found[c] = found[c[:-1]] + tails[c[-1]]
+        return found
 
     def texts(self, texts: Sequence[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        heads = self.encode_many([s[0] for s in split], False)
+        heads = self._heads([s[0] for s in split])
         chunks = list(chain.from_iterable(s[1:] for s in split))
         ids = list(map(self.known.get, chunks))
         gaps = [i for i, x in enumerate(ids) if x is None]
         if gaps:
-            asked = list({chunks[i] for i in gaps})
-            if len(self.known) + len(asked) > self.entries:
-                self.known.clear()
-            fresh = dict(zip(asked, self.encode_many(asked, True)))
-            self.known.update(fresh)
+            found = self._find({chunks[i] for i in gaps})
             for i in gaps:
-                ids[i] = fresh[chunks[i]]
+                ids[i] = found[chunks[i]]
+            if len(self.known) + len(found) > self.half:
+                self.older, self.known = self.known, found
+            else:
+                self.known.update(found)
         out, at = [], 0
         for head, s in zip(heads, split):
             end = at + len(s) - 1

@@ -34,6 +34,7 @@ from stepweave.llm.pieces import ChunkCache, list_column, text_groups
 from stepweave.session import _shared_folder
 
 END_ID = 2
+TAILS = ",.;:!?"
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
@@ -51,12 +52,15 @@ class ByteLevelCodec:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_file)
-        self.cache = ChunkCache(self._encode_chunks)
+        # the pattern cuts between a letter or digit and a mark
+        self.cache = ChunkCache(self._encode_chunks, tails=dict(zip(TAILS, self._encode_chunks(list(TAILS), False))))
 
     def _encode_chunks(self, chunks: list[str], spaced: bool) -> list[bytes]:
         if not spaced:
             found = self.library.encode_batch_fast(chunks, add_special_tokens=False)
             return [np.array(x.ids, "<u4").tobytes() for x in found]
+        if not chunks:
+            return []
         # one text of all chunks, cut again where each begins
         starts = np.zeros(len(chunks) + 1, np.int64)
         np.cumsum(np.fromiter((len(c) + 1 for c in chunks), np.int64, len(chunks)), out=starts[1:])
