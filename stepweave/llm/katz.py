@@ -60,17 +60,16 @@ def tokens_of(text: str) -> list[bytes]:
 def discounts(counts_of_counts: dict[int, int], largest: int = LARGEST_DISCOUNTED) -> np.ndarray:
     """Good-Turing discount ratios for counts 1 to ``largest`` (index 0 is unused).
 
-    A ratio that small or irregular tables leave outside (0, 1) is 1: no discount.
+    Where a small or saturated table leaves a ratio outside (0, 1), the same
+    share of a count is taken off instead: n1 / (n1 + 2 n2), or a half.
     """
     n = [counts_of_counts.get(r, 0) for r in range(largest + 2)]
+    taken = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
     out = np.ones(largest + 1)
-    if n[1]:
-        excess = (largest + 1) * n[largest + 1] / n[1]
-        for r in range(1, largest + 1):
-            if n[r] and excess < 1:
-                ratio = ((r + 1) * n[r + 1] / n[r] / r - excess) / (1 - excess)
-                if 0 < ratio < 1:
-                    out[r] = ratio
+    excess = (largest + 1) * n[largest + 1] / n[1] if n[1] else 1.0
+    for r in range(1, largest + 1):
+        ratio = ((r + 1) * n[r + 1] / n[r] / r - excess) / (1 - excess) if n[r] and excess < 1 else 0
+        out[r] = ratio if 0 < ratio < 1 else (r - taken) / r
     return out
 
 
@@ -222,15 +221,14 @@ def score(
     )
     rows = of_counts.collect()  # at most LARGEST_DISCOUNTED + 2 rows
     fitted = Words.fit(
-        sum(r["tokens"] for r in rows), sum(r["n"] for r in rows), {r["r"]: r["n"] for r in rows if r["r"] <= LARGEST_DISCOUNTED + 1}
+        sum(r["tokens"] for r in rows),
+        sum(r["n"] for r in rows),
+        {r["r"]: r["n"] for r in rows if r["r"] <= LARGEST_DISCOUNTED + 1},
     )
-    frequent = table.where(F.octet_length("word") > 0).orderBy(F.desc("c"), "word").limit(classes - 2).select("word", "c").collect()
-    ends = table.where(F.octet_length("word") == 0).select("c").collect()
-    of_word = {END: 1, **{bytes(r["word"]): i + 2 for i, r in enumerate(frequent)}}
-    counts = np.array([0, *(r["c"] for r in ends), *([0] * (1 - len(ends))), *(r["c"] for r in frequent)], float)
-    of_class = fitted.probability(counts)
-    if not fitted.total:
-        of_class[1:] = 0
+    is_end = F.octet_length("word") == 0
+    ranked = table.orderBy(F.desc(is_end), F.desc("c"), "word").limit(classes - 1).select("word", "c").collect()
+    of_word = {bytes(r["word"]): i + 1 for i, r in enumerate(ranked)}
+    of_class = fitted.probability(np.array([0, *(r["c"] for r in ranked)], float))
     of_class[OTHER] = max(1 - of_class[1:].sum(), fitted.unseen)
     of_class = of_class / of_class.sum()
 
@@ -294,5 +292,11 @@ def held_out(id_col: str) -> Column:
 
 def digest(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return scored.select(
-        F.col("id").alias(id_col), (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+        F.col("id").alias(id_col),
+        (~F.col("learns")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
     )
