@@ -14,7 +14,7 @@ def rows():
     rng = random.Random(8)
     vocabulary = [f"w{int(rng.paretovariate(0.7))}" for _ in range(400)]
     out = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 60)))) for i in range(120)]
-    out += [(200, None), (201, ""), (202, " \n"), (203, "w1 " * 20_000), (None, "w1 W2\tw3"), (204, "É é unseen"), (5, "w1"), (5, "w1")]
+    out += [(200, None), (201, ""), (202, " \n"), (203, "w1 " * 20_000), (None, "w1 W2\tw3"), (204, "É é unseen"), (205, "w1"), (205, "w1")]
     return out
 
 
