@@ -14,9 +14,11 @@ groups.
 4. Pairs are weighed by the share of equal registers, corrected for chance
    collisions, and then confirmed on the full sets.
 5. Where a bucket still holds classes of different groups, the pairs across
-   groups are weighed as well, in blocks of bounded size, and those that may be
-   similar enough are confirmed too. So a link is not lost because both ends
-   differ from the first class.
+   groups are weighed as well, in blocks of bounded size; classes with a pair
+   that may be similar enough get their full sets, and the block confirms such
+   pairs until they add nothing to the groups. So a link is not lost because
+   both ends differ from the first class, and no more links leave a block than
+   it has classes. A pair is weighed in the first band its ends share.
 
 A link is missed if no band agrees, at a similarity of 0.75 with a probability
 of 3e-6, or if its estimate is five standard deviations too low.
@@ -157,26 +159,35 @@ def _signatures(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     return narrow.mapInArrow(sign, schema)
 
 
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """A hash of each band of registers, different for each place: one row per class, one column per band."""
+    parts = regs.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    place = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)
+    key = np.broadcast_to(place, parts.shape[:2]).copy()
+    for r in range(ROWS):
+        key = (key ^ parts[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(31)
+    return key.view(np.int64)
+
+
 def _bands(classes: DataFrame) -> DataFrame:
-    """``set, band``: a hash of each band of registers, different for each place."""
+    """``set, band`` for each band of each class."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 part = batch.slice(at, 2_000)
-                raw = b"".join(part.column("registers").to_pylist())
-                regs = np.frombuffer(raw, np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
-                key = np.broadcast_to(place, regs.shape[:2]).copy()
-                for r in range(ROWS):
-                    key = (key ^ regs[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
-                    key ^= key >> np.uint64(31)
+                keys = band_keys(_stacked(part.column("registers")))
                 sets = part.column("set").take(pa.array(np.repeat(np.arange(part.num_rows), BANDS)))
-                yield pa.RecordBatch.from_arrays([sets, pa.array(key.ravel().view(np.int64))], ["set", "band"])
+                yield pa.RecordBatch.from_arrays([sets, pa.array(keys.ravel())], ["set", "band"])
 
     return classes.select("set", "registers").mapInArrow(cut, "set binary, band long")
 
 
+def _stacked(registers) -> np.ndarray:
+    return np.frombuffer(b"".join(registers.to_pylist()), np.uint16).reshape(-1, BUCKETS)
+
+
 def _with_registers(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     a = classes.select(F.col("set").alias("a"), F.col("registers").alias("ra"))
     b = classes.select(F.col("set").alias("b"), F.col("registers").alias("rb"))
@@ -188,23 +199,28 @@ def _weigh(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ra, rb = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("ra", "rb")
-            )
-            good = pa.array(estimate((ra == rb).sum(1)) >= LEAST_ESTIMATE)
+            equal = (_stacked(batch.column("ra")) == _stacked(batch.column("rb"))).sum(1)
+            good = pa.array(estimate(equal) >= LEAST_ESTIMATE)
             yield batch.select(["a", "b"]).filter(good)
 
     return _with_registers(pairs, classes).select("a", "b", "ra", "rb").mapInArrow(weigh, "a binary, b binary")
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough, from the texts of one document of each class."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(classes.select("set", "row"), "set")
-    texts = cut_lineage(
-        docs.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string")).alias("row"), F.col(f"`{text}`").cast("string").alias("whole"))
+def _texts(sets: DataFrame, classes: DataFrame, docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """``set, whole``: the text of one document of each class asked for."""
+    asked = sets.distinct().join(classes.select("set", "row"), "set")
+    whole = F.col(f"`{text}`").cast("string")
+    return (
+        docs.select(F.xxhash64(F.col(f"`{id_col}`"), whole).alias("row"), whole.alias("whole"))
         .join(asked, "row")
         .select("set", "whole")
     )
+
+
+def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough, from the texts of one document of each class."""
+    asked = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set")))
+    texts = cut_lineage(_texts(asked, classes, docs, text, id_col))
     a = texts.select(F.col("set").alias("a"), F.col("whole").alias("ta"))
     b = texts.select(F.col("set").alias("b"), F.col("whole").alias("tb"))
 
@@ -223,8 +239,76 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, i
     return joined.mapInArrow(confirm, "a binary, b binary").distinct()
 
 
-def _across(shared: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of classes in one bucket, of different groups, that may be similar enough.
+class _Block:
+    """Classes of one bucket, or of two of its blocks, and the pairs across groups worth a look."""
+
+    def __init__(self, key: tuple, table: pa.Table):
+        self.sets = table.column("set").to_pylist()
+        self.regs = _stacked(table.column("registers"))
+        names = {r: n for n, r in enumerate(dict.fromkeys(table.column("root").to_pylist()))}
+        self.group = np.array([names[r] for r in table.column("root").to_pylist()])
+        self.block = table.column("block").to_numpy()
+        band, low, high = (k.as_py() for k in key)
+        self.within = low == high
+        self.place = int(np.flatnonzero(band_keys(self.regs[:1])[0] == band)[0]) if self.sets else 0
+
+    def near(self, x: int) -> np.ndarray:
+        """Partners of ``x`` behind it, of another group, most similar first."""
+        same = self.regs == self.regs[x]
+        found = estimate(same.sum(1))
+        fine = (found >= LEAST_ESTIMATE) & (self.group != self.group[x])
+        if self.within:
+            fine[: x + 1] = False
+        else:
+            fine &= self.block > self.block[x]
+        at = np.flatnonzero(fine)
+        first = same[at].reshape(-1, BANDS, ROWS).all(2).argmax(1) == self.place
+        at = at[first]
+        return at[np.argsort(-found[at], kind="stable")]
+
+
+def _suspects(key: tuple, table: pa.Table) -> pa.Table:
+    """The classes of a block that have such a pair."""
+    block = _Block(key, table)
+    held = np.zeros(len(block.sets), bool)
+    for x in range(len(block.sets)):
+        near = block.near(x)
+        if len(near):
+            held[x] = True
+            held[near] = True
+    return table.filter(pa.array(held))
+
+
+def _links(key: tuple, table: pa.Table) -> pa.Table:
+    """Confirmed pairs of a block, as many as it takes to join the groups they join."""
+    block = _Block(key, table)
+    hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+    parent = list(range(int(block.group.max()) + 1)) if block.sets else []
+
+    def find(g: int) -> int:
+        while parent[g] != g:
+            parent[g] = parent[parent[g]]
+            g = parent[g]
+        return g
+
+    a, b = [], []
+    for x in range(len(block.sets)):
+        for y in block.near(x).tolist():
+            mine, theirs = find(int(block.group[x])), find(int(block.group[y]))
+            if mine == theirs:
+                continue
+            common = len(np.intersect1d(hashes[x], hashes[y], assume_unique=True))
+            if 100 * common >= PER_CENT * (len(hashes[x]) + len(hashes[y]) - common):
+                parent[mine] = theirs
+                a.append(block.sets[x])
+                b.append(block.sets[y])
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def _across(
+    shared: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, text: str, id_col: str
+) -> DataFrame:
+    """Links between classes in one bucket that are in different groups so far.
 
     A bucket of many classes is cut into blocks; each pair of blocks is weighed
     on its own.
@@ -250,27 +334,16 @@ def _across(shared: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFram
         .join(classes.select("set", "registers"), "set")
         .select("band", "i", "j", "block", "set", "root", "registers")
     )
+    suspects = cut_lineage(dealt.groupBy("band", "i", "j").applyInArrow(_suspects, dealt.schema))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_groups(batches, "whole"):
+            found = [shingle_hashes(words_of(x)).tobytes() for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(found, pa.binary())], ["set", "hashes"])
 
-    def weigh(key: tuple, table: pa.Table) -> pa.Table:
-        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        roots = np.array(table.column("root").to_pylist(), object)
-        sets = table.column("set").to_pylist()
-        block = table.column("block").to_numpy()
-        within = key[1].as_py() == key[2].as_py()
-        a, b = [], []
-        for x in range(len(sets)):
-            near = estimate((regs == regs[x]).sum(1)) >= LEAST_ESTIMATE
-            near &= roots != roots[x]
-            if within:
-                near[: x + 1] = False
-            else:
-                near &= block > block[x]
-            for y in np.flatnonzero(near).tolist():
-                a.append(min(sets[x], sets[y]))
-                b.append(max(sets[x], sets[y]))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return dealt.groupBy("band", "i", "j").applyInArrow(weigh, "a binary, b binary").distinct()
+    texts = _texts(suspects.select("set"), classes, docs, text, id_col)
+    full = cut_lineage(texts.mapInArrow(hashed, "set binary, hashes binary").dropDuplicates(["set"]))
+    return suspects.join(full, "set").groupBy("band", "i", "j").applyInArrow(_links, "a binary, b binary").distinct()
 
 
 def near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -293,12 +366,9 @@ def near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     pairs = shared.where("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b")).distinct()
     links = cut_lineage(_confirm(cut_lineage(_weigh(pairs, classes)), classes, docs, text, id_col))
     roots = components(links, "a", "b")
-    more = cut_lineage(_across(shared.select("set", "band"), roots, classes))
+    more = cut_lineage(_across(shared.select("set", "band"), roots, classes, docs, text, id_col))
     if not more.isEmpty():
-        more = more.join(links, ["a", "b"], "left_anti")
-        found = cut_lineage(_confirm(cut_lineage(more), classes, docs, text, id_col))
-        if not found.isEmpty():
-            roots = components(links.unionByName(found), "a", "b")
+        roots = components(links.unionByName(more), "a", "b")
     rooted = (
         signed.select("id", "row", "n_shingles", "set")
         .join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
