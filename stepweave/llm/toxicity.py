@@ -39,7 +39,7 @@ from stepweave.llm.pieces import text_groups
 
 MAX_EXAMPLES = 8_000
 MAX_FEATURES = 4_096
-LEAST_CHI_SQUARE = 18.0
+LEAST_CHI_SQUARE = 30.0
 LEAST_DOCUMENTS = 3
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
@@ -71,6 +71,7 @@ class Model:
     rows: np.ndarray  # postings: examples in ascending order
     weights: np.ndarray
     block_max: np.ndarray  # features x blocks
+    block_starts: np.ndarray  # features x (blocks + 1): where a block's postings begin
     labels: np.ndarray
     ids: list
     share: float
@@ -89,32 +90,37 @@ class Model:
             return none
         bounds = w @ self.block_max[at]
         order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
         best_rows, best = none
         position, step = 0, 4
         while position < len(order):
-            kth = best[k - 1] if len(best) >= k else 0.0
             batch = order[position : position + step]
-            batch = batch[(bounds[batch] > 0) & (bounds[batch] >= kth - 1e-9)]
-            if not len(batch):
-                break
-            scores = np.zeros((len(batch), BLOCK))
-            for f, weight in zip(at.tolist(), w.tolist()):
-                a, b = self.starts[f], self.starts[f + 1]
-                rows = self.rows[a:b]
-                low = np.searchsorted(rows, batch * BLOCK)
-                high = np.searchsorted(rows, (batch + 1) * BLOCK)
-                for i, (x, y) in enumerate(zip(low.tolist(), high.tolist())):
-                    if x < y:
-                        scores[i, rows[x:y] - batch[i] * BLOCK] += weight * self.weights[a + x : a + y]
-            found = np.nonzero(scores > 0)
-            rows = np.r_[best_rows, batch[found[0]] * BLOCK + found[1]]
+            if len(best) >= k:
+                batch = batch[bounds[batch] >= best[k - 1] - 1e-9]
+                if not len(batch):
+                    break
+            scores = self._read(at, w, batch)
+            found = np.flatnonzero(scores > 0)
+            rows = np.r_[best_rows, batch[found // BLOCK] * BLOCK + found % BLOCK]
             sims = np.r_[best, scores[found]]
             top = np.lexsort((rows, -np.round(sims, 12)))[:k]
             best_rows, best = rows[top], sims[top]
             position += step
-            step *= 2
+            step *= 4
         return best_rows, best
 
+    def _read(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines of all examples in ``blocks``, from the postings of the features ``at`` there."""
+        starts = self.block_starts[at][:, blocks]
+        lengths = self.block_starts[at][:, blocks + 1] - starts
+        flat = lengths.ravel()
+        ends = np.cumsum(flat)
+        postings = np.arange(ends[-1]) + np.repeat(starts.ravel() - (ends - flat), flat)
+        base = np.broadcast_to(np.arange(len(blocks)) * BLOCK, lengths.shape).ravel()
+        place = self.rows[postings] % BLOCK + np.repeat(base, flat)
+        weight = self.weights[postings] * np.repeat(np.repeat(w, len(blocks)), flat)
+        return np.bincount(place, weight, len(blocks) * BLOCK)
+
     def vote(self, rows: np.ndarray, sims: np.ndarray) -> float:
         """Share of label 1 among the neighbours, weighted by similarity and drawn to the class share."""
         return float(((sims * self.labels[rows]).sum() + PRIOR_WEIGHT * self.share) / (sims.sum() + PRIOR_WEIGHT))
@@ -151,18 +157,12 @@ def fit(examples: list[tuple[object, str, int]], share: float) -> Model:
     Every fourth example calibrates, the others are indexed.
     """
     counted = [Counter(words_of(text)) for _, text, _ in examples]
+    features: dict[bytes, list[bytes]] = {w: features_of(w) for w in set().union(*counted)}
     y = np.array([label for *_, label in examples], float)
     indexed = np.arange(len(examples)) % 4 != 3
     seen = {0: Counter(), 1: Counter()}
-    expanded = []
-    for words in counted:
-        bag: Counter = Counter()
-        for word, n in words.items():
-            for f in features_of(word):
-                bag[f] += n
-        expanded.append(bag)
-    for bag, label in zip(expanded, y):
-        seen[int(label)].update(bag.keys())
+    for words, label in zip(counted, y):
+        seen[int(label)].update(set().union(*map(features.__getitem__, words)))
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     ranked = []
     for name in seen[0].keys() | seen[1].keys():
@@ -175,11 +175,16 @@ def fit(examples: list[tuple[object, str, int]], share: float) -> Model:
     ranked = sorted(ranked)[:MAX_FEATURES]
     names = {name: i for i, (_, name, _) in enumerate(ranked)}
     idf = np.log((1 + len(y)) / (1 + np.array([d for *_, d in ranked], float))) + 1 if ranked else np.empty(0)
-    bags = [{names[f]: n for f, n in bag.items() if f in names} for bag in expanded]
+    of_word = {w: ids for w, fs in features.items() if (ids := [names[f] for f in fs if f in names])}
+    bags: list[Counter] = [Counter() for _ in counted]
+    for bag, words in zip(bags, counted):
+        for word in words.keys() & of_word.keys():
+            for i in of_word[word]:
+                bag[i] += words[word]
 
     model = Model(
         names, idf, 0, np.zeros(len(names) + 1, np.int64), np.empty(0, np.int64), np.empty(0),
-        np.zeros((len(names), 0)), np.empty(0), [], share, (1.0, 0.0),
+        np.zeros((len(names), 0)), np.zeros((len(names), 1), np.int64), np.empty(0), [], share, (1.0, 0.0),
     )
     mine = [i for i in np.flatnonzero(indexed).tolist() if bags[i]]
     vectors = [model.vector(bags[i]) for i in mine]
@@ -194,6 +199,9 @@ def fit(examples: list[tuple[object, str, int]], share: float) -> Model:
         model.starts = np.searchsorted(feature, np.arange(len(names) + 1))
         model.block_max = np.zeros((len(names), -(-len(mine) // BLOCK)))
         np.maximum.at(model.block_max, (feature, model.rows // BLOCK), model.weights)
+        lengths = np.zeros(model.block_max.shape, np.int64)
+        np.add.at(lengths, (feature, model.rows // BLOCK), 1)
+        model.block_starts = model.starts[:-1, None] + np.c_[np.zeros(len(names), np.int64), lengths.cumsum(1)]
     held = np.flatnonzero(~indexed)
     if n1 and n0 and len(held):
         votes = np.array([model.vote(*model.nearest(*model.vector(bags[i]))) for i in held.tolist()])
