@@ -2,67 +2,48 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepweave.session import DISTINCT_PER_TASK_KEY, setting
+from stepweave.session import cut_lineage
 
-DISTINCT_PER_TASK = 1_000_000
 BUCKETS = 1024
 
 
 def group_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    method: str = "linear",
-    distinct_per_task: int | None = None,
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], method: str = "linear"
 ) -> DataFrame:
     """Exact quantiles of ``value`` per group: ``keys…, n, q0, q1, …``.
 
-    Values are first collapsed to ``(keys, value, count)``. A group with more
-    distinct values than ``distinct_per_task`` is cut into value buckets at
-    approximate quantiles; the bucket totals give each bucket its rank offset,
-    so every task ranks one bucket and the result is still exact.
+    Values are first collapsed to ``(keys, value, count)`` and cut into buckets
+    at approximate quantiles of each group. The edges are stored once, so every
+    reader sees the same; the bucket totals give each bucket its rank offset, so
+    every task ranks one bucket and the result is exact. A group of any size
+    takes this path. For many groups of bounded size, Spark's ``percentile`` is
+    cheaper.
 
     ``method``: ``linear`` interpolates between the neighbouring ranks,
     ``nearest`` takes rank ``floor((n-1)*p + 0.5)``.
     """
     if method not in ("linear", "nearest"):
         raise ValueError(f"unknown quantile method {method!r}")
-    if distinct_per_task is None:
-        distinct_per_task = setting(df.sparkSession, DISTINCT_PER_TASK_KEY, DISTINCT_PER_TASK)
     keys = list(keys)
 
-    counts = (
+    counts = cut_lineage(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    crowded = (
-        counts.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_distinct"))
-        .where(F.col("_distinct") > distinct_per_task)
-        .select(*keys)
-    )
     cuts = [i / BUCKETS for i in range(1, BUCKETS)]
-    wide = (
-        counts.join(F.broadcast(crowded), keys)
-        .groupBy(*keys)
-        .agg(F.percentile_approx("_v", cuts, F.lit(100 * BUCKETS)).alias("_edges"))
+    edges = cut_lineage(
+        counts.groupBy(*keys).agg(
+            F.array_distinct(F.percentile_approx("_v", cuts, F.lit(100 * BUCKETS))).alias("_edges")
+        )
     )
-    # `crowded` and `wide` hold at most total_distinct / distinct_per_task rows
-    bucketed = counts.join(F.broadcast(wide), keys, "left").select(
-        *keys,
-        "_v",
-        "_c",
-        F.when(F.col("_edges").isNull(), F.lit(0))
-        .otherwise(F.size(F.filter("_edges", lambda e: e < F.col("_v"))))
-        .alias("_b"),
+    bucketed = counts.join(edges, keys).select(
+        *keys, "_v", "_c", F.size(F.filter("_edges", lambda e: e < F.col("_v"))).alias("_b")
     )
 
     per_bucket = bucketed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bn"))
@@ -98,45 +79,16 @@ def group_quantiles(
 
 
 def column_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    method: str = "linear",
-    distinct_per_task: int | None = None,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], method: str = "linear"
 ) -> dict[str, tuple[int, list[float]]]:
     """Exact quantiles of whole columns as a fitted artifact.
 
     Returns ``{column: (non-null count, quantiles)}``; only one row per column
-    reaches the driver. Columns with few distinct values, checked first, are
-    ranked by Spark's counting aggregate, whose buffer holds one entry per
-    distinct value; anything wider goes through :func:`group_quantiles`.
+    reaches the driver.
     """
-    if distinct_per_task is None:
-        distinct_per_task = setting(df.sparkSession, DISTINCT_PER_TASK_KEY, DISTINCT_PER_TASK)
-    df = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    names = df.columns
-    # no more distinct values than rows; counting rows prunes every column
-    sizes = [F.count(c).alias(f"n_{c}") for c in names]
-    if df.count() > distinct_per_task:
-        sizes += [F.approx_count_distinct(c).alias(f"d_{c}") for c in names]
-    elif method == "linear":
-        found = df.agg(*sizes, *[F.percentile(c, list(probs)).alias(c) for c in names]).first()
-        return {c: (found[f"n_{k}"], list(found[k] or [None] * len(probs))) for c, k in zip(columns, names)}
-    row = df.agg(*sizes).first().asDict()
-    counts = [row[f"n_{c}"] for c in names]
-    if all(row.get(f"d_{c}", 0) <= distinct_per_task for c in names):
-        aggs = [_counting_quantiles(c, n, probs, method).alias(c) for c, n in zip(names, counts)]
-        found = df.agg(*aggs).first()
-        return {c: (n, list(found[k] or [None] * len(probs))) for c, k, n in zip(columns, names, counts)}
-    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in names])
-    rows = group_quantiles(df.select(F.inline(pairs)), ["name"], "value", probs, method, distinct_per_task).collect()
-    ranked = {r["name"]: [r[f"q{i}"] for i in range(len(probs))] for r in rows}
-    return {c: (n, ranked.get(k, [None] * len(probs))) for c, k, n in zip(columns, names, counts)}
-
-
-def _counting_quantiles(column: str, n: int, probs: Sequence[float], method: str) -> Column:
-    if method == "linear":
-        return F.percentile(column, list(probs))
-    # the rank as a share of the count, half a row off either border
-    shares = [(math.floor((n - 1) * p + 0.5) + 0.5) / n if n else 0.5 for p in probs]
-    return F.array(*[F.expr(f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY {column})") for share in shares])
+    pairs = [
+        F.struct(F.lit(i).alias("name"), F.col(f"`{c}`").cast("double").alias("value")) for i, c in enumerate(columns)
+    ]
+    rows = group_quantiles(df.select(F.inline(F.array(*pairs))), ["name"], "value", probs, method).collect()
+    found = {r["name"]: (r["n"], [r[f"q{i}"] for i in range(len(probs))]) for r in rows}
+    return {c: found.get(i, (0, [None] * len(probs))) for i, c in enumerate(columns)}

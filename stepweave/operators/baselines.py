@@ -62,7 +62,11 @@ class BehaviourCloning:
         rows = self.model.transform(transitions.withColumn("features", array_to_vector("state")))
         return rows.withColumns(
             {
-                "policy_probs": vector_to_array("probability"),
+                # actions above the largest one seen have no class in the model
+                "policy_probs": F.concat(
+                    vector_to_array("probability"),
+                    F.array_repeat(F.lit(0.0), self.n_actions - self.model.numClasses),
+                ),
                 "policy_action": F.col("prediction").cast("int"),
             }
         ).drop("features", "rawPrediction", "probability", "prediction")
@@ -74,7 +78,10 @@ def fit_behaviour_cloning(
     """Multinomial logistic regression of the action on the state, fitted by
     tree-aggregated gradients over the partitions.
     """
-    rows = train.select(array_to_vector("state").alias("features"), F.col("action").cast("double").alias("label"))
+    action = F.col("action")
+    outside = F.raise_error(F.concat(F.lit("action outside the grid: "), action.cast("string"))).cast("double")
+    label = F.when((action >= 0) & (action < n_actions), action.cast("double")).otherwise(outside)
+    rows = train.select(array_to_vector("state").alias("features"), label.alias("label"))
     learner = LogisticRegression(family="multinomial", maxIter=max_iter, regParam=reg, standardization=True)
     return BehaviourCloning(learner.fit(rows), n_actions)
 

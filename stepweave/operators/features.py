@@ -8,7 +8,6 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepweave.functions.quantiles import group_quantiles
 from stepweave.functions.scalars import clip, in_range, number, order_key, ratio
 from stepweave.functions.skew import skew_join
 from stepweave.operators.grid import GridConfig, events_in_steps, grid_steps
@@ -223,9 +222,9 @@ def feature_long(
 
 
 def static_weight(infusions: DataFrame, weight: str = "patientweight") -> DataFrame:
-    """Median recorded weight per stay."""
-    rows = infusions.select("stay_id", number(F.col(weight)).alias("_w"))
-    return group_quantiles(rows, ["stay_id"], "_w", [0.5]).select("stay_id", F.col("q0").alias("weight_kg"))
+    """Median recorded weight per stay; a stay's distinct weights are few."""
+    rows = infusions.select("stay_id", number(F.col(weight)).cast("double").alias("_w")).where(F.col("_w").isNotNull())
+    return rows.groupBy("stay_id").agg(F.percentile("_w", 0.5).alias("weight_kg"))
 
 
 def step_context(

@@ -126,7 +126,10 @@ def fqe_score(
     q = F.when(F.size("q") == n_actions, F.col("q")).otherwise(
         F.raise_error(F.lit("action values missing or of wrong width")).cast("array<double>")
     )
-    rows = initial.join(values.select(key, "q"), key, "left").withColumn("q", q)
+    once = F.when(F.count(F.lit(1)) == 1, F.first("q")).otherwise(
+        F.raise_error(F.lit("several rows of action values for one episode")).cast("array<double>")
+    )
+    rows = initial.join(values.groupBy(key).agg(once.alias("q")), key, "left").withColumn("q", q)
     if policy_probs is not None:
         mass = total(F.col(policy_probs))
         safe = F.when(mass > 0, mass).otherwise(F.raise_error(F.lit("policy without probability mass")).cast("double"))
@@ -137,12 +140,18 @@ def fqe_score(
 
 
 def contract_check(train_meta: DataFrame, held_meta: DataFrame, fields: Sequence[str] = CONTRACT_FIELDS) -> DataFrame:
-    """Drift between two one-row dataset descriptions: ``field, train, held_out``."""
-    present = [f for f in fields if f in train_meta.columns and f in held_meta.columns]
+    """Drift between two one-row dataset descriptions: ``field, train, held_out``.
+
+    Both must have all ``fields``.
+    """
+    for name, meta in (("train", train_meta), ("held-out", held_meta)):
+        absent = sorted(set(fields) - set(meta.columns))
+        if absent:
+            raise ValueError(f"the {name} description lacks contract fields: {absent}")
 
     def long(meta: DataFrame, name: str) -> DataFrame:
         pairs = F.array(
-            *[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias(name)) for f in present]
+            *[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias(name)) for f in fields]
         )
         return meta.select(F.inline(pairs))
 
@@ -168,8 +177,21 @@ def evaluate_policy(
     policy_action: str | None = "policy_action",
     policy_probs: str | None = None,
     key: str = "episode_id",
+    train_meta: DataFrame | None = None,
+    held_meta: DataFrame | None = None,
 ) -> DataFrame:
-    """Combined one-row report: importance sampling metrics plus ``fqe``."""
+    """Combined one-row report: importance sampling metrics plus ``fqe``.
+
+    Trajectories that break a rule, no trajectory at all, and drift between
+    ``train_meta`` and ``held_meta``, if given, are errors.
+    """
+    broken = held_out_violations(steps, key=key).first()
+    if broken is not None:
+        raise ValueError(f"held-out trajectories break a rule: {broken.asDict()}")
+    if train_meta is not None and held_meta is not None:
+        drift = contract_check(train_meta, held_meta).collect()  # one row per field
+        if drift:
+            raise ValueError(f"dataset descriptions differ: {[r.asDict() for r in drift]}")
     chosen = policy_probs or policy_action
     prob = policy_prob(
         F.col("action"),
@@ -181,5 +203,10 @@ def evaluate_policy(
         initial_steps(steps, [chosen], key), values, fitted_split, n_actions,
         None if policy_probs else policy_action, policy_probs, key,
     )
-    # two one-row tables joined on their episode count
-    return metrics.join(fqe, "n_episodes")
+    # two one-row tables put side by side
+    both = metrics.unionByName(fqe.select("fqe"), allowMissingColumns=True)
+    row = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    some = F.when(F.col("n_episodes") > 0, F.col("n_episodes")).otherwise(
+        F.raise_error(F.lit("no held-out episodes")).cast("long")
+    )
+    return row.withColumn("n_episodes", some)

@@ -12,8 +12,11 @@ from stepweave.functions.ranking import ordered_index, trailing_mean
 from stepweave.operators.baselines import episode_returns
 
 
-def metric_summary(log: DataFrame, by: Sequence[str] = ("name",), seq: str = "step") -> DataFrame:
-    """Count, range, mean, exact median and first/last value per metric.
+def metric_summary(
+    log: DataFrame, by: Sequence[str] = ("name",), seq: str = "step", epochs: bool = False
+) -> DataFrame:
+    """Count, range, mean, exact median and first/last value per metric, with
+    ``epochs`` also its first and last epoch.
 
     ``seq`` orders the points of a curve and is unique within it.
     """
@@ -28,6 +31,7 @@ def metric_summary(log: DataFrame, by: Sequence[str] = ("name",), seq: str = "st
         F.max_by("value", seq).alias("final"),
         F.min(seq).alias("first_step"),
         F.max(seq).alias("last_step"),
+        *([F.min("epoch").alias("first_epoch"), F.max("epoch").alias("last_epoch")] if epochs else []),
     )
     medians = group_quantiles(finite, by, "value", [0.5]).select(*by, F.col("q0").alias("median"))
     return stats.join(medians, by)
@@ -45,9 +49,8 @@ def best_epoch(log: DataFrame, by: Sequence[str] = ("name",)) -> DataFrame:
     Epochs are first reduced to one row each.
     """
     epochs = epoch_summary(log, [*by, "epoch"])
-    lowest = epochs.groupBy(*by).agg(F.min("mean").alias("best_value"))
-    tied = epochs.join(lowest, list(by)).where(F.col("mean") == F.col("best_value"))
-    return tied.groupBy(*by, "best_value").agg(F.min("epoch").alias("best_epoch"))
+    best = epochs.groupBy(*by).agg(F.min(F.struct("mean", "epoch")).alias("_best"))
+    return best.select(*by, F.col("_best.mean").alias("best_value"), F.col("_best.epoch").alias("best_epoch"))
 
 
 def episode_return_curve(transitions: DataFrame, key: str = "stay_id") -> DataFrame:

@@ -67,9 +67,15 @@ def _cells(spark, n_bins: int) -> DataFrame:
     return ids.select("action", first.alias("vaso_bin"), second.alias("fluid_bin"))
 
 
+def _in_grid(action: Column, n_bins: int) -> Column:
+    """The action id; one outside the grid, or none, fails the job."""
+    wrong = F.raise_error(F.concat(F.lit("no cell for action "), F.coalesce(action.cast("string"), F.lit("null"))))
+    return F.when((action >= 0) & (action < n_bins * n_bins), action).otherwise(wrong.cast("int"))
+
+
 def heatmap(rows: DataFrame, action: str, n_bins: int = 5) -> DataFrame:
     """Count and share for every cell of the action grid, empty cells included."""
-    counts = rows.groupBy(F.col(action).alias("action")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = rows.groupBy(_in_grid(F.col(action), n_bins).alias("action")).agg(F.count(F.lit(1)).alias("_n"))
     cells = _cells(rows.sparkSession, n_bins).join(counts, "action", "left")
     cells = cells.select("vaso_bin", "fluid_bin", F.coalesce("_n", F.lit(0)).alias("count"))
     return _normalised(cells, F.col("count"))
@@ -96,7 +102,7 @@ def delta_heatmap(rows: DataFrame, n_bins: int = 5) -> DataFrame:
             )
         )
     )
-    counts = both.groupBy("action").agg(F.sum("d").alias("_n"))
+    counts = both.groupBy(_in_grid(F.col("action"), n_bins).alias("action")).agg(F.sum("d").alias("_n"))
     cells = _cells(rows.sparkSession, n_bins).join(counts, "action", "left")
     cells = cells.select("vaso_bin", "fluid_bin", F.coalesce("_n", F.lit(0)).alias("delta"))
     return _normalised(cells, F.abs("delta"))

@@ -41,31 +41,22 @@ def group_split(
     return spread_rank(ids, key, seed).select(key, label.alias("split"))
 
 
-def split_manifest(
-    episodes: DataFrame, splits: DataFrame, key: str = "subject_id", max_keys: int = 100_000
-) -> DataFrame:
-    """``key, split, part, episode_keys, n_episodes``.
+def split_manifest(episodes: DataFrame, splits: DataFrame, key: str = "subject_id") -> DataFrame:
+    """``key, split, stay_id, n_episodes``: one row per stay, with the key's whole count.
 
-    A key's stays form one sorted array (part 0) up to ``max_keys`` stays.
-    Beyond that they are spread over several rows by a hash of the stay id, so
-    no array grows without bound; ``n_episodes`` is always the whole count.
+    The stored form has this shape whatever the size of a key.
     """
     stays = episodes.select(key, "stay_id").distinct()
     sizes = stays.groupBy(key).agg(F.count(F.lit(1)).alias("n_episodes"))
     sized = skew_join(stays, sizes.join(splits.select(key, "split"), key), key)
-    parts = F.ceil(F.col("n_episodes") / max_keys)
-    part = F.when(parts > 1, F.pmod(F.xxhash64("stay_id"), parts)).otherwise(F.lit(0)).cast("int")
-    return (
-        sized.withColumn("part", part)
-        .groupBy(key, "split", "part", "n_episodes")
-        .agg(F.array_sort(F.collect_list("stay_id")).alias("episode_keys"))
-        .select(key, "split", "part", "episode_keys", "n_episodes")
-    )
+    return sized.select(key, "split", "stay_id", "n_episodes")
 
 
-def manifest_splits(manifest: DataFrame, key: str = "subject_id") -> DataFrame:
-    """Long view of a stored manifest: one row per stay."""
-    return manifest.select(key, "split", F.explode("episode_keys").alias("stay_id"))
+def manifest_arrays(manifest: DataFrame, key: str = "subject_id") -> DataFrame:
+    """View of a manifest with one row per key: ``key, split, episode_keys, n_episodes``."""
+    return manifest.groupBy(key, "split", "n_episodes").agg(
+        F.array_sort(F.collect_list("stay_id")).alias("episode_keys")
+    )
 
 
 def split_stats(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,12 +71,28 @@ def unflatten(flat: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def replay_features(flat: DataFrame) -> list[str]:
-    """Feature names found in a flat replay table, alphabetically."""
-    return sorted(c[2:] for c in flat.columns if c.startswith("s_") and f"n{c}" in flat.columns)
-
+    """Feature names found in a flat replay table, alphabetically; every state
+    column needs its successor column, and there must be one.
+    """
+    now = {c[2:] for c in flat.columns if c.startswith("s_")}
+    after = {c[3:] for c in flat.columns if c.startswith("ns_")}
+    if now != after or not now:
+        raise ValueError(f"replay table with unpaired or no state columns: {sorted(now ^ after)}")
+    return sorted(now)
+
+
+def dataset_meta(
+    transitions: DataFrame,
+    n_actions: int = 25,
+    by: Sequence[str] = (),
+    description: Mapping[str, object] | None = None,
+) -> DataFrame:
+    """Episode and transition counts and dimensions, optionally per group.
 
-def dataset_meta(transitions: DataFrame, n_actions: int = 25, by: Sequence[str] = ()) -> DataFrame:
-    """Episode and transition counts and dimensions, optionally per group."""
+    ``description`` adds what the rows don't show: specification versions, the
+    seed of the manifest, the ordered feature columns (joined by commas), the
+    split label.
+    """
     per_episode = transitions.groupBy(*by, "stay_id").agg(
         F.count(F.lit(1)).alias("rows"), F.max(F.size("state")).alias("dim")
     )
@@ -85,6 +101,7 @@ def dataset_meta(transitions: DataFrame, n_actions: int = 25, by: Sequence[str]
         F.coalesce(F.sum("rows"), F.lit(0)).alias("n_transitions"),
         F.max("dim").alias("state_dim"),
         F.lit(n_actions).alias("n_actions"),
+        *[F.lit(value).alias(name) for name, value in (description or {}).items()],
     )
 
 

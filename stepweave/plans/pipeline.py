@@ -22,6 +22,7 @@ from stepweave.session import configure, cut_lineage
 from stepweave.sources import readers, writers
 
 Tables = dict[str, DataFrame]
+SPEC_VERSION = "1"
 
 
 @dataclass(frozen=True)
@@ -93,16 +94,32 @@ def split_stage(episodes: DataFrame, cfg: PipelineConfig) -> Tables:
         "splits": splits,
         "manifest": split.split_manifest(episodes, splits),
         "split_stats": split.split_stats(episodes, splits),
-        "leakage": split.leakage_check(splits),
+        "leakage": split.leakage_check(episodes.select("subject_id", "stay_id").join(splits, "subject_id"), "stay_id"),
     }
 
 
-def event_sources(raw: Mapping[str, DataFrame], registry: Registry) -> dict[str, EventSource]:
-    """Sources of the preset, restricted to the items the registry uses."""
+def time_bounds(episodes: DataFrame) -> tuple[object, object]:
+    """Earliest window start and latest window end, as literals for the scans."""
+    return tuple(episodes.agg(F.min("window_start"), F.max("window_end")).first())
+
+
+def event_sources(
+    raw: Mapping[str, DataFrame], registry: Registry, episodes: DataFrame | None = None
+) -> dict[str, EventSource]:
+    """Sources of the preset, restricted to the items the registry uses and, with
+    ``episodes``, to their owners and the time they span.
+    """
+    start, end = (None, None) if episodes is None else time_bounds(episodes)
 
     def wanted(table: str, source: str) -> DataFrame:
         return readers.scan_points(
-            raw[table], features.items_of(registry, source), time="starttime" if table == "inputevents" else "charttime"
+            raw[table],
+            features.items_of(registry, source),
+            start,
+            end,
+            episodes,
+            key="hadm_id" if table == "labevents" else "stay_id",
+            time="starttime" if table == "inputevents" else "charttime",
         )
 
     return {
@@ -125,15 +142,18 @@ def trajectory_stage(
     registry = cfg.registry
     if cfg.limit_stays is not None:
         episodes = cut_lineage(readers.first_stays(episodes, cfg.limit_stays))
-    weights = features.static_weight(raw["inputevents"])
+    start, end = time_bounds(episodes)
+    listed = sorted({*features.items_of(registry, "input"), *clinical.FLUID_ITEMS, *clinical.AGENT_ITEMS})
+    infused = readers.scan_intervals(raw["inputevents"], listed, start, end, episodes)
+    weights = features.static_weight(infused)
     labels = features.outcome_label(episodes, admissions)
     context = features.step_context(episodes, ages, weights, splits, labels)
-    measured = features.raw_state(event_sources(raw, registry), episodes, registry, cfg.grid)
+    measured = features.raw_state(event_sources(raw, registry, episodes), episodes, registry, cfg.grid)
     wide = measured.join(context.drop("hadm_id", "onset_time"), "stay_id").withColumn(
         "hours_since_onset", F.col("hours_relative").cast("double")
     )
 
-    drugs = readers.scan_intervals(raw["inputevents"], list(clinical.AGENT_ITEMS))
+    drugs = readers.scan_intervals(raw["inputevents"], list(clinical.AGENT_ITEMS), start, end, episodes)
     rates = act.standardise_rate(drugs, clinical.AGENT_ITEMS, clinical.AGENT_FACTORS)
     steps = grid.grid_steps(episodes, cfg.grid)
     levels = act.treatment_levels(
@@ -195,5 +215,14 @@ def run(spark: SparkSession, raw: Mapping[str, DataFrame], root: str, cfg: Pipel
     store(tables)
     paths["replay"] = f"{root}/replay"
     writers.write_replay(transitions, paths["replay"], columns)
-    store({"meta": tr.dataset_meta(readers.read_replay(spark, paths["replay"], columns), cfg.n_bins**2, ["split"])})
+    description = {
+        "spec_version": SPEC_VERSION,
+        "action_spec_version": SPEC_VERSION,
+        "reward_spec_version": SPEC_VERSION,
+        "manifest_seed": cfg.seed,
+        "feature_columns": ",".join(columns),
+    }
+    replay = readers.read_replay(spark, paths["replay"], columns)
+    meta = tr.dataset_meta(replay, cfg.n_bins**2, ["split"], description)
+    store({"meta": meta.withColumn("split_label", F.col("split"))})
     return paths

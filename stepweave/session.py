@@ -7,8 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-DISTINCT_PER_TASK_KEY = "stepweave.distinctPerTask"
-
 # Run-time settings the plans rely on. A hot join key is split by AQE into
 # several tasks; forcing it allows the split even where the aggregate above
 # then needs an exchange of its own (of partial results).
@@ -42,14 +40,11 @@ def build_session(app_name: str = "stepweave", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def setting(spark: SparkSession, key: str, default: int) -> int:
-    return int(spark.conf.get(key, str(default)))
-
-
 def _shared_folder(spark: SparkSession) -> str:
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        # one process shares its own folders; executors of their own do not
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)

@@ -12,7 +12,7 @@ from stepweave.plans.study import Study
 
 SF = os.environ.get("CATALOG_SF_DIR", "/root/testdata/sf0.001")
 ORACLE = entry_module.oracle_sql()
-ROWS_ONLY = {"behaviour_cloning"}
+ROWS_ONLY: set[str] = set()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="bundled tables not present")
 

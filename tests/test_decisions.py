@@ -253,10 +253,32 @@ def test_held_out_rules(spark):
 
 def test_contract(spark):
     meta = "n_actions int, state_dim int, manifest_seed int, split_label string"
+    fields = ("n_actions", "state_dim", "manifest_seed")
     a = spark.createDataFrame([(25, 62, 42, "train")], meta)
-    assert ope.contract_check(a, spark.createDataFrame([(25, 62, 42, " TEST ")], meta)).count() == 0
-    drift = ope.contract_check(a, spark.createDataFrame([(25, 33, None, "train")], meta))
+    assert ope.contract_check(a, spark.createDataFrame([(25, 62, 42, " TEST ")], meta), fields).count() == 0
+    drift = ope.contract_check(a, spark.createDataFrame([(25, 33, None, "train")], meta), fields)
     assert {r.field for r in drift.collect()} == {"state_dim", "manifest_seed", "split_label"}
+    with pytest.raises(ValueError, match="feature_columns"):
+        ope.contract_check(a, a)
+
+
+def test_evaluation_rejects_broken_input(spark):
+    good = held_out(spark).withColumn("policy_action", F.lit(0))
+    values = good.select("episode_id").distinct().withColumn("q", F.array_repeat(F.lit(1.0), 25))
+    assert ope.evaluate_policy(good, values, "train").count() == 1
+    with pytest.raises(ValueError, match="behavior_prob"):
+        ope.evaluate_policy(good.withColumn("behavior_action_prob", F.lit(1.5)), values, "train")
+    for steps, q, what in ((good.limit(0), values, "no held-out"), (good, values.union(values), "several rows")):
+        with pytest.raises(Exception, match=what):
+            ope.evaluate_policy(steps, q, "train").collect()
+
+
+def test_heat_map_rejects_an_action_outside_the_grid(spark):
+    for action in (25, -1, None):
+        rows = spark.createDataFrame([(0, 3), (action, 3)], "clinician_action int, policy_action int")
+        for made in (safety.heatmap(rows, "clinician_action"), safety.delta_heatmap(rows)):
+            with pytest.raises(Exception, match="no cell for action"):
+                made.collect()
 
 
 # --- safety
