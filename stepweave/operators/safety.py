@@ -182,7 +182,7 @@ def support_warnings(
         "support_prob",
         "support_count",
         F.format_string(
-            "Policy action %s has weak behavior support (prob=%.3f, count=%d).",
+            "%s is rarely taken in such states: share %.3f, seen %d times",
             label, F.col("support_prob"), F.col("support_count"),
         ).alias("message"),
     )

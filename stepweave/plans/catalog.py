@@ -14,7 +14,7 @@ from stepweave.operators import cohort as coh
 from stepweave.operators import transitions as tr
 from stepweave.operators.sweep import Setup, run_sweep
 from stepweave.plans.study import FULL, ONSET, RULES, SEED, Study, sweep_plan
-from stepweave.sources.readers import first_stays, scan_intervals, scan_points
+from stepweave.sources.readers import first_stays, orders_matching, scan_intervals, scan_points
 
 Query = Callable[[Study], DataFrame]
 CATALOG: dict[str, Query] = {}
@@ -52,8 +52,8 @@ def scan_intervals_filtered(s: Study) -> DataFrame:
 
 @query
 def scan_orders_keyword(s: Study) -> DataFrame:
-    hit = F.upper("o_orderpriority").rlike("HIGH|URGENT") & F.col("o_orderdate").isNotNull()
-    return s.table("orders").where(hit).select("o_orderkey", "o_orderpriority", "o_orderdate")
+    rows = orders_matching(s.table("orders"), ("high", "urgent"), "o_orderpriority", "o_orderdate")
+    return rows.select("o_orderkey", "o_orderpriority", "o_orderdate")
 
 
 @query

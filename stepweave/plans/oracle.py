@@ -720,8 +720,8 @@ FROM (SELECT * FROM review ORDER BY agree, NOT low, support_prob, support_count,
 SQL["support_warnings"] = f"""
 SELECT CASE WHEN support_prob < 0.025 OR support_count < 5 THEN 'high' ELSE 'medium' END AS severity, episode_id,
   step_index, subgroup, {_LABEL.format(a='policy_action')} AS policy_action_label, {_r('support_prob')}, support_count,
-  'Policy action ' || {_LABEL.format(a='policy_action')} || ' has weak behavior support (prob='
-    || printf('%.3f', support_prob) || ', count=' || CAST(support_count AS VARCHAR) || ').' AS message
+  {_LABEL.format(a='policy_action')} || ' is rarely taken in such states: share '
+    || printf('%.3f', support_prob) || ', seen ' || CAST(support_count AS VARCHAR) || ' times' AS message
 FROM review WHERE low"""
 
 # --- sweeps

@@ -65,8 +65,14 @@ def read_orders_matching(
     spark: SparkSession, path: str, keywords: Sequence[str], fmt: str = "csv"
 ) -> DataFrame:
     """Drug orders whose name contains one of the keywords and that have a start."""
-    rows = raw_table(spark, path, "prescriptions", fmt)
-    return rows.where(F.upper("drug").rlike("|".join(k.upper() for k in keywords)) & F.col("starttime").isNotNull())
+    return orders_matching(raw_table(spark, path, "prescriptions", fmt), keywords)
+
+
+def orders_matching(
+    orders: DataFrame, keywords: Sequence[str], name: str = "drug", time: str = "starttime"
+) -> DataFrame:
+    """Orders whose name contains one of the keywords, in any case, and that have a time."""
+    return orders.where(F.upper(name).rlike("|".join(k.upper() for k in keywords)) & F.col(time).isNotNull())
 
 
 def scan_points(

@@ -6,6 +6,7 @@ Raw CSV columns that need lenient parsing are read as text and cast with
 
 from __future__ import annotations
 
+# Column names of the external tables and of stored artifacts, here and below.
 # Raw text columns per table
 RAW_COLUMNS: dict[str, tuple[str, ...]] = {
     "stays": (
