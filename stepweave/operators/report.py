@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stepweave.functions.quantiles import group_quantiles
 from stepweave.functions.ranking import ordered_index, trailing_mean
 from stepweave.operators.baselines import episode_returns
+from stepweave.session import cut_lineage
 
 
 def metric_summary(
@@ -55,7 +56,8 @@ def best_epoch(log: DataFrame, by: Sequence[str] = ("name",)) -> DataFrame:
 
 def episode_return_curve(transitions: DataFrame, key: str = "stay_id") -> DataFrame:
     """Return per episode with its 1-based position in key order."""
-    returns = episode_returns(transitions, key=key).select(key, "episode_return")
+    # read twice: for the edges of the rank buckets, and to rank
+    returns = cut_lineage(episode_returns(transitions, key=key).select(key, "episode_return"))
     return ordered_index(returns, key, "episode_index")
 
 

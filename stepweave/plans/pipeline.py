@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepweave.functions.skew import skew_join
 from stepweave.operators import actions as act
 from stepweave.operators import anchor, cohort, features, grid, rewards, scaling, split
 from stepweave.operators import transitions as tr
@@ -42,7 +43,7 @@ class PipelineConfig:
 
 
 def cohort_stage(stays: DataFrame, patients: DataFrame, admissions: DataFrame, cfg: PipelineConfig) -> Tables:
-    base = cohort.merge_base(stays, patients, admissions)
+    base = cut_lineage(cohort.merge_base(stays, patients, admissions))
     labelled = cohort.label_exclusions(base, cfg.rules)
     included, excluded = cohort.cohort_funnel(base, cfg.rules)
     return {
@@ -66,9 +67,11 @@ def onset_stage(
     anchors = anchor.suspected_anchor(
         orders(antibiotics, "starttime"), orders(cultures, "culture_time"), "hadm_id", "order_time"
     )
-    scores = anchor.dysfunction_score(readers.scan_scores(chart, clinical.SCORE_ITEMS), clinical.SCORE_COMPONENTS)
-    scores = cut_lineage(scores)
-    anchored = anchor.attach_anchor(stays, anchors)
+    anchored = cut_lineage(anchor.attach_anchor(stays, anchors))
+    # only stays with an anchor are searched for an onset
+    wanted = anchored.where(F.col("anchor_time").isNotNull()).select("stay_id").distinct()
+    measured = skew_join(readers.scan_scores(chart, clinical.SCORE_ITEMS), wanted, "stay_id", "left_semi")
+    scores = cut_lineage(anchor.dysfunction_score(measured, clinical.SCORE_COMPONENTS))
     classified = cut_lineage(anchor.classify_onset(anchored, scores, cfg.onset))
     return {
         "onset": anchor.onset_usable(classified),
@@ -79,7 +82,7 @@ def onset_stage(
 
 
 def grid_stage(onsets: DataFrame, stays: DataFrame, admissions: DataFrame | None, cfg: PipelineConfig) -> Tables:
-    episodes = grid.grid_episodes(onsets, stays, admissions, cfg.grid)
+    episodes = cut_lineage(grid.grid_episodes(onsets, stays, admissions, cfg.grid))
     return {
         "episodes": episodes,
         "steps": grid.grid_steps(episodes, cfg.grid),
@@ -89,7 +92,7 @@ def grid_stage(onsets: DataFrame, stays: DataFrame, admissions: DataFrame | None
 
 
 def split_stage(episodes: DataFrame, cfg: PipelineConfig) -> Tables:
-    splits = split.group_split(episodes, seed=cfg.seed, train=cfg.train, val=cfg.val)
+    splits = cut_lineage(split.group_split(episodes, seed=cfg.seed, train=cfg.train, val=cfg.val))
     return {
         "splits": splits,
         "manifest": split.split_manifest(episodes, splits),
