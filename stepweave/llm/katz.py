@@ -107,31 +107,25 @@ class Words:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.types + 1)))
 
 
-def pair_logs(pairs: np.ndarray, of_class: np.ndarray) -> np.ndarray:
-    """Log10 of the probability of each class after each context, from a matrix of pair counts.
+def context_logs(counts: np.ndarray, ratios: np.ndarray, of_class: np.ndarray) -> np.ndarray:
+    """Log10 of the probability of each class after one context, from the counts of what followed it.
 
-    Every row sums to 1: a context without pairs, or one that leaves nothing to
-    back off to, falls back to classes alone or is scaled to 1.
+    The probabilities sum to 1: a context without pairs, or one that leaves
+    nothing to back off to, falls back to classes alone or is scaled to 1.
     """
-    seen = pairs > 0
-    values, numbers = np.unique(pairs[seen], return_counts=True)
-    ratios = discounts({int(v): int(n) for v, n in zip(values, numbers) if v <= LARGEST_DISCOUNTED + 1})
-    out = np.empty(pairs.shape)
-    for context in range(len(pairs)):
-        row, held = pairs[context], seen[context]
-        total = row.sum()
-        if not total:
-            out[context] = of_class
-            continue
-        explicit = discounted(row, ratios) / total
-        left, free = 1 - explicit.sum(), of_class[~held].sum()
-        if left > 1e-12 and free > 1e-12:
-            out[context] = np.where(held, explicit, left / free * of_class)
-        else:
-            out[context] = np.where(held, explicit / explicit.sum(), 0)
-            if free > 0:  # keep every class possible
-                out[context] = (1 - 1e-6) * out[context] + 1e-6 * of_class
-    return np.log10(np.maximum(out, 1e-300))
+    held, total = counts > 0, counts.sum()
+    if not total:
+        return _log(of_class)
+    explicit = discounted(counts, ratios) / total
+    left, free = 1 - explicit.sum(), of_class[~held].sum()
+    if left > 1e-12 and free > 1e-12:
+        return _log(np.where(held, explicit, left / free * of_class))
+    alone = explicit / explicit.sum()
+    return _log((1 - 1e-6) * alone + 1e-6 * of_class if free > 0 else alone)  # every class stays possible
+
+
+def _log(p: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum(p, 1e-300))
 
 
 def _blocks(docs: DataFrame, text: str, id_col: str, learns: Column) -> tuple[DataFrame, int]:
@@ -233,11 +227,21 @@ def score(
     of_class = of_class / of_class.sum()
 
     n = len(of_word) + 1
-    pair_table = cut_lineage(_pairs(blocks, of_word))  # at most (n + 1) * n rows
-    pairs = np.zeros((n + 1, n))
-    got = pair_table.toPandas()
-    pairs[np.where(got["context"] < 0, n, got["context"]), got["class"]] = got["c"]
-    shared = spark.sparkContext.broadcast((fitted, of_word, pair_logs(pairs, of_class), of_class))
+    pairs = cut_lineage(_pairs(blocks, of_word))  # at most (n + 1) * n rows
+    few = pairs.where(F.col("c") <= LARGEST_DISCOUNTED + 1).groupBy("c").count().collect()
+    ratios = discounts({r["c"]: r["count"] for r in few})
+
+    def row_of(key: tuple, table: pa.Table) -> pa.Table:
+        counts = np.zeros(n)
+        counts[table.column("class").to_numpy()] = table.column("c").to_numpy()
+        logs = context_logs(counts, ratios, of_class).tobytes()
+        return pa.table({"context": pa.array([key[0].as_py()], pa.int32()), "logs": pa.array([logs], pa.binary())})
+
+    matrix = np.empty((n + 1, n))
+    matrix[:] = _log(of_class)
+    for row in pairs.groupBy("context").applyInArrow(row_of, "context int, logs binary").toLocalIterator():
+        matrix[row["context"] if row["context"] >= 0 else n] = np.frombuffer(row["logs"])
+    shared = spark.sparkContext.broadcast((fitted, of_word, matrix, of_class))
 
     def judge(table: pa.Table, answers: pa.Table) -> pa.Table:
         level, of, logs, share = shared.value

@@ -88,12 +88,12 @@ def test_scores_equal_plain_recursion(docs_of):
         assert r["score"] == pytest.approx(want, rel=1e-9)
 
 
-def test_every_context_sums_to_one(docs_of):
+def test_every_context_sums_to_one():
     rng = np.random.default_rng(0)
     share = rng.dirichlet(np.ones(30))
-    for pairs in (rng.poisson(0.3, (31, 30)), np.zeros((31, 30)), np.full((31, 30), 9), np.eye(31, 30)):
-        logs = katz.pair_logs(pairs.astype(float), share)
-        assert np.allclose((10**logs).sum(1), 1)
+    ratios = katz.discounts({1: 40, 2: 20, 3: 9, 4: 5, 5: 3, 6: 2})
+    for counts in (*rng.poisson(0.3, (30, 30)), np.zeros(30), np.full(30, 9), np.eye(30)[3] * 9, np.eye(30)[4]):
+        assert np.allclose((10 ** katz.context_logs(counts.astype(float), ratios, share)).sum(), 1)
 
 
 def test_word_level_sums_to_one():
