@@ -202,7 +202,9 @@ def top_k(
         "*", F.pmod(F.xxhash64("id"), F.lit(d)).alias("db"), F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("qb")
     ).withColumn("db", F.col("db").cast("int"))
     asked = asked.select(
-        "*", F.pmod(F.xxhash64("id"), F.lit(q)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("db")
+        "*",
+        F.pmod(F.xxhash64("id"), F.lit(q)).cast("int").alias("qb"),
+        F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("db"),
     )
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -220,7 +222,8 @@ def top_k(
         return pa.table([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
 
     keys = ["db", "qb", "dim"]
-    found = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
+    pairs = asked.groupBy(*keys).cogroup(data.groupBy(*keys))
+    found = pairs.applyInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

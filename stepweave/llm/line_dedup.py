@@ -75,14 +75,15 @@ def chunks_of(text: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc, text, n_chunks, n_removed``: all columns of a row as a struct, and its text without repeats."""
-    keyed = docs.select(F.struct("*").alias("doc")).withColumn("id", F.col("doc")[id_col]).withColumn(
-        "whole", F.col("doc")[text].cast("string")
-    ).withColumn("key", F.xxhash64("id", "whole"))
-    passages = F.filter(chunks_of(F.col("whole")), lambda c: c["passage"])
-    places = cut_lineage(
-        keyed.select("key", F.explode(F.transform(passages, lambda c: F.struct(c["pos"].alias("pos"), F.xxhash64(c["text"]).alias("hash")))).alias("c"))
-        .select("key", "c.pos", "c.hash")
+    keyed = (
+        docs.select(F.struct("*").alias("doc"))
+        .withColumn("id", F.col("doc")[id_col])
+        .withColumn("whole", F.col("doc")[text].cast("string"))
+        .withColumn("key", F.xxhash64("id", "whole"))
     )
+    passages = F.filter(chunks_of(F.col("whole")), lambda c: c["passage"])
+    hashed = F.transform(passages, lambda c: F.struct(c["pos"].alias("pos"), F.xxhash64(c["text"]).alias("hash")))
+    places = cut_lineage(keyed.select("key", F.inline(hashed)))
     repeated = places.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     asked = places.join(repeated, "hash", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("asked"))
 
@@ -107,13 +108,15 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
             F.array_join(F.transform(left, lambda c: c["text"]), "\n").alias("text"), F.size(chunks).alias("n_chunks")
         )
 
+    n_chunks = F.coalesce(F.size(chunks_of(F.col("whole"))), F.lit(0))
+    as_it_is = F.struct(F.col("whole").alias("text"), n_chunks.alias("n_chunks"))
     return (
         keyed.select("key", "doc", "whole")
         .join(removed, "key", "left")
         .select(
             "doc",
             F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
-            F.when(F.col("removed").isNull(), F.struct(F.col("whole").alias("text"), F.coalesce(F.size(chunks_of(F.col("whole"))), F.lit(0)).alias("n_chunks")))
+            F.when(F.col("removed").isNull(), as_it_is)
             .otherwise(bind(chunks_of(F.col("whole")), clean))
             .alias("cleaned"),
         )

@@ -396,7 +396,8 @@ def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
         "row", F.xxhash64(F.col("doc")[id_col], F.col("doc")[text].cast("string"))
     )
     place = F.row_number().over(Window.partitionBy("row").orderBy("row"))
-    return keyed.join(stays, "row").withColumn("place", place).where(~F.col("once") | (F.col("place") == 1)).select("doc.*")
+    placed = keyed.join(stays, "row").withColumn("place", place)
+    return placed.where(~F.col("once") | (F.col("place") == 1)).select("doc.*")
 
 
 def digest(grouped: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -216,7 +216,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str, id_col: str, label: str
     spark = docs.sparkSession
     ship(spark)
     y = F.col(f"`{label}`").cast("int")
-    ranked = labels.select(F.col(f"`{id_col}`").alias("id"), y.alias("y")).where(y.isin(0, 1) & F.col(f"`{id_col}`").isNotNull())
+    known = y.isin(0, 1) & F.col(f"`{id_col}`").isNotNull()
+    ranked = labels.where(known).select(F.col(f"`{id_col}`").alias("id"), y.alias("y"))
     sizes = {r["y"]: r["n"] for r in ranked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     share = n1 / (n1 + n0) if n1 + n0 else 0.5
@@ -224,7 +225,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str, id_col: str, label: str
     order = F.md5(F.col("id").cast("string"))
     parts = [ranked.where(F.col("y") == c).orderBy(order, "id").limit(take[c]) for c in (0, 1)]
     sample = parts[0].unionByName(parts[1]).dropDuplicates(["id"])
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("whole"))
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), whole.alias("whole"))
     chosen = texts.join(sample, "id").select("id", "whole", "y")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
