@@ -6,7 +6,7 @@ Each stage takes ``(spark, docs, sf_dir)``, with docs in the columns of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.llm import decontaminate, line_dedup, near_copies, sentencepieces, toxicity
@@ -21,9 +21,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where("predicted = 0").select("doc.*")
 
 
+def later_copies(docs: DataFrame) -> DataFrame:
+    """``copy``: a key of each row whose whole text is that of a row with a lesser id (null is the least)."""
+    texts = docs.where("text <> ''").select("doc_id", F.sha2("text", 256).alias("digest"))
+    rows = cut_lineage(texts.distinct())
+    firsts = rows.groupBy("digest").agg(F.min(F.struct("doc_id"))["doc_id"].alias("doc_id"))
+    # rows meet by id and text together, so a large group of copies is no hot key
+    return rows.select(copy_key("doc_id", F.col("digest"))).subtract(firsts.select(copy_key("doc_id", F.col("digest"))))
+
+
+def copy_key(doc_id: str, digest: Column) -> Column:
+    return F.concat_ws(" ", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), digest).alias("copy")
+
+
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut out of the texts; a document that holds nothing else goes."""
+    """Repeated passages are cut out of the texts; a document that holds nothing else goes.
+
+    So does an exact copy of an earlier document, whatever lines the cuts would leave of it.
+    """
     cleaned = line_dedup.dedup_lines(docs).where("n_removed = 0 OR text <> ''")
+    cleaned = cleaned.withColumn("copy", copy_key("doc.doc_id", F.sha2("doc.text", 256)))
+    cleaned = cleaned.join(cut_lineage(later_copies(docs)), "copy", "left_anti")
     given = docs.columns
     columns = [F.col("doc")[c].alias(c) for c in given if c not in ("text", "n_chars")]
     columns.append(F.col("text"))

@@ -70,6 +70,21 @@ def test_stages(spark, corpus):
     assert sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, coded.collect()))
 
 
+def test_exact_copies_of_short_lines_go_whole(spark, docs_of):
+    rng = random.Random(5)
+    line = lambda: " ".join(f"u{rng.randrange(900)}" for _ in range(6))
+    bodies = ["\n".join(line() for _ in range(12)) for _ in range(15)]
+    rows = [(100 * k + i, t) for k in range(3) for i, t in enumerate(bodies)]
+    rows += [(None, bodies[3]), (900, "one line"), (901, "one line"), (902, None), (903, ""), (904, ""), (905, bodies[0] + "\nmore")]
+    rows += [(7, bodies[7])]  # the same row twice
+    got = corpus_pipeline.drop_repeated_passages(spark, docs_of(rows), "")
+    left = texts(got)
+    kept = [(None if i == 3 else i, t) for i, t in enumerate(bodies)] + [(7, bodies[7])]
+    kept += [(900, "one line"), (902, None), (903, ""), (904, "")]
+    assert [r for r in left if r[0] != 905] == sorted(kept, key=str)
+    assert any(r[0] == 905 for r in left)  # holds a line of its own
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="bundled tables not present")
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
