@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from stepweave.llm.common import ship
 from stepweave.llm.pieces import text_groups
+from stepweave.session import cut_lineage
 
 MAX_EXAMPLES = 8_000
 MAX_FEATURES = 4_096
@@ -234,8 +235,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str, id_col: str, label: str
         rows.sort(key=lambda r: (hash_of(r[1]), r[1], r[2]))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows[:most], share))], pa.binary())], ["model"])
 
-    # one task for a sample of bounded size
-    row = chosen.coalesce(1).mapInArrow(build, "model binary").first()
+    # the corpus meets the sample in parallel; one task reads the written sample, of bounded size
+    row = cut_lineage(chosen).coalesce(1).mapInArrow(build, "model binary").first()
     return pickle.loads(bytes(row[0])) if row else fit([], share)
 
 

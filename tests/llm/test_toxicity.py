@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 
 from stepweave.llm import toxicity
 
@@ -70,6 +71,24 @@ def test_train_reads_labels(spark, docs_of):
     assert bounded.n_examples <= 40
 
 
+def test_no_task_reads_all_texts(spark, docs_of, tmp_path):
+    rows = corpus(60)
+    docs = docs_of([(i, t) for i, t, _ in rows], partitions=3)
+    folder, schema = str(tmp_path), docs.schema
+
+    def noted(batches):
+        task = TaskContext.get().taskAttemptId()
+        for b in batches:
+            with open(f"{folder}/{task}", "a") as out:
+                out.write(f"{b.num_rows}\n")
+            yield b
+
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    toxicity.train(docs.mapInArrow(noted, schema), labels, "text", "doc_id", "toxic")
+    read = [sum(map(int, f.read_text().split())) for f in tmp_path.iterdir()]
+    assert len(read) >= 3 and max(read) < len(rows)
+
+
 def test_without_labels(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(docs_of([(1, "a")]), none, "text", "doc_id", "toxic")
