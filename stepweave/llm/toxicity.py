@@ -40,7 +40,7 @@ from stepweave.session import cut_lineage
 
 MAX_EXAMPLES = 8_000
 MAX_FEATURES = 4_096
-LEAST_CHI_SQUARE = 30.0
+LEAST_LOG_ODDS = 1.5
 LEAST_DOCUMENTS = 3
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
@@ -170,9 +170,12 @@ def fit(examples: list[tuple[object, str, int]], share: float) -> Model:
         a, b = seen[1][name], seen[0][name]
         if a + b < LEAST_DOCUMENTS or not n1 or not n0 or a + b == len(y):
             continue
+        # does not depend on the number of examples, unlike a bound on chi-square
+        odds = np.log((a + 0.5) / (n1 - a + 0.5) * (n0 - b + 0.5) / (b + 0.5))
+        if abs(odds) < LEAST_LOG_ODDS:
+            continue
         chi = len(y) * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n1 * n0 * (a + b) * (len(y) - a - b))
-        if chi >= LEAST_CHI_SQUARE:
-            ranked.append((-chi, name, a + b))
+        ranked.append((-chi, name, a + b))
     ranked = sorted(ranked)[:MAX_FEATURES]
     names = {name: i for i, (_, name, _) in enumerate(ranked)}
     idf = np.log((1 + len(y)) / (1 + np.array([d for *_, d in ranked], float))) + 1 if ranked else np.empty(0)

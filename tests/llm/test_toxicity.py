@@ -89,6 +89,17 @@ def test_no_task_reads_all_texts(spark, docs_of, tmp_path):
     assert len(read) >= 3 and max(read) < len(rows)
 
 
+def test_few_examples_still_tell():
+    rng = random.Random(3)
+    plain = lambda: " ".join(f"word{rng.randrange(40)}" for _ in range(12))
+    clean = [(i, plain(), 0) for i in range(46)]
+    toxic = [(50 + i, plain() + (" vile" if i % 2 else " rotten"), 1) for i in range(6)]
+    few = toxicity.fit(clean[:20] + toxic[:3] + clean[20:] + toxic[3:], 6 / 52)
+    assert {b"vile", b"rotten"} <= few.names.keys()
+    of = lambda t: few.score(few.vote(*few.nearest(*few.vector({few.names[t]: 1}))))
+    assert min(of(b"vile"), of(b"rotten")) > few.score(few.vote(np.empty(0, int), np.empty(0)))
+
+
 def test_without_labels(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(docs_of([(1, "a")]), none, "text", "doc_id", "toxic")
