@@ -5,21 +5,24 @@ normalised exactly:
 
 * words: Good-Turing discounted counts; what the discounts free is the
   probability of a word never seen in training, which counts as one symbol;
-* classes: each of the ``classes`` most frequent tokens is a class, all other
-  words (unseen ones too) share one, inside which a word keeps its share;
-* pairs of a context class and a class: Good-Turing discounted counts where the
-  pair was seen, else the back-off weight of the context times the probability
-  of the class. The weight is what the discounts freed in that context, over the
-  class probability of all that the context was not seen with.
-
-A token's probability is found by that recursion: pair, or weight times class,
-then the word within its class.
-
-The word table has a row per training word and grows with the corpus; it is
-stored in partitions and never sent anywhere whole. Texts are dealt into blocks
-of bounded size; a block asks for the counts of its own words, and its texts
-meet the answers in one task. The class and pair tables are bounded by the
-number of classes, whatever the corpus, and are sent to every task.
+* symbols: each training word is one, all unseen words share one. With
+  ``classes``, only that many of the most frequent tokens are symbols of their
+  own, and all other words share one, inside which a word keeps its share;
+* pairs of a context symbol and a symbol: Good-Turing discounted counts where
+  the pair was seen, else the back-off weight of the context times the
+  probability of the symbol. The weight is what the discounts freed in that
+  context, over the probability of all symbols the context was not seen with.
+
+A token's probability is found by that recursion: pair, or weight times symbol,
+then the word within its symbol.
+
+The word and pair tables grow with the corpus; they are stored in partitions and
+never sent anywhere whole. Texts are dealt into blocks of bounded size. A block
+asks for the counts of its own words, and for those of its own pairs and the sums
+of their contexts; its texts meet the answers in one task. A pair's partition
+follows from its context, for the most frequent contexts (sent to every task,
+fewer than there are partitions) from both its words. Pairs are held under the
+64-bit hashes of their two words.
 
 Cases: a null or empty text is the end token alone. A null id counts as a
 training row. Without training rows every word has the probability of an unseen
@@ -28,12 +31,15 @@ one, 1. Repeated rows are learned from, and scored, each.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,12 +48,12 @@ from stepweave.llm.near_copies import LOWER
 from stepweave.llm.pieces import text_groups
 from stepweave.session import cut_lineage
 
-CLASSES = 2_048
 LARGEST_DISCOUNTED = 5
 BLOCK_BYTES = 24 << 20
 END = b""  # no word is empty
-OTHER = 0  # the class of all words that have none of their own
-CONTEXT_START = -1
+SUMS = LARGEST_DISCOUNTED + 2  # of a context: tokens, pairs seen once to LARGEST_DISCOUNTED times, probability held
+START_HASH = xxhash.xxh3_64_intdigest(b" start")  # no word has a space
+OTHER_HASH = xxhash.xxh3_64_intdigest(b" other")
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -107,21 +113,31 @@ class Words:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.types + 1)))
 
 
-def context_logs(counts: np.ndarray, ratios: np.ndarray, of_class: np.ndarray) -> np.ndarray:
-    """Log10 of the probability of each class after one context, from the counts of what followed it.
+def pair_logs(
+    counts: np.ndarray, totals: np.ndarray, left: np.ndarray, free: np.ndarray, ratios: np.ndarray, share: np.ndarray
+) -> np.ndarray:
+    """Log10 of the probability of symbols after their contexts.
 
-    The probabilities sum to 1: a context without pairs, or one that leaves
-    nothing to back off to, falls back to classes alone or is scaled to 1.
+    ``counts`` are those of the pairs, ``totals`` those of the contexts, ``left``
+    is the share of a context that the discounts freed, ``free`` the probability
+    of all symbols it was not seen with. The probabilities sum to 1: a context
+    without pairs, or one that leaves nothing to back off to, falls back to
+    symbols alone or is scaled to 1.
     """
-    held, total = counts > 0, counts.sum()
-    if not total:
-        return _log(of_class)
-    explicit = discounted(counts, ratios) / total
-    left, free = 1 - explicit.sum(), of_class[~held].sum()
-    if left > 1e-12 and free > 1e-12:
-        return _log(np.where(held, explicit, left / free * of_class))
-    alone = explicit / explicit.sum()
-    return _log((1 - 1e-6) * alone + 1e-6 * of_class if free > 0 else alone)  # every class stays possible
+    explicit = discounted(counts, ratios) / np.maximum(totals, 1)
+    backs_off = (left > 1e-12) & (free > 1e-12)
+    seen_or_less = np.where(counts > 0, explicit, left / np.maximum(free, 1e-12) * share)
+    alone = explicit / np.maximum(1 - left, 1e-12)
+    mixed = np.where(free > 1e-12, (1 - 1e-6) * alone + 1e-6 * share, alone)  # every symbol stays possible
+    return _log(np.where(totals > 0, np.where(backs_off, seen_or_less, mixed), share))
+
+
+def context_logs(counts: np.ndarray, ratios: np.ndarray, of_class: np.ndarray) -> np.ndarray:
+    """``pair_logs`` of every symbol after one context, from the counts of what followed it."""
+    total = counts.sum()
+    left = 1 - discounted(counts, ratios).sum() / max(total, 1)
+    free = of_class[counts == 0].sum()
+    return pair_logs(counts, *(np.full(len(counts), x) for x in (total, left, free)), ratios, of_class)
 
 
 def _log(p: np.ndarray) -> np.ndarray:
@@ -161,44 +177,142 @@ def _block_words(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("block").applyInArrow(count, "block int, word binary, c long")
 
 
-def _pairs(blocks: DataFrame, classes: dict[bytes, int]) -> DataFrame:
-    """``context, class, c``: counts of neighbouring classes in training rows; a text starts after -1."""
-    n = len(classes) + 1
-    sent = blocks.sparkSession.sparkContext.broadcast(classes)
+@dataclass
+class Symbols:
+    """What turns words into symbols; ``own`` has the words that are one, or is None where all training words are."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = sent.value
-        total = np.zeros((n + 1) * n, np.int64)
-        for _, texts in text_groups(batches, "whole"):
-            for x in texts:
-                now = np.fromiter((of.get(w, OTHER) for w in tokens_of(x)), np.int64)
-                before = np.r_[n, now[:-1]]
-                np.add.at(total, before * n + now, 1)
-        at = np.flatnonzero(total)
-        before = at // n
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.where(before == n, CONTEXT_START, before).astype(np.int32)),
-                pa.array((at % n).astype(np.int32)),
-                pa.array(total[at]),
-            ],
-            ["context", "class", "c"],
-        )
+    level: Words
+    own: frozenset[bytes] | None
+    scale: float
+    other: float
+
+    @classmethod
+    def fit(cls, level: Words, ranked: list[tuple[bytes, int]] | None) -> Symbols:
+        if ranked is None:
+            return cls(level, None, 1.0, level.unseen)
+        kept = level.probability(np.array([c for _, c in ranked], float)).sum() if ranked else 0.0
+        other = max(1 - kept, level.unseen)
+        return cls(level, frozenset(w for w, _ in ranked), 1 / (kept + other), other / (kept + other))
 
-    counted = blocks.where("learns").select("whole").mapInArrow(count, "context int, class int, c long")
-    return counted.groupBy("context", "class").agg(F.sum("c").alias("c"))
+
+@dataclass
+class Tokens:
+    """The tokens of a block: each with its training count, and its place among the block's distinct pairs."""
+
+    sizes: np.ndarray
+    counts: np.ndarray
+    apart: np.ndarray  # whether a token is a symbol of its own
+    hashes: np.ndarray  # of the symbols, ascending
+    share: np.ndarray
+    contexts: np.ndarray  # of the distinct pairs, ascending, as places in hashes
+    nexts: np.ndarray
+    pair: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table, known: dict[bytes, int], symbols: Symbols) -> Tokens:
+        index: dict[bytes, int] = {}
+        sizes, places = [], []
+        for _, texts in text_groups(iter(table.combine_chunks().to_batches()), "whole"):
+            tokens = list(map(tokens_of, texts))
+            sizes.extend(map(len, tokens))
+            flat = list(chain.from_iterable(tokens))
+            fresh = set(flat).difference(index)
+            index.update(zip(fresh, range(len(index), len(index) + len(fresh))))
+            places.append(np.fromiter(map(index.__getitem__, flat), np.int32, len(flat)))
+        place = np.concatenate(places)
+        c = np.fromiter((known.get(w, 0) for w in index), np.int64, len(index))
+        own = symbols.own
+        apart = c > 0 if own is None else np.fromiter((w in own for w in index), bool, len(index))
+        digest = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
+        named = np.append(np.where(apart, digest, np.uint64(OTHER_HASH)), np.uint64(START_HASH))
+        hashes, of = np.unique(named, return_inverse=True)
+        share = np.zeros(len(hashes))
+        share[of[:-1]] = np.where(apart, symbols.level.probability(c) * symbols.scale, symbols.other)
+        now = of[place]
+        before = np.r_[0, now[:-1]]
+        before[np.r_[0, np.cumsum(sizes)[:-1]]] = of[-1]
+        codes, pair = np.unique(before << 32 | now, return_inverse=True)
+        return cls(np.array(sizes), c[place], apart[place], hashes, share, codes >> 32, codes & 0xFFFFFFFF, pair)
+
+    def parts(self, n: int, frequent: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The partitions of the pairs, each with the places of its pairs, ascending."""
+        keys = self.hashes[self.contexts]
+        spread = np.isin(self.hashes, frequent)[self.contexts]
+        keys = np.where(spread, keys ^ (self.hashes[self.nexts] * np.uint64(0x9E3779B97F4A7C15)), keys)
+        part = ((keys >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        found, starts = np.unique(part[order], return_index=True)
+        return zip(found.tolist(), np.split(order, starts[1:]))
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    raw = pickle.dumps(arrays, 5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, ...]:
+    return pickle.loads(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True))
+
+
+def _least(values: np.ndarray) -> np.ndarray:
+    """As unsigned integers no wider than needed."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+def tally(table: pa.Table, frequent: np.ndarray) -> pa.Table:
+    """One partition of the pair table: its counts as answers to each block, sums of frequent contexts, a histogram.
+
+    Rows of block -1 hold sums of a frequent context, the row of block -2 how many pairs were seen 0, 1, ... times.
+    """
+    asked = [_unpack(x) for x in table.column("packed").to_pylist()]
+    ends = np.cumsum([len(x[0]) for x in asked])[:-1]
+    contexts, context = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
+    words, first, word = np.unique(np.concatenate([x[2] for x in asked]), return_index=True, return_inverse=True)
+    share = np.concatenate([x[3] for x in asked])[first]
+    mine = np.split(context, ends)
+    theirs = np.split(word, np.cumsum([len(x[2]) for x in asked])[:-1])
+    code = np.concatenate([np.repeat(m, x[1]) << 32 | t[x[4]] for m, t, x in zip(mine, theirs, asked)])
+    codes, pair = np.unique(code, return_inverse=True)
+    counts = np.bincount(pair, np.concatenate([x[5] for x in asked])).astype(np.int64)
+    of, n = codes >> 32, len(contexts)
+    sums = np.zeros((n, SUMS))
+    sums[:, 0] = np.bincount(of, counts, n)
+    for r in range(1, LARGEST_DISCOUNTED + 1):
+        sums[:, r] = np.bincount(of[counts == r], minlength=n)
+    sums[:, -1] = np.bincount(of, np.where(counts > 0, share[codes & 0xFFFFFFFF], 0), n)
+    answers = np.split(counts[pair], np.cumsum([len(x[4]) for x in asked])[:-1])
+    packed = [
+        _pack(_least(c), *(_least(sums[m, i]) for i in range(SUMS - 1)), sums[m, -1]) for c, m in zip(answers, mine)
+    ]
+    often = np.flatnonzero(np.isin(contexts, frequent))
+    seen = np.bincount(np.minimum(counts, LARGEST_DISCOUNTED + 2), minlength=LARGEST_DISCOUNTED + 3)
+    extra = [-1] * len(often) + [-2]
+    return pa.table(
+        {
+            "block": pa.array(table.column("block").to_pylist() + extra, pa.int32()),
+            "part": pa.array([table.column("part")[0].as_py()] * (len(packed) + len(extra)), pa.int32()),
+            "packed": pa.array(packed + [None] * len(extra), pa.binary()),
+            "context": pa.array([None] * len(packed) + contexts[often].view(np.int64).tolist() + [None], pa.int64()),
+            "sums": pa.array([None] * len(packed) + sums[often].tolist() + [seen.tolist()], pa.list_(pa.float64())),
+        }
+    )
+
+
+def _known(answers: pa.Table) -> dict[bytes, int]:
+    return {w: c for w, c, p in zip(*(answers.column(x).to_pylist() for x in ("word", "c", "part"))) if p < 0}
 
 
 def score(
-    docs: DataFrame, learns: Column, text: str = "text", id_col: str = "doc_id", classes: int = CLASSES
+    docs: DataFrame, learns: Column, text: str = "text", id_col: str = "doc_id", classes: int | None = None
 ) -> DataFrame:
     """``id, learns, n_tokens, n_known, train_tokens, base_score, score`` per document.
 
-    ``learns`` marks the rows that train the model; all rows are scored.
+    ``learns`` marks the rows that train the model; all rows are scored. With
+    ``classes``, pairs are counted between that many classes instead of words.
     """
     spark = docs.sparkSession
     ship(spark)
-    blocks, _ = _blocks(docs, text, id_col, learns)
+    blocks, n_blocks = _blocks(docs, text, id_col, learns)
     by_word = Window.partitionBy("word")
     # at most one row per block and word; the first block of a word stands for it in the word table
     words = cut_lineage(
@@ -219,69 +333,95 @@ def score(
         sum(r["n"] for r in rows),
         {r["r"]: r["n"] for r in rows if r["r"] <= LARGEST_DISCOUNTED + 1},
     )
-    is_end = F.octet_length("word") == 0
-    ranked = table.orderBy(F.desc(is_end), F.desc("c"), "word").limit(classes - 1).select("word", "c").collect()
-    of_word = {bytes(r["word"]): i + 1 for i, r in enumerate(ranked)}
-    of_class = fitted.probability(np.array([0, *(r["c"] for r in ranked)], float))
-    of_class[OTHER] = max(1 - of_class[1:].sum(), fitted.unseen)
-    of_class = of_class / of_class.sum()
-
-    n = len(of_word) + 1
-    pairs = cut_lineage(_pairs(blocks, of_word))  # at most (n + 1) * n rows
-    few = pairs.where(F.col("c") <= LARGEST_DISCOUNTED + 1).groupBy("c").count().collect()
-    ratios = discounts({r["c"]: r["count"] for r in few})
-
-    def row_of(key: tuple, table: pa.Table) -> pa.Table:
-        counts = np.zeros(n)
-        counts[table.column("class").to_numpy()] = table.column("c").to_numpy()
-        logs = context_logs(counts, ratios, of_class).tobytes()
-        return pa.table({"context": pa.array([key[0].as_py()], pa.int32()), "logs": pa.array([logs], pa.binary())})
-
-    matrix = np.empty((n + 1, n))
-    matrix[:] = _log(of_class)
-    for row in pairs.groupBy("context").applyInArrow(row_of, "context int, logs binary").toLocalIterator():
-        matrix[row["context"] if row["context"] >= 0 else n] = np.frombuffer(row["logs"])
-    shared = spark.sparkContext.broadcast((fitted, of_word, matrix, of_class))
+    ranked = None
+    if classes is not None:
+        ordered = table.orderBy(F.desc(F.octet_length("word") == 0), F.desc("c"), "word").limit(classes - 1)
+        ranked = [(bytes(r["word"]), r["c"]) for r in ordered.select("word", "c").collect()]
+    symbols = Symbols.fit(fitted, ranked)
+    n_parts = 2 * n_blocks
+    often = table.where(F.col("c") > fitted.total // n_parts).select("word").collect()  # fewer than n_parts rows
+    hashed = [START_HASH, OTHER_HASH, *(xxhash.xxh3_64_intdigest(bytes(r["word"])) for r in often)]
+    frequent = np.unique(np.array(hashed, np.uint64))
+    shared = spark.sparkContext.broadcast((symbols, frequent))
+    answers = words.where("c > 0").select("block", "word", "c", F.lit(-1).alias("part"))
+
+    def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
+        symbols, frequent = shared.value
+        tokens = Tokens.of(table, _known(answers), symbols)
+        learns = np.repeat(np.array(table.column("learns").to_pylist(), bool), tokens.sizes)
+        counts = np.bincount(tokens.pair[learns], minlength=len(tokens.contexts))
+        found, packed = [], []
+        for part, at in tokens.parts(n_parts, frequent):
+            context, lengths = np.unique(tokens.contexts[at], return_counts=True)
+            word, place = np.unique(tokens.nexts[at], return_inverse=True)
+            found.append(part)
+            packed.append(
+                _pack(
+                    tokens.hashes[context], _least(lengths), tokens.hashes[word], tokens.share[word],
+                    _least(place), _least(counts[at]),
+                )
+            )
+        block = table.column("block")[0].as_py()
+        return pa.table(
+            [pa.array([block] * len(found), pa.int32()), pa.array(found, pa.int32()), pa.array(packed, pa.binary())],
+            names=["block", "part", "packed"],
+        )
+
+    asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, "block int, part int, packed binary")
+    tallied = cut_lineage(
+        asked.groupBy("part").applyInArrow(
+            lambda table: tally(table, shared.value[1]),
+            "block int, part int, packed binary, context long, sums array<double>",
+        )
+    )
+    total = [F.sum(F.col("sums")[r]).alias(str(r)) for r in range(LARGEST_DISCOUNTED + 3)]
+    seen = tallied.where("block = -2").agg(*total).first()
+    ratios = discounts({r: int(seen[r] or 0) for r in range(1, LARGEST_DISCOUNTED + 2)})
+    rows = tallied.where("block = -1").groupBy("context").agg(*total[:SUMS]).collect()  # at most as many as frequent
+    sums_of = {r["context"] % (1 << 64): [r[str(i)] for i in range(SUMS)] for r in rows}
+    weights = spark.sparkContext.broadcast((ratios, np.array([sums_of.get(h, [0.0] * SUMS) for h in frequent.tolist()])))
 
     def judge(table: pa.Table, answers: pa.Table) -> pa.Table:
-        level, of, logs, share = shared.value
-        start = len(of) + 1
-        log_other = np.log10(share[OTHER])
-        known = dict(zip(answers.column("word").to_pylist(), answers.column("c").to_pylist()))
-        out: dict[str, list] = {x: [] for x in ("n_tokens", "n_known", "base_score", "score")}
-        for _, texts in text_groups(iter(table.combine_chunks().to_batches()), "whole"):
-            tokens = [tokens_of(x) for x in texts]
-            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            flat = [w for words in tokens for w in words]
-            c = np.fromiter((known.get(w, 0) for w in flat), np.int64, len(flat))
-            now = np.fromiter((of.get(w, OTHER) for w in flat), np.int64, len(flat))
-            at = np.r_[0, np.cumsum(sizes)[:-1]]
-            before = np.r_[0, now[:-1]]
-            before[at] = start
-            score = logs[before, now]
-            other = now == OTHER
-            score[other] += np.log10(level.probability(c[other])) - log_other
-            out["n_tokens"].extend(sizes.tolist())
-            out["n_known"].extend(np.add.reduceat((c > 0).astype(np.int64), at).tolist())
-            out["base_score"].extend(np.add.reduceat(level.base(c), at).tolist())
-            out["score"].extend(np.add.reduceat(score, at).tolist())
-        types = {"n_tokens": pa.int64(), "n_known": pa.int64()}
+        symbols, frequent = shared.value
+        ratios, of_frequent = weights.value
+        level = symbols.level
+        tokens = Tokens.of(table, _known(answers), symbols)
+        packed = dict(zip(answers.column("part").to_pylist(), answers.column("packed").to_pylist()))
+        counts = np.zeros(len(tokens.contexts), np.int64)
+        sums = np.zeros((len(tokens.hashes), SUMS))
+        for part, at in tokens.parts(n_parts, frequent):
+            found, *columns = _unpack(packed[part])
+            counts[at] = found
+            sums[np.unique(tokens.contexts[at])] = np.column_stack(columns)
+        often = np.flatnonzero(np.isin(tokens.hashes, frequent))
+        sums[often] = of_frequent[np.searchsorted(frequent, tokens.hashes[often])]
+        totals = sums[:, 0]
+        taken = sums[:, 1:-1] @ (np.arange(1, LARGEST_DISCOUNTED + 1) * (1 - ratios[1:]))
+        left, free = taken / np.maximum(totals, 1), 1 - sums[:, -1]
+        at = tokens.contexts
+        logs = pair_logs(counts, totals[at], left[at], free[at], ratios, tokens.share[tokens.nexts])
+        c, score = tokens.counts, logs[tokens.pair]
+        other = ~tokens.apart
+        score[other] += np.log10(level.probability(c[other])) - np.log10(symbols.other)
+        at = np.r_[0, np.cumsum(tokens.sizes)[:-1]]
         return pa.table(
             {
                 "id": table.column("id"),
                 "learns": table.column("learns"),
-                "n_tokens": pa.array(out["n_tokens"], types["n_tokens"]),
-                "n_known": pa.array(out["n_known"], types["n_known"]),
+                "n_tokens": pa.array(tokens.sizes, pa.int64()),
+                "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), at), pa.int64()),
                 "train_tokens": pa.array([level.total] * table.num_rows, pa.int64()),
-                "base_score": pa.array(out["base_score"], pa.float64()),
-                "score": pa.array(out["score"], pa.float64()),
+                "base_score": pa.array(np.add.reduceat(level.base(c), at), pa.float64()),
+                "score": pa.array(np.add.reduceat(score, at), pa.float64()),
             }
         )
 
+    of_pairs = tallied.where("block >= 0").select("block", F.lit(None).cast("binary").alias("word"), F.lit(0).cast("long").alias("c"), "part", "packed")
+    both = answers.withColumn("packed", F.lit(None).cast("binary")).unionByName(of_pairs)
     kind = blocks.schema["id"].dataType.simpleString()
     return (
         blocks.groupBy("block")
-        .cogroup(words.where("c > 0").select("block", "word", "c").groupBy("block"))
+        .cogroup(both.groupBy("block"))
         .applyInArrow(
             judge,
             f"id {kind}, learns boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",

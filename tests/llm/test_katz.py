@@ -88,6 +88,23 @@ def test_scores_equal_plain_recursion(docs_of):
         assert r["score"] == pytest.approx(want, rel=1e-9)
 
 
+def test_pairs_of_all_words_count(docs_of, monkeypatch):
+    monkeypatch.setattr(katz, "BLOCK_BYTES", 20_000)  # several blocks and pair partitions
+    rng = random.Random(6)
+    data = [(i, " ".join(f"r{rng.randrange(3_000)} s{rng.randrange(3)} the" for _ in range(rng.randrange(1, 60)))) for i in range(150)]
+    data += rows()[120:]
+    count, total, _, _, p = level(data, 10**9)  # every training word is a symbol
+    assert len(count) > 2_048
+    scores = {}
+    for r in katz.score(docs_of(data), ~katz.held_out("doc_id")).collect():
+        scores.setdefault((r["id"], r["n_tokens"]), r["score"])
+    assert len(scores) == len({(i, len(katz.tokens_of(t or ""))) for i, t in data})
+    for i, t in data:
+        words = katz.tokens_of(t or "")
+        want = sum(math.log10(p(a, w)) for a, w in zip(["<", *(w if count[w] else None for w in words)], words))
+        assert scores[i, len(words)] == pytest.approx(want, rel=1e-9)
+
+
 def test_every_context_sums_to_one():
     rng = np.random.default_rng(0)
     share = rng.dirichlet(np.ones(30))
