@@ -39,6 +39,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -200,8 +201,9 @@ class Tokens:
     """The tokens of a block: each with its training count, and its place among the block's distinct pairs."""
 
     sizes: np.ndarray
-    counts: np.ndarray
-    apart: np.ndarray  # whether a token is a symbol of its own
+    place: np.ndarray  # of each token among the block's distinct words
+    counts: np.ndarray  # of the words
+    apart: np.ndarray  # whether a word is a symbol of its own
     hashes: np.ndarray  # of the symbols, ascending
     share: np.ndarray
     contexts: np.ndarray  # of the distinct pairs, ascending, as places in hashes
@@ -209,30 +211,40 @@ class Tokens:
     pair: np.ndarray
 
     @classmethod
-    def of(cls, table: pa.Table, known: dict[bytes, int], symbols: Symbols) -> Tokens:
-        index: dict[bytes, int] = {}
+    def of(cls, table: pa.Table, answers: pa.Table, symbols: Symbols) -> Tokens:
+        index: dict[bytes, int] = {w: i for i, w in enumerate(answers.column("word").to_pylist())}
         sizes, places = [], []
-        for _, texts in text_groups(iter(table.combine_chunks().to_batches()), "whole"):
+        # few texts at a time: a block's words and pairs take several times its bytes
+        for _, texts in text_groups(iter(table.select(["whole"]).to_batches(max_chunksize=256)), "whole"):
             tokens = list(map(tokens_of, texts))
             sizes.extend(map(len, tokens))
             flat = list(chain.from_iterable(tokens))
             fresh = set(flat).difference(index)
             index.update(zip(fresh, range(len(index), len(index) + len(fresh))))
             places.append(np.fromiter(map(index.__getitem__, flat), np.int32, len(flat)))
-        place = np.concatenate(places)
-        c = np.fromiter((known.get(w, 0) for w in index), np.int64, len(index))
+        del tokens, flat, fresh
+        c = np.zeros(len(index), np.int64)
+        c[: answers.num_rows] = answers.column("c").to_numpy()
         own = symbols.own
         apart = c > 0 if own is None else np.fromiter((w in own for w in index), bool, len(index))
         digest = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
+        del index
+        place = np.concatenate(places)
+        del places
         named = np.append(np.where(apart, digest, np.uint64(OTHER_HASH)), np.uint64(START_HASH))
         hashes, of = np.unique(named, return_inverse=True)
         share = np.zeros(len(hashes))
         share[of[:-1]] = np.where(apart, symbols.level.probability(c) * symbols.scale, symbols.other)
-        now = of[place]
-        before = np.r_[0, now[:-1]]
-        before[np.r_[0, np.cumsum(sizes)[:-1]]] = of[-1]
-        codes, pair = np.unique(before << 32 | now, return_inverse=True)
-        return cls(np.array(sizes), c[place], apart[place], hashes, share, codes >> 32, codes & 0xFFFFFFFF, pair)
+        code = np.empty(len(place), np.int64)
+        code[1:] = of[place[:-1]]
+        code[np.r_[0, np.cumsum(sizes)[:-1]]] = of[-1]
+        code <<= 32
+        code |= of[place]
+        codes, pair = np.unique(code, return_inverse=True)
+        return cls(
+            np.array(sizes), place, c, apart, hashes, share,
+            (codes >> 32).astype(np.int32), (codes & 0xFFFFFFFF).astype(np.int32), pair.astype(np.int32),
+        )
 
     def parts(self, n: int, frequent: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """The partitions of the pairs, each with the places of its pairs, ascending."""
@@ -298,10 +310,6 @@ def tally(table: pa.Table, frequent: np.ndarray) -> pa.Table:
     )
 
 
-def _known(answers: pa.Table) -> dict[bytes, int]:
-    return {w: c for w, c, p in zip(*(answers.column(x).to_pylist() for x in ("word", "c", "part"))) if p < 0}
-
-
 def score(
     docs: DataFrame, learns: Column, text: str = "text", id_col: str = "doc_id", classes: int | None = None
 ) -> DataFrame:
@@ -347,7 +355,7 @@ def score(
 
     def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
         symbols, frequent = shared.value
-        tokens = Tokens.of(table, _known(answers), symbols)
+        tokens = Tokens.of(table, answers, symbols)
         learns = np.repeat(np.array(table.column("learns").to_pylist(), bool), tokens.sizes)
         counts = np.bincount(tokens.pair[learns], minlength=len(tokens.contexts))
         found, packed = [], []
@@ -385,8 +393,10 @@ def score(
         symbols, frequent = shared.value
         ratios, of_frequent = weights.value
         level = symbols.level
-        tokens = Tokens.of(table, _known(answers), symbols)
-        packed = dict(zip(answers.column("part").to_pylist(), answers.column("packed").to_pylist()))
+        of_words = pc.less(answers.column("part"), 0)
+        tokens = Tokens.of(table, answers.filter(of_words), symbols)
+        of_pairs = answers.filter(pc.invert(of_words))
+        packed = dict(zip(of_pairs.column("part").to_pylist(), of_pairs.column("packed").to_pylist()))
         counts = np.zeros(len(tokens.contexts), np.int64)
         sums = np.zeros((len(tokens.hashes), SUMS))
         for part, at in tokens.parts(n_parts, frequent):
@@ -400,8 +410,8 @@ def score(
         left, free = taken / np.maximum(totals, 1), 1 - sums[:, -1]
         at = tokens.contexts
         logs = pair_logs(counts, totals[at], left[at], free[at], ratios, tokens.share[tokens.nexts])
-        c, score = tokens.counts, logs[tokens.pair]
-        other = ~tokens.apart
+        c, score = tokens.counts[tokens.place], logs[tokens.pair]
+        other = ~tokens.apart[tokens.place]
         score[other] += np.log10(level.probability(c[other])) - np.log10(symbols.other)
         at = np.r_[0, np.cumsum(tokens.sizes)[:-1]]
         return pa.table(
