@@ -408,21 +408,28 @@ def score(
         totals = sums[:, 0]
         taken = sums[:, 1:-1] @ (np.arange(1, LARGEST_DISCOUNTED + 1) * (1 - ratios[1:]))
         left, free = taken / np.maximum(totals, 1), 1 - sums[:, -1]
-        at = tokens.contexts
-        logs = pair_logs(counts, totals[at], left[at], free[at], ratios, tokens.share[tokens.nexts])
-        c, score = tokens.counts[tokens.place], logs[tokens.pair]
-        other = ~tokens.apart[tokens.place]
-        score[other] += np.log10(level.probability(c[other])) - np.log10(symbols.other)
+        logs = np.empty(len(counts))
+        for start in range(0, len(counts), 1 << 18):  # so that what lies between stays small
+            some = slice(start, start + (1 << 18))
+            at = tokens.contexts[some]
+            share = tokens.share[tokens.nexts[some]]
+            logs[some] = pair_logs(counts[some], totals[at], left[at], free[at], ratios, share)
+        within = np.log10(level.probability(tokens.counts)) - np.log10(symbols.other)
+        score = logs[tokens.pair]
+        score += np.where(tokens.apart, 0, within)[tokens.place]
         at = np.r_[0, np.cumsum(tokens.sizes)[:-1]]
+        score = np.add.reduceat(score, at)
+        base = np.add.reduceat(level.base(tokens.counts)[tokens.place], at)
+        n_known = np.add.reduceat((tokens.counts > 0)[tokens.place], at, dtype=np.int64)
         return pa.table(
             {
                 "id": table.column("id"),
                 "learns": table.column("learns"),
                 "n_tokens": pa.array(tokens.sizes, pa.int64()),
-                "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), at), pa.int64()),
+                "n_known": pa.array(n_known, pa.int64()),
                 "train_tokens": pa.array([level.total] * table.num_rows, pa.int64()),
-                "base_score": pa.array(np.add.reduceat(level.base(c), at), pa.float64()),
-                "score": pa.array(np.add.reduceat(score, at), pa.float64()),
+                "base_score": pa.array(base, pa.float64()),
+                "score": pa.array(score, pa.float64()),
             }
         )
 
