@@ -45,6 +45,20 @@ def blocks_for(rows: int, per_block: int) -> int:
     return max(1, -(-rows // per_block))
 
 
+def join_spread(rows: DataFrame, values: DataFrame, key: str, share: int = 1_000) -> DataFrame:
+    """``rows`` with the columns of their key's row in ``values``, but for ``n``, the number of rows of the key.
+
+    Keys that hold more than one in ``share`` of all rows are fewer than
+    ``share``, so they are broadcast, and no key's rows gather in one task.
+    """
+    total = values.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * share > total
+    often = values.where(hot).drop("n")
+    spread = rows.join(F.broadcast(often), key)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(values.where(~hot).drop("n"), key)
+    return spread.unionByName(rest)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, whatever their working directory."""
     context = spark.sparkContext

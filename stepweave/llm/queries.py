@@ -10,14 +10,17 @@ import corpus_pipeline
 from stepweave.llm import (
     cover_tree,
     decontaminate,
+    filter_audit,
     katz,
     line_dedup,
     near_copies,
     secrets,
     sentencepieces,
     sharding,
+    simhash,
     token_files,
     toxicity,
+    whitening,
 )
 from stepweave.llm.common import table, vocabulary
 
@@ -68,6 +71,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = filter_audit.document_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.digest(filter_audit.audit(counts))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_copies(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -84,6 +100,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_top_k": op9_top_k,
         "op10_sharding": op10_sharding,
+        "op11_whitening": op11_whitening,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_simhash": op13_simhash,
         "pipeline": pipeline,
     }
 
@@ -94,4 +113,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontaminate": decontaminate.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
         "op9_top_k": cover_tree.ORACLE,
+        "op12_filter_audit": filter_audit.ORACLE,
     }
