@@ -58,7 +58,41 @@ def order_key(time: Column, tie: Column) -> Column:
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     # 2e19 exceeds the spread of 64-bit ties
     stride = F.lit("20000000000000000000").cast("decimal(20,0)")
-    return micros_between(epoch, time).cast("decimal(18,0)") * stride + tie.cast("decimal(20,0)")
+    key = micros_between(epoch, time).cast("decimal(18,0)") * stride + tie.cast("decimal(20,0)")
+    return key.cast("decimal(38,0)")
+
+
+def sortable(value: Column) -> Column:
+    """A 64-bit whole number that sorts like the double ``value``; NaN and null give null.
+
+    Sign, exponent and mantissa are taken apart with exact arithmetic: powers of
+    two and quotients by them are exact.
+    """
+    size = F.abs(number(value))
+    guess = F.floor(F.log2(size)).cast("int")
+    # the logarithm may be off by one next to a power of two
+    low = F.pow(F.lit(2.0), guess)
+    exponent = guess + F.when(size >= 2 * low, 1).when(size < low, -1).otherwise(0)
+    mantissa = ((size / F.pow(F.lit(2.0), exponent) - 1) * 2.0**52).cast("long")
+    key = (
+        F.when(size == float("inf"), F.lit(2047 << 52))
+        .when(size >= 2.0**-1022, (exponent + 1023).cast("long") * (1 << 52) + mantissa)
+        .otherwise((size / 2.0**-1074).cast("long"))
+    )
+    return F.when(value < 0, -key).otherwise(key)
+
+
+def offset_key(offset: Column, place: Column, value: Column) -> Column:
+    """One number that sorts like ``(offset, place, value)``, for a hash aggregate as :func:`order_key`.
+
+    ``offset`` are microseconds within a window of up to three years, ``place``
+    is below 10 000, ``value`` a double.
+    """
+    # 14 digits of offset, 4 of place, 20 of value
+    return (
+        (offset * 10_000 + place).cast("decimal(18,0)") * F.lit("100000000000000000000").cast("decimal(21,0)")
+        + F.coalesce(sortable(value), F.lit(-(2**63) + 1)).cast("decimal(20,0)")
+    ).cast("decimal(38,0)")
 
 
 def lenient_timestamp(col: Column, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stepweave.functions.quantiles import column_quantiles
 from stepweave.functions.scalars import action_label, bin_of, encode_action, number
+from stepweave.operators.features import Placed
 from stepweave.operators.grid import GridConfig, events_in_steps, intervals_in_steps
 
 
@@ -45,9 +46,7 @@ def _given_intervals(
 ) -> DataFrame:
     rows = intervals.select(*dict.fromkeys([key, start, end, rate]))
     cut = intervals_in_steps(rows, episodes, key, start, end, cfg)
-    return cut.select(
-        "stay_id", "step_index", (F.col(rate) * F.col("overlap_hours")).alias("_dose"), F.col("overlap_hours").alias("_h")
-    )
+    return cut.select("stay_id", "step_index", F.col(rate).alias("value"), F.col("overlap_hours").alias("weight"))
 
 
 def _given_points(
@@ -62,25 +61,15 @@ def _given_points(
 ) -> DataFrame:
     rows = events if items is None else events.where(F.col(item).isin(list(items)))
     placed = events_in_steps(rows.select(*dict.fromkeys([key, time, amount])), episodes, key, time, cfg)
-    return placed.select("stay_id", "step_index", F.col(amount).alias("_amount"))
+    return placed.select("stay_id", "step_index", F.col(amount).alias("value"))
 
 
-def _per_step(steps: DataFrame, given: Sequence[DataFrame], levels: Mapping[str, Column]) -> DataFrame:
-    """Aggregate stacked rows per step. The steps are stacked too, so a step
+def _per_step(steps: DataFrame, given: DataFrame, name: str, level: Column) -> DataFrame:
+    """Aggregate rows per step. The steps are stacked onto them, so a step
     without treatment needs no join back.
     """
-    stacked = steps.select("stay_id", "step_index")
-    for rows in given:
-        stacked = stacked.unionByName(rows, allowMissingColumns=True)
-    return stacked.groupBy("stay_id", "step_index").agg(*[level.alias(name) for name, level in levels.items()])
-
-
-def _mean_rate() -> Column:
-    return F.coalesce(F.try_divide(F.sum("_dose"), F.sum("_h")), F.lit(0.0))
-
-
-def _total_amount() -> Column:
-    return F.coalesce(F.sum("_amount"), F.lit(0.0))
+    stacked = steps.select("stay_id", "step_index").unionByName(given, allowMissingColumns=True)
+    return stacked.groupBy("stay_id", "step_index").agg(F.coalesce(level, F.lit(0.0)).alias(name))
 
 
 def interval_weighted_mean(
@@ -99,7 +88,8 @@ def interval_weighted_mean(
     Concurrent intervals are averaged and idle time does not count.
     """
     given = _given_intervals(intervals, episodes, rate, start, end, key, cfg)
-    return _per_step(steps, [given], {name: _mean_rate()})
+    mean = F.try_divide(F.sum(F.col("value") * F.col("weight")), F.sum("weight"))
+    return _per_step(steps, given, name, mean)
 
 
 def point_sum(
@@ -116,27 +106,25 @@ def point_sum(
 ) -> DataFrame:
     """Sum of the amounts that start within each step, 0 without any."""
     given = _given_points(events, episodes, amount, time, key, items, item, cfg)
-    return _per_step(steps, [given], {name: _total_amount()})
+    return _per_step(steps, given, name, F.sum("value"))
 
 
-def treatment_levels(
+def treatments(
     intervals: DataFrame,
     points: DataFrame,
     episodes: DataFrame,
-    steps: DataFrame,
     items: Sequence | None = None,
     rate: str = "standard_rate",
     amount: str = "amount",
     first: str = "vaso_dose_4h",
     second: str = "fluid_volume_4h",
     cfg: GridConfig = GridConfig(),
-) -> DataFrame:
-    """Both treatment levels per step in one aggregation."""
-    given = [
-        _given_intervals(intervals, episodes, rate, "starttime", "endtime", "stay_id", cfg),
-        _given_points(points, episodes, amount, "starttime", "stay_id", items, "itemid", cfg),
-    ]
-    return _per_step(steps, given, {first: _mean_rate(), second: _total_amount()})
+) -> list[Placed]:
+    """Both treatments as rows in steps, to be aggregated together with the events of the state."""
+    rates = _given_intervals(intervals, episodes, rate, "starttime", "endtime", "stay_id", cfg)
+    amounts = _given_points(points, episodes, amount, "starttime", "stay_id", items, "itemid", cfg)
+    return [Placed(first, "weighted_mean", rates, 0.0), Placed(second, "sum", amounts, 0.0)]
+
 
 @dataclass(frozen=True)
 class ActionBins:

@@ -149,7 +149,8 @@ def events_in_steps(
 
     The step is computed from the offset to the window start instead of joined
     by range. ``from_window_start`` keeps events before the first realised step,
-    as running totals need them, and adds ``first_step`` to tell them apart.
+    as running totals need them, and adds ``first_step`` to tell them apart and
+    ``window_offset``, the microseconds from the window start.
     """
     bounds = episodes.where(F.col("n_steps") > 0).select(
         *dict.fromkeys([key, "stay_id"]), "window_start", "actual_end", "first_step"
@@ -158,11 +159,11 @@ def events_in_steps(
         (F.col(time) >= F.col("window_start")) & (F.col(time) < F.col("actual_end"))
     )
     offset = micros_between(F.col("window_start"), F.col(time))
-    rows = rows.withColumn("step_index", F.floor(offset / cfg.step_micros).cast("int"))
-    rows = rows.drop("window_start", "actual_end")
+    rows = rows.withColumn("window_offset", offset).drop("window_start", "actual_end")
+    rows = rows.withColumn("step_index", F.floor(F.col("window_offset") / cfg.step_micros).cast("int"))
     if from_window_start:
         return rows
-    return rows.where(F.col("step_index") >= F.col("first_step")).drop("first_step")
+    return rows.where(F.col("step_index") >= F.col("first_step")).drop("first_step", "window_offset")
 
 
 def intervals_in_steps(

@@ -11,15 +11,6 @@ from stepweave.functions.scalars import number
 from stepweave.functions.skew import skew_join
 
 
-def merge_steps(state: DataFrame, actions: DataFrame, rewards: DataFrame) -> DataFrame:
-    """State ⟕ action ⟕ reward on the step; a missing reward counts as 0."""
-    on = ["stay_id", "step_index"]
-    merged = state.join(actions.select(*on, "action_id"), on, "left").join(
-        rewards.select(*on, "reward_total"), on, "left"
-    )
-    return merged.withColumn("reward_total", F.coalesce("reward_total", F.lit(0.0)))
-
-
 def build_transitions(
     merged: DataFrame, features: Sequence[str], action: str = "action_id", reward: str = "reward_total"
 ) -> DataFrame:

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.functions.scalars import decode_action, encode_action, steady
 from stepweave.operators import actions as act
-from stepweave.operators import anchor, baselines, features, grid, ope, qdiag, report, rewards, safety, scaling, split
+from stepweave.operators import anchor, baselines, discretise, features, grid, ope, policy, qdiag, report, rewards
 from stepweave.operators import cohort as coh
+from stepweave.operators import safety, scaling, split
 from stepweave.operators import transitions as tr
 from stepweave.operators.sweep import Setup, run_sweep
-from stepweave.plans.study import FULL, ONSET, RULES, SEED, Study, sweep_plan
+from stepweave.plans.study import FULL, ITEMS, NESTED, ONSET, OWN_RULES, OWN_SPECS, REGISTRY, RULES, SEED, Study
+from stepweave.plans.study import sweep_plan
+from stepweave.session import scratch_path
+from stepweave.sources import readers, writers
 from stepweave.sources.readers import first_stays, orders_matching, scan_intervals, scan_points
 
 Query = Callable[[Study], DataFrame]
@@ -61,6 +65,66 @@ def limit_stays(s: Study) -> DataFrame:
     return first_stays(s.episodes, 20).select("stay_id", "onset_time", "n_steps")
 
 
+# --- typed text sources: written as gzip CSV, read back with casts
+
+
+@query
+def source_stays(s: Study) -> DataFrame:
+    rows = readers.read_stays(s.spark, s.text_stays)
+    return rounded(rows.select("subject_id", "hadm_id", "stay_id", "first_careunit", "intime", "outtime", "los_hours"))
+
+
+@query
+def source_patients(s: Study) -> DataFrame:
+    return readers.raw_table(s.spark, s.text_patients, "patients", required=("subject_id", "anchor_age"))
+
+
+@query
+def source_admissions(s: Study) -> DataFrame:
+    return readers.raw_table(s.spark, s.text_admissions, "admissions", required=("hadm_id", "deathtime"))
+
+
+@query
+def source_cultures(s: Study) -> DataFrame:
+    return readers.read_cultures(s.spark, s.text_cultures).select("subject_id", "hadm_id", "charttime", "culture_time")
+
+
+@query
+def source_labs(s: Study) -> DataFrame:
+    """Events of two items read as lab results: landed sorted by item, bound in time, owned by admission."""
+    landed = scratch_path(s.spark, "labs")
+    writers.land_events(readers.raw_table(s.spark, s.text_events, "labevents"), landed, key="hadm_id")
+    labs = readers.raw_table(s.spark, landed, "labevents", "parquet")
+    owners = s.episodes.where(F.pmod("hadm_id", F.lit(3)) > 0)
+    items = [ITEMS.index(i) + 1 for i in ("click", "error")]
+    return scan_points(labs, items, "2024-01-03 00:00:00", "2024-01-25 00:00:00", owners, key="hadm_id")
+
+
+@query
+def source_scores(s: Study) -> DataFrame:
+    chart = readers.raw_table(s.spark, s.text_events, "chartevents")
+    return readers.scan_scores(chart, [ITEMS.index("view") + 1, ITEMS.index("error") + 1])
+
+
+@query
+def source_malformed(s: Study) -> DataFrame:
+    """What becomes of rows that do not fit the header: counts of kept, dropped and set aside rows."""
+    kept = readers.raw_table(s.spark, s.ragged_orders, "prescriptions", malformed=readers.KEEP)
+    left = readers.raw_table(s.spark, s.ragged_orders, "prescriptions", malformed=readers.DROP)
+    aside = readers.malformed_rows(s.spark, s.ragged_orders)
+
+    def counted(rows: DataFrame, policy_name: str, drug: Column) -> DataFrame:
+        return rows.agg(
+            F.lit(policy_name).alias("policy"), F.count(F.lit(1)).alias("rows"), F.count(drug).alias("with_drug")
+        )
+
+    return (
+        counted(kept, "keep", F.col("drug"))
+        .unionByName(counted(left, "drop", F.col("drug")))
+        .unionByName(counted(aside, "set aside", F.when(F.col("malformed").contains("more"), True)))
+    )
+
+
 # --- cohort
 
 
@@ -165,6 +229,29 @@ def manifest_arrays(s: Study) -> DataFrame:
     return rows.withColumn("episode_keys", F.array_join(F.col("episode_keys").cast("array<string>"), ","))
 
 
+def _stored_manifest(s: Study) -> str:
+    root = scratch_path(s.spark, "split")
+    writers.write_manifest(split.split_manifest(s.episodes, s.splits), root, SEED, "1")
+    return root
+
+
+@query
+def manifest_reload(s: Study) -> DataFrame:
+    """One split of a stored manifest, read by its folder and checked against the summary."""
+    return readers.read_manifest(s.spark, _stored_manifest(s), "validation", "1")[0]
+
+
+@query
+def manifest_summary(s: Study) -> DataFrame:
+    summary = readers.read_manifest(s.spark, _stored_manifest(s))[1]
+    rows = [
+        (name, summary["n_keys"][name], n, summary["seed"], summary["spec_version"], summary["leakage_free"])
+        for name, n in summary["n_episodes"].items()
+    ]
+    schema = "split string, n_keys long, n_episodes long, seed long, spec_version string, leakage_free boolean"
+    return s.spark.createDataFrame(rows, schema)
+
+
 @query
 def split_stats(s: Study) -> DataFrame:
     rows = s.episodes.withColumn("died", F.pmod("subject_id", F.lit(2)))
@@ -226,6 +313,32 @@ def derived_ratios(s: Study) -> DataFrame:
     return rounded(s.state.select("stay_id", "step_index", "click_error", "view_error"))
 
 
+@query
+def nested_ratio(s: Study) -> DataFrame:
+    """A ratio of two ratios, declared before its parents."""
+    registry = features.make_registry([NESTED, *REGISTRY.values()])
+    rows = features.impute_state(s.wide, registry, s.medians)
+    return rounded(rows.select("stay_id", "step_index", "click_error", NESTED.name, f"{NESTED.name}_missing"))
+
+
+@query
+def own_rules(s: Study) -> DataFrame:
+    """Features under registered rules with parameters."""
+    rules = features.with_rules(s.spark, OWN_RULES, trial={"share_above": {"limit": 0.0}})
+    registry = features.make_registry(OWN_SPECS, rules)
+    rows = features.raw_state({"events": s.source}, s.episodes, registry, s.cfg, rules)
+    return rounded(rows.select("stay_id", "step_index", *registry, *(f"{n}__n" for n in registry)))
+
+
+@query
+def last_without_tie(s: Study) -> DataFrame:
+    """Last values of a source without a tie column: equal times go by item, then by value."""
+    days = s.events.withColumn("charttime", F.date_trunc("day", "charttime").cast("timestamp_ntz"))
+    spec = features.FeatureSpec("last_seen", "events", ("view", "click", "error"), "last", valid=(1, 150))
+    source = features.EventSource(days, "charttime", "valuenum")
+    return rounded(features.feature_long(source, s.episodes, [spec], s.cfg))
+
+
 @query
 def state_problems(s: Study) -> DataFrame:
     """Two stays folded into one id: repeated steps and two subjects show up."""
@@ -358,6 +471,38 @@ def transition_violations(s: Study) -> DataFrame:
     return tr.validate_transitions(cut.withColumn("action", shifted), len(s.columns))
 
 
+@query
+def replay_reload(s: Study) -> DataFrame:
+    """The flat replay table, one folder per split, read back through its column contract."""
+    path = scratch_path(s.spark, "replay")
+    writers.write_replay(s.transitions, path, s.columns)
+    return rounded(tr.flatten(readers.read_replay(s.spark, path, s.columns, split="validation"), s.columns))
+
+
+@query
+def artifact_reload(s: Study) -> DataFrame:
+    """Stored medians, scaler, bins and rewards, reloaded and applied."""
+    stored = s.fitted
+    medians = stored["medians"]["values"]
+    scaler = [scaling.FeatureTransform(**t) for t in stored["scaler"]["features"]]
+    record = stored["action_bins"]
+    edges = {k: tuple(record[k]) for k in ("first_edges", "second_edges")}
+    acted = act.assign_bins(s.wide, act.ActionBins(**{**record, **edges}))
+    state = s.imputed_with(acted, medians)
+    rewarded = s.rewarded(state, rewards.RewardConfig(**stored["reward_config"]))
+    return rounded(
+        scaling.apply_scaler(rewarded, scaler).select("stay_id", "step_index", "action_id", "reward_total", *s.columns)
+    )
+
+
+@query
+def transitions_normalised(s: Study) -> DataFrame:
+    """Transitions over z-scored states; actions and rewards come from the raw ones."""
+    rows = s.rewarded(s.imputed(act.assign_bins(s.wide, s.bins)), s.reward_config)
+    linked = tr.build_transitions(scaling.apply_scaler(rows, s.scaler), s.columns)
+    return rounded(tr.flatten(linked, s.columns))
+
+
 # --- baselines
 
 
@@ -386,6 +531,18 @@ def behaviour_support(s: Study) -> DataFrame:
     return rounded(s.support)
 
 
+@query
+def state_cuts(s: Study) -> DataFrame:
+    rows = [(c.component, i + 1, e) for c in s.cuts for i, e in enumerate(c.edges)]
+    return rounded(s.spark.createDataFrame(rows, "component string, edge int, value double"))
+
+
+@query
+def learned_support(s: Study) -> DataFrame:
+    """Behaviour support on state bins learned from the train rows."""
+    return rounded(baselines.behaviour_support(s.part("train"), discretise.state_bin(s.cuts)))
+
+
 @query
 def episode_returns(s: Study) -> DataFrame:
     return rounded(baselines.episode_returns(s.transitions, gamma=0.99))
@@ -425,6 +582,31 @@ def policy_report(s: Study) -> DataFrame:
     return rounded(ope.evaluate_policy(s.held_out, s.frozen_values, "train", gamma=0.99))
 
 
+@query
+def policy_scores(s: Study) -> DataFrame:
+    """Greedy actions of a stored network, scored in batches."""
+    greedy = policy.StoredPolicy(s.policy.values)
+    return _keys(policy.score_policy(s.transitions, greedy), "policy_action", "policy_q")
+
+
+@query
+def policy_masked(s: Study) -> DataFrame:
+    """Actions of a stored network among those a fitted behaviour network supports."""
+    rows = policy.score_policy(s.transitions, s.policy)
+    limit = s.policy.threshold * F.array_max("policy_probs")
+    supported = F.size(F.filter("policy_probs", lambda p: p >= limit))
+    return _keys(rows.withColumn("n_supported", supported), "policy_action", "policy_q", "n_supported")
+
+
+@query
+def policy_model_report(s: Study) -> DataFrame:
+    """Off-policy evaluation of a stored network on the held-out split."""
+    greedy = policy.StoredPolicy(s.policy.values)
+    steps = policy.score_policy(s.held_out.drop("policy_action"), greedy)
+    values = ope.initial_steps(steps.withColumnRenamed("q_values", "q"), ["q"])
+    return rounded(ope.evaluate_policy(steps, values, "train", gamma=0.99))
+
+
 @query
 def contract_drift(s: Study) -> DataFrame:
     def described(label: str, bins: int, reward_version: str) -> DataFrame:
@@ -488,7 +670,7 @@ def _sweep(s: Study, dimension: str, metrics: Sequence[str], measure: Callable[[
             fresh = Study(s.spark, s.sf_dir, setup)
             if setup.step_hours == s.setup.step_hours:
                 # the variant changes nothing before these stages
-                fresh.episodes, fresh.wide, fresh.doses, fresh.medians = s.episodes, s.wide, s.doses, s.medians
+                fresh.episodes, fresh.wide, fresh.medians = s.episodes, s.wide, s.medians
             studies[setup] = fresh
         return measure(studies[setup])
 
@@ -544,6 +726,28 @@ def metric_summary(s: Study) -> DataFrame:
     return rounded(report.metric_summary(s.metric_log))
 
 
+@query
+def metric_log_reload(s: Study) -> DataFrame:
+    """A metric log written as JSON lines, some of them broken, and what its reader makes of them."""
+    path = scratch_path(s.spark, "log")
+    n = F.col("step")
+    record = F.to_json(F.struct("step", "epoch", "name", "value", F.lit(0.5).alias("timestamp")))
+    line = (
+        F.when(n % 29 == 0, F.substring(record, 1, 20))
+        .when(n % 31 == 0, F.to_json(F.struct("step", "epoch", "value")))
+        .when(n % 37 == 0, F.lit(""))
+        .otherwise(record)
+    )
+    s.metric_log.select(line).write.text(path)
+    judged = readers.read_metric_log(s.spark, path, readers.KEEP)
+    fine = F.col("malformed").isNull()
+    kinds = F.when(fine, F.col("name")).when(F.col("malformed").contains('"value"'), "no name").otherwise("no record")
+    return rounded(
+        judged.groupBy(kinds.alias("line"))
+        .agg(F.count(F.lit(1)).alias("lines"), F.sum(F.when(fine, F.col("value"))).alias("total"))
+    )
+
+
 @query
 def epoch_summary(s: Study) -> DataFrame:
     return rounded(report.epoch_summary(s.metric_log))

@@ -191,6 +191,39 @@ SQL["scan_orders_keyword"] = """
 SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders
 WHERE (upper(o_orderpriority) LIKE '%HIGH%' OR upper(o_orderpriority) LIKE '%URGENT%') AND o_orderdate IS NOT NULL"""
 
+# --- typed text sources
+
+SQL["source_stays"] = f"""
+SELECT subject_id, hadm_id, stay_id, 'A, B' AS first_careunit, intime, outtime, {_r('los_hours')} FROM cohort_base"""
+SQL["source_patients"] = """
+SELECT c_custkey AS subject_id, c_mktsegment AS gender,
+  CASE WHEN c_acctbal >= 0 THEN CAST(floor(c_acctbal / 100) AS INTEGER) END AS anchor_age FROM customer"""
+SQL["source_admissions"] = """
+SELECT o_custkey AS subject_id, o_orderkey AS hadm_id, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END AS deathtime,
+  CAST(o_totalprice > 150000 AS INTEGER) AS hospital_expire_flag FROM orders WHERE o_orderstatus = 'F'"""
+SQL["source_cultures"] = """
+SELECT subject_id, hadm_id, charttime, coalesce(charttime, day) AS culture_time FROM (
+  SELECT subject_id, hadm_id, CASE WHEN event_id % 2 = 0 THEN date_trunc('second', charttime) END AS charttime,
+    CAST(date_trunc('day', charttime) AS TIMESTAMP) AS day
+  FROM ev WHERE itemid = 'signup' AND event_id % 10 > 0)"""
+CTES["coded"] = """
+SELECT event_id, subject_id, hadm_id, stay_id, date_trunc('second', charttime) AS charttime,
+  list_position(['view', 'click', 'error', 'purchase', 'signup'], itemid)::BIGINT AS itemid,
+  CASE WHEN event_id % 13 <> 0 THEN valuenum END AS valuenum FROM ev"""
+SQL["source_labs"] = """
+SELECT hadm_id, charttime, itemid, valuenum FROM coded
+WHERE itemid IN (2, 3) AND charttime >= TIMESTAMP '2024-01-03' AND charttime < TIMESTAMP '2024-01-25'
+  AND hadm_id IN (SELECT hadm_id FROM grid WHERE hadm_id % 3 > 0)"""
+SQL["source_scores"] = """
+SELECT subject_id, hadm_id, stay_id, charttime, itemid, valuenum FROM coded
+WHERE itemid IN (1, 3) AND valuenum IS NOT NULL"""
+SQL["source_malformed"] = """
+SELECT 'keep' AS policy, count(*) AS rows, count(*) FILTER (o_orderkey % 11 = 0 OR o_orderkey % 17 > 0) AS with_drug
+FROM orders
+UNION ALL SELECT 'drop', count(*), count(*) FROM orders WHERE o_orderkey % 11 > 0 AND o_orderkey % 17 > 0
+UNION ALL SELECT 'set aside', count(*), count(*) FILTER (o_orderkey % 11 = 0) FROM orders
+WHERE o_orderkey % 11 = 0 OR o_orderkey % 17 = 0"""
+
 # --- split
 
 
@@ -211,6 +244,11 @@ SQL["split_assign"] = "SELECT id AS subject_id, split FROM splits"
 SQL["split_manifest"] = """
 SELECT g.subject_id, s.split, g.stay_id, count(*) OVER (PARTITION BY g.subject_id) AS n_episodes
 FROM grid g JOIN splits s ON s.id = g.subject_id"""
+SQL["manifest_reload"] = f"SELECT * FROM ({SQL['split_manifest']}) WHERE split = 'validation'"
+SQL["manifest_summary"] = """
+SELECT s.split, count(DISTINCT g.subject_id) AS n_keys, count(*) AS n_episodes, CAST(42 AS BIGINT) AS seed,
+  '1' AS spec_version, TRUE AS leakage_free
+FROM grid g JOIN splits s ON s.id = g.subject_id GROUP BY 1"""
 SQL["manifest_arrays"] = """
 SELECT g.subject_id, s.split,
   string_agg(CAST(g.stay_id AS VARCHAR), ',' ORDER BY g.stay_id) AS episode_keys, count(*) AS n_episodes
@@ -398,31 +436,61 @@ def _bounded(feature: str) -> str:
     return _clip(f"coalesce(s.{feature}, m.{feature})", *_CLIP[feature])
 
 
+SQL["nested_ratio"] = f"""
+SELECT stay_id, step_index, {_r('click_error')}, {_r(_clip('coalesce(known, 1.5)', 0.1, 20), 'ratio_of_ratios')},
+  CAST(1 AS INTEGER) AS ratio_of_ratios_missing
+FROM (
+  SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY stay_id ORDER BY step_index) AS known
+  FROM (SELECT *, CASE WHEN view_error > 0 THEN click_error / view_error END AS own FROM pass2))"""
+_OWN = ("view_high", "view_low", "click_span", "error_peak")
+SQL["own_rules"] = f"""
+SELECT s.stay_id, s.step_index, {_r('avg(CAST(v > 50 AS INTEGER)) FILTER (w)', 'view_high')},
+  {_r('avg(CAST(v > 20 AS INTEGER)) FILTER (w)', 'view_low')}, {_r('max(v) FILTER (c) - min(v) FILTER (c)', 'click_span')},
+  {_r("max((SELECT max(e.valuenum) FROM ev e WHERE e.stay_id = s.stay_id AND e.itemid = 'error' "
+      "AND e.valuenum BETWEEN 0 AND 160 AND e.charttime >= g.window_start AND e.charttime < s.step_end))", 'error_peak')},
+  count(v) FILTER (w) AS view_high__n, count(v) FILTER (w) AS view_low__n, count(v) FILTER (c) AS click_span__n,
+  count(v) FILTER (p) AS error_peak__n
+FROM steps s JOIN windows g ON g.stay_id = s.stay_id
+LEFT JOIN (SELECT stay_id, step_index, valuenum AS v, itemid = 'view' AND valuenum BETWEEN 0.5 AND 200 AS w,
+    itemid IN ('click', 'view') AND valuenum BETWEEN 0.1 AND 180 AS c, itemid = 'error' AND valuenum BETWEEN 0 AND 160 AS p
+  FROM placed) p ON p.stay_id = s.stay_id AND p.step_index = s.step_index
+GROUP BY s.stay_id, s.step_index"""
+SQL["last_without_tie"] = f"""
+SELECT e.stay_id, s.step_index, 'last_seen' AS feature,
+  {_r("last(v ORDER BY t, list_position(['view', 'click', 'error'], itemid), v) FILTER (v BETWEEN 1 AND 150)", 'value')},
+  count(*) FILTER (v BETWEEN 1 AND 150) AS n_valid
+FROM (SELECT stay_id, itemid, valuenum AS v, CAST(date_trunc('day', charttime) AS TIMESTAMP) AS t FROM ev
+  WHERE itemid IN ('view', 'click', 'error')) e
+JOIN steps s ON s.stay_id = e.stay_id AND e.t >= s.step_start AND e.t < s.step_end GROUP BY 1, 2"""
+
+# one pass: mean and deviation of every feature in one row
+CTES["scales"] = (
+    "SELECT "
+    + ", ".join(
+        f"avg({f}) AS {f}_mean, CASE WHEN stddev_pop({f}) <= 1e-12 THEN 1.0 ELSE stddev_pop({f}) END AS {f}_scale"
+        for f in _FEATURES
+    )
+    + " FROM (SELECT "
+    + ", ".join(f"{_bounded(f)} AS {f}" for f in _FEATURES)
+    + " FROM state s CROSS JOIN medians m WHERE s.split = 'train')"
+)
 CTES["scaler"] = "\nUNION ALL\n".join(
-    f"SELECT '{f}' AS feature, max(m.{f}) AS median, avg({_bounded(f)}) AS mean, "
-    f"CASE WHEN stddev_pop({_bounded(f)}) <= 1e-12 THEN 1.0 ELSE stddev_pop({_bounded(f)}) END AS scale, "
+    f"SELECT '{f}' AS feature, m.{f} AS median, w.{f}_mean AS mean, w.{f}_scale AS scale, "
     f"CAST({_CLIP[f][0]} AS DOUBLE) AS clip_low, CAST({_CLIP[f][1]} AS DOUBLE) AS clip_high "
-    f"FROM state s CROSS JOIN medians m WHERE s.split = 'train'"
+    f"FROM medians m CROSS JOIN scales w"
     for f in _FEATURES
 )
 SQL["scaler_fit"] = (
     f"SELECT feature, {_r('median')}, {_r('mean')}, {_r('scale')}, {_r('clip_low')}, {_r('clip_high')} FROM scaler"
 )
-SQL["state_normalised"] = (
+CTES["normal"] = (
     "SELECT s.stay_id, s.step_index, "
     + ", ".join(
-        c if c.endswith("_missing") else _r(
-            f"({_bounded(c)} - w.{c}_mean) / w.{c}_scale", c
-        )
-        for c in _COLUMNS
-    )
-    + " FROM state s CROSS JOIN medians m CROSS JOIN (SELECT "
-    + ", ".join(
-        f"max(mean) FILTER (feature = '{f}') AS {f}_mean, max(scale) FILTER (feature = '{f}') AS {f}_scale"
-        for f in _FEATURES
+        c if c.endswith("_missing") else f"({_bounded(c)} - w.{c}_mean) / w.{c}_scale AS {c}" for c in _COLUMNS
     )
-    + " FROM scaler) w"
+    + " FROM state s CROSS JOIN medians m CROSS JOIN scales w"
 )
+SQL["state_normalised"] = f"SELECT stay_id, step_index, {_state_list(_COLUMNS)} FROM normal"
 SQL["static_weight"] = f"SELECT stay_id, {_r('weight_kg')} FROM weights"
 
 # --- actions
@@ -555,6 +623,21 @@ SQL["transitions"] = (
     + ", ".join(_r(f"{p}_{c}") for p in ("s", "ns") for c in _COLUMNS)
     + " FROM linked"
 )
+SQL["replay_reload"] = f"SELECT * FROM ({SQL['transitions']}) WHERE split = 'validation'"
+SQL["artifact_reload"] = (
+    f"SELECT n.stay_id, n.step_index, a.action_id, {_r('r.reward_total', 'reward_total')}, "
+    + ", ".join(f"n.{c}" if c.endswith("_missing") else _r(f"n.{c}", c) for c in _COLUMNS)
+    + " FROM normal n JOIN actions a ON a.stay_id = n.stay_id AND a.step_index = n.step_index "
+    + "JOIN rew_sofa r ON r.stay_id = n.stay_id AND r.step_index = n.step_index"
+)
+SQL["transitions_normalised"] = (
+    f"SELECT t.split, t.stay_id, t.step_index, t.action, {_r('t.reward', 'reward')}, t.done, "
+    + ", ".join(_r(f"CAST(n.{c} AS DOUBLE)", f"s_{c}") for c in _COLUMNS)
+    + ", "
+    + ", ".join(_r(f"CAST(coalesce(x.{c}, n.{c}) AS DOUBLE)", f"ns_{c}") for c in _COLUMNS)
+    + " FROM trans t JOIN normal n ON n.stay_id = t.stay_id AND n.step_index = t.step_index "
+    + "LEFT JOIN normal x ON x.stay_id = t.stay_id AND x.step_index = t.step_index + 1"
+)
 SQL["dataset_meta"] = f"""
 SELECT split, count(DISTINCT stay_id) AS n_episodes, count(*) AS n_transitions,
   CAST({len(_COLUMNS)} AS INTEGER) AS state_dim, CAST(25 AS INTEGER) AS n_actions, '1' AS spec_version,
@@ -605,6 +688,26 @@ SELECT state_bin, action, count(*) AS support_count,
 FROM (SELECT {_BIN.format(t='')} AS state_bin, action FROM trans WHERE split = 'train') GROUP BY 1, 2"""
 SQL["behaviour_support"] = f"SELECT state_bin, action, support_count, {_r('support_prob')} FROM support"
 
+_BINNED = {"view_last": 4, "error_max": 3, "paid_total": 4}
+CTES["learned"] = (
+    "SELECT "
+    + ", ".join(
+        f"list_sort(list_distinct([{', '.join(f'quantile_cont(s_{c}, {i}::DOUBLE / {n})' for i in range(1, n))}])) AS {c}"
+        for c, n in _BINNED.items()
+    )
+    + " FROM trans WHERE split = 'train'"
+)
+SQL["state_cuts"] = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS component, i::INTEGER AS edge, {_r(f'{c}[i]', 'value')} "
+    f"FROM (SELECT {c}, unnest(range(1, len({c}) + 1)) AS i FROM learned)"
+    for c in _BINNED
+)
+_LEARNED_BIN = " || '-' || ".join(f"CAST(len(list_filter(l.{c}, lambda e: s_{c} > e)) AS VARCHAR)" for c in _BINNED)
+SQL["learned_support"] = f"""
+SELECT state_bin, action, count(*) AS support_count,
+  {_r('count(*) / CAST(sum(count(*)) OVER (PARTITION BY state_bin) AS DOUBLE)', 'support_prob')}
+FROM (SELECT {_LEARNED_BIN} AS state_bin, action FROM trans CROSS JOIN learned l WHERE split = 'train') GROUP BY 1, 2"""
+
 # --- off-policy evaluation
 
 CTES["held"] = f"""
@@ -674,6 +777,50 @@ SELECT 'n_actions' AS field, '25' AS train, '9' AS held_out WHERE EXISTS (SELECT
 UNION ALL SELECT 'reward_spec_version', '1', '2' WHERE EXISTS (SELECT 1 FROM trans)
 UNION ALL SELECT 'split_label', CAST(NULL AS VARCHAR), 'validation' WHERE EXISTS (SELECT 1 FROM trans)"""
 
+_N = len(_COLUMNS)
+CTES["hidden"] = f"""
+SELECT *, list_transform(range(0, 8), lambda u: greatest(0, list_sum(list_transform(range(0, {_N}),
+    lambda i: ((7 * u + 3 * i) % 11 - 5) / 1e2 * x[i + 1])) + u % 3 - 1)) AS h
+FROM (SELECT stay_id, step_index, split, action, reward, done, [{", ".join(f"s_{c}" for c in _COLUMNS)}] AS x FROM trans)"""
+CTES["valued"] = """
+SELECT *, list_transform(range(0, 25), lambda a: list_sum(list_transform(range(0, 8),
+    lambda u: ((5 * a + 2 * u) % 13 - 6) / 5e1 * h[u + 1])) + (3 * a) % 7 / 2e1) AS q
+FROM hidden"""
+CTES["greedy"] = """
+SELECT *, CAST(list_position(q, list_max(q)) - 1 AS INTEGER) AS policy_action, list_max(q) AS policy_q FROM valued"""
+SQL["policy_scores"] = f"SELECT stay_id, step_index, policy_action, {_r('policy_q')} FROM greedy"
+CTES["spread"] = f"SELECT {', '.join(f'var_pop(s_{c}) AS {c}' for c in _COLUMNS)} FROM trans WHERE split = 'train'"
+CTES["centres"] = (
+    "SELECT action, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share, "
+    + ", ".join(f"avg(s_{c}) AS {c}" for c in _COLUMNS)
+    + " FROM trans WHERE split = 'train' GROUP BY 1"
+)
+_CLASS = " + ".join(
+    f"CASE WHEN v.{c} > 1e-12 THEN m.{c} / v.{c} * t.s_{c} - m.{c} * m.{c} / (2 * v.{c}) ELSE 0 END" for c in _COLUMNS
+)
+CTES["behaved"] = f"""
+SELECT t.stay_id, t.step_index, list(coalesce(ln(m.share) + {_CLASS}, -1e9) ORDER BY a.i) AS z
+FROM trans t CROSS JOIN (SELECT unnest(range(0, 25)) AS i) a CROSS JOIN spread v LEFT JOIN centres m ON m.action = a.i
+GROUP BY 1, 2"""
+SQL["policy_masked"] = f"""
+SELECT stay_id, step_index, CAST(best - 1 AS INTEGER) AS policy_action, {_r('q[best]', 'policy_q')},
+  CAST(n AS INTEGER) AS n_supported
+FROM (
+  SELECT *, list_position(masked, list_max(masked)) AS best FROM (
+    SELECT stay_id, step_index, q, len(list_filter(z, lambda y: exp(y - list_max(z)) >= 0.3)) AS n,
+      list_transform(range(1, 26), lambda i:
+        CASE WHEN exp(z[i] - list_max(z)) >= 0.3 THEN q[i] ELSE CAST('-inf' AS DOUBLE) END) AS masked
+    FROM valued JOIN behaved USING (stay_id, step_index)))"""
+CTES["ope_model"] = f"""
+SELECT h.stay_id AS episode_id, sum(pow(CAST(0.99 AS DOUBLE), h.step_index) * h.reward) AS g,
+  product(({_HIT.replace('action =', 'h.action =').replace('policy_action', 'y.policy_action')}) / behavior_action_prob) AS w,
+  count(*) AS n
+FROM held h JOIN greedy y ON y.stay_id = h.stay_id AND y.step_index = h.step_index GROUP BY 1"""
+SQL["policy_model_report"] = f"""
+SELECT m.*, {_r("(SELECT avg(policy_q) FROM greedy y WHERE split = 'test' AND step_index = "
+                "(SELECT min(step_index) FROM trans t WHERE t.stay_id = y.stay_id))", 'fqe')}
+FROM (SELECT {_wis('ope_model', 'sum(w)')} FROM ope_model) m"""
+
 # --- safety
 
 CTES["review"] = """
@@ -809,6 +956,12 @@ SELECT event_type AS name, count(value) AS "count", {_r('min(value)', 'min')}, {
   {_r('avg(value)', 'mean')}, {_r('arg_max(value, event_id)', 'final')}, min(event_id) AS first_step,
   max(event_id) AS last_step, {_r('quantile_cont(value, 0.5)', 'median')}
 FROM events GROUP BY 1"""
+SQL["metric_log_reload"] = f"""
+SELECT line, count(*) AS lines, {_r('sum(value)', 'total')} FROM (
+  SELECT CASE WHEN event_id % 29 = 0 THEN 'no record' WHEN event_id % 31 = 0 THEN 'no name' ELSE event_type END AS line,
+    CASE WHEN event_id % 29 > 0 AND event_id % 31 > 0 THEN value END AS value
+  FROM events WHERE event_id % 29 = 0 OR event_id % 31 = 0 OR event_id % 37 > 0)
+GROUP BY 1"""
 CTES["epochs"] = """
 SELECT event_type AS name, CAST(day(ts) AS BIGINT) AS epoch, avg(value) AS mean, min(value) AS mn, max(value) AS mx
 FROM events GROUP BY 1, 2"""

@@ -151,18 +151,16 @@ def trajectory_stage(
     weights = features.static_weight(infused)
     labels = features.outcome_label(episodes, admissions)
     context = features.step_context(episodes, ages, weights, splits, labels)
-    measured = features.raw_state(event_sources(raw, registry, episodes), episodes, registry, cfg.grid)
-    wide = measured.join(context.drop("hadm_id", "onset_time"), "stay_id").withColumn(
-        "hours_since_onset", F.col("hours_relative").cast("double")
-    )
-
     drugs = readers.scan_intervals(raw["inputevents"], list(clinical.AGENT_ITEMS), start, end, episodes)
     rates = act.standardise_rate(drugs, clinical.AGENT_ITEMS, clinical.AGENT_FACTORS)
-    steps = grid.grid_steps(episodes, cfg.grid)
-    levels = act.treatment_levels(
-        rates, raw["inputevents"], episodes, steps, clinical.FLUID_ITEMS, cfg=cfg.grid
+    fluids = readers.scan_points(
+        raw["inputevents"], clinical.FLUID_ITEMS, start, end, episodes, time="starttime"
     )
-    wide = cut_lineage(wide.join(levels, ["stay_id", "step_index"]))
+    given = act.treatments(rates, fluids, episodes, clinical.FLUID_ITEMS, cfg=cfg.grid)
+    sources = event_sources(raw, registry, episodes)
+    measured = features.raw_state(sources, episodes, registry, cfg.grid, placed=given)
+    wide = measured.join(context.drop("hadm_id", "onset_time"), "stay_id")
+    wide = cut_lineage(wide.withColumn("hours_since_onset", F.col("hours_relative").cast("double")))
 
     train = scaling.train_rows(wide)
     first = features.impute_state(train, registry, {}, impute=cfg.fit_on == "imputed")

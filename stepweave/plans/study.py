@@ -16,13 +16,15 @@ from stepweave.functions.scalars import micros_between
 from stepweave.functions.skew import skew_join
 from stepweave.functions.vectors import softmax
 from stepweave.operators import actions as act
-from stepweave.operators import anchor, baselines, features, grid, ope, rewards, safety, scaling, split
+from stepweave.operators import anchor, baselines, discretise, features, grid, ope, policy, rewards, safety, scaling
+from stepweave.operators import split
 from stepweave.operators import cohort as coh
 from stepweave.operators import transitions as tr
 from stepweave.operators.features import FORWARD_FILL, MEDIAN, NORMAL, ZERO, EventSource, FeatureSpec
 from stepweave.operators.grid import GridConfig
 from stepweave.operators.sweep import Setup, SweepPlan
-from stepweave.session import configure, cut_lineage
+from stepweave.session import configure, cut_lineage, scratch_path
+from stepweave.sources import artifacts, writers
 
 SEED = 42
 
@@ -37,6 +39,8 @@ REWARD_COLUMNS = {"sofa": "sofa_score", "lactate": "error_max", "pressure": "vie
 FULL = rewards.RewardConfig(rewards.FULL_SHAPED, lactate_weight=0.5, map_weight=0.01, map_threshold=40.0)
 STATE_CUTS = ((0, (25.0, 60.0)), (4, (30.0, 70.0)))
 N_ACTIONS = 25
+# Behaviour probability of an action never seen in a state bin
+UNSEEN_PROB = 0.01
 
 REGISTRY = features.make_registry(
     [
@@ -58,6 +62,24 @@ REGISTRY = features.make_registry(
         FeatureSpec("hours_since_onset", "grid", (), "last", NORMAL, (-24, 48), (-24, 48), 0),
     ]
 )
+# A ratio of two ratios, listed before its parents
+NESTED = FeatureSpec(
+    "ratio_of_ratios", "derived", (), "last", FORWARD_FILL, (0, 50), (0.1, 20), 1.5, True, ("click_error", "view_error")
+)
+# Features under rules of the caller's own
+OWN_RULES = {
+    "share_above": features.Rule(lambda value, order, weight, limit: F.avg((value > limit).cast("double"))),
+    "span": features.Rule(lambda value, order, weight: F.max(value) - F.min(value)),
+    "largest_so_far": features.Rule(lambda value, order, weight: F.max(value), running=F.max),
+}
+OWN_SPECS = (
+    FeatureSpec("view_high", "events", ("view",), "share_above", ZERO, (0.5, 200), params=(("limit", 50.0),)),
+    FeatureSpec("view_low", "events", ("view",), "share_above", ZERO, (0.5, 200), params=(("limit", 20.0),)),
+    FeatureSpec("click_span", "events", ("click", "view"), "span", ZERO, (0.1, 180)),
+    FeatureSpec("error_peak", "events", ("error",), "largest_so_far", ZERO, (0, 160)),
+)
+# State components that get learned bins, and how many
+BINNED = {"view_last": 4, "error_max": 3, "paid_total": 4}
 SUBSETS = {
     "full_state": None,
     "clinical_core": ("view_last", "click_min", "error_max", "purchase_mean"),
@@ -68,8 +90,8 @@ SUBSETS = {
 class Study:
     """Lazily built stages over one data directory.
 
-    ``anchored``, ``episodes``, ``context``, ``wide``, ``doses`` and ``transitions`` feed
-    several consumers each and are written once to the shared checkpoint folder.
+    ``anchored``, ``episodes``, ``context``, ``wide`` and ``transitions`` feed several
+    consumers each and are written once to the shared checkpoint folder.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, setup: Setup = Setup()):
@@ -196,7 +218,10 @@ class Study:
 
     @cached_property
     def wide(self) -> DataFrame:
-        rows = self.raw.join(self.context.drop("hadm_id", "onset_time"), "stay_id")
+        """Observed features and treatment levels per step, aggregated together."""
+        given = act.treatments(self.rates, self.infusions, self.episodes, FLUID, cfg=self.cfg)
+        rows = features.raw_state({"events": self.source}, self.episodes, REGISTRY, self.cfg, placed=given)
+        rows = rows.join(self.context.drop("hadm_id", "onset_time"), "stay_id")
         return cut_lineage(rows.withColumn("hours_since_onset", F.col("hours_relative").cast("double")))
 
     @cached_property
@@ -204,8 +229,11 @@ class Study:
         first_pass = features.impute_state(self.wide, REGISTRY, {})
         return scaling.fit_medians(scaling.train_rows(first_pass), REGISTRY)
 
+    def imputed_with(self, rows: DataFrame, medians: dict[str, float]) -> DataFrame:
+        return features.clinical_proxy(features.impute_state(rows, REGISTRY, medians), PROXY)
+
     def imputed(self, rows: DataFrame) -> DataFrame:
-        return features.clinical_proxy(features.impute_state(rows, REGISTRY, self.medians), PROXY)
+        return self.imputed_with(rows, self.medians)
 
     @cached_property
     def state(self) -> DataFrame:
@@ -254,8 +282,7 @@ class Study:
 
     @cached_property
     def doses(self) -> DataFrame:
-        levels = act.treatment_levels(self.rates, self.infusions, self.episodes, self.steps, FLUID, cfg=self.cfg)
-        return cut_lineage(levels.join(self.context.select("stay_id", "split"), "stay_id"))
+        return self.wide.select("stay_id", "step_index", "split", "vaso_dose_4h", "fluid_volume_4h")
 
     @cached_property
     def bins(self) -> act.ActionBins:
@@ -276,18 +303,155 @@ class Study:
     def rewards_for(self, cfg: rewards.RewardConfig) -> DataFrame:
         return rewards.step_rewards(self.state, cfg, **REWARD_COLUMNS)
 
+    def rewarded(self, state: DataFrame, cfg: rewards.RewardConfig) -> DataFrame:
+        return rewards.with_rewards(state, cfg, **REWARD_COLUMNS)
+
     @cached_property
     def transitions(self) -> DataFrame:
-        """Actions join the raw rows, so imputation, rewards and successors share
-        one exchange and one sort by stay.
+        """Actions are a projection of the raw rows, so imputation, rewards and
+        successors share one exchange and one sort by stay.
         """
-        acted = self.wide.join(self.actions.select("stay_id", "step_index", "action_id"), ["stay_id", "step_index"])
-        rewarded = rewards.with_rewards(self.imputed(acted), self.reward_config, **REWARD_COLUMNS)
+        acted = act.assign_bins(self.wide, self.bins)
+        rewarded = self.rewarded(self.imputed(acted), self.reward_config)
         return cut_lineage(tr.build_transitions(rewarded, self.columns))
 
     def part(self, label: str) -> DataFrame:
         return self.transitions.where(F.col("split") == label)
 
+    # --- stored policies and learned state bins
+
+    @cached_property
+    def policy(self) -> policy.StoredPolicy:
+        """Action values of a fixed network and a behaviour network fitted on train rows, stored and read back."""
+        width = len(self.columns)
+        values = policy.dense(
+            (width, 8, N_ACTIONS),
+            lambda layer, u, i: ((5 * u + 2 * i) % 13 - 6) / 50 if layer else ((7 * u + 3 * i) % 11 - 5) / 100,
+            lambda layer, u: (3 * u) % 7 / 20 if layer else u % 3 - 1,
+        )
+        fitted = policy.fit_behaviour_network(self.part("train"), N_ACTIONS)
+        path = scratch_path(self.spark, "policy")
+        writers.write_table(policy.policy_frame(self.spark, policy.StoredPolicy(values, fitted)), path)
+        return policy.policy_from(self.spark.read.parquet(path))
+
+    @cached_property
+    def cuts(self) -> list[discretise.Cut]:
+        """Learned edges of some state components, stored and read back."""
+        root = scratch_path(self.spark, "cuts")
+        fitted = discretise.fit_cuts(self.part("train"), BINNED, self.columns)
+        artifacts.save(self.spark, root, "state_cuts", {"cuts": [artifacts.dataclass_record(c) for c in fitted]})
+        stored = artifacts.load(self.spark, root, "state_cuts")["cuts"]
+        cuts = [discretise.Cut(c["component"], c["at"], tuple(c["edges"])) for c in stored]
+        discretise.check_places(cuts, self.columns)
+        return cuts
+
+    @cached_property
+    def fitted(self) -> dict[str, dict]:
+        """Medians, scaler, action bins and reward configuration, stored and read back."""
+        root = scratch_path(self.spark, "fitted")
+        records = {
+            "medians": {"values": self.medians},
+            "scaler": {"features": [artifacts.dataclass_record(t) for t in self.scaler]},
+            "action_bins": artifacts.dataclass_record(self.bins),
+            "reward_config": artifacts.dataclass_record(self.reward_config),
+        }
+        for kind, record in records.items():
+            artifacts.save(self.spark, root, kind, record)
+        return {kind: artifacts.load(self.spark, root, kind) for kind in records}
+
+    # --- text tables, as raw data come
+
+    def as_text(self, name: str, rows: DataFrame) -> str:
+        """``rows`` as a gzip CSV file of text; returns its path."""
+        path = scratch_path(self.spark, name)
+        writers.write_text(rows.select(*(F.col(c).cast("string").alias(c) for c in rows.columns)), path)
+        return path
+
+    @cached_property
+    def text_stays(self) -> str:
+        base = self.cohort_base
+        los = (F.col("los_hours") / 24).alias("los")
+        return self.as_text(
+            "stays",
+            base.select(
+                "subject_id", "hadm_id", "stay_id", F.lit("A, B").alias("first_careunit"), F.lit("note").alias("note"),
+                _stamp("intime").alias("intime"), _stamp("outtime").alias("outtime"), los,
+            ),
+        )
+
+    @cached_property
+    def text_patients(self) -> str:
+        """Negative balances make ages that do not parse."""
+        customer = self.table("customer")
+        age = F.floor(F.col("c_acctbal") / 100).cast("string")
+        return self.as_text(
+            "patients",
+            customer.select(
+                F.lit(2150).alias("anchor_year"), F.col("c_custkey").alias("subject_id"), F.col("c_mktsegment").alias("gender"),
+                F.when(F.col("c_acctbal") < 0, F.lit("n/a")).otherwise(age).alias("anchor_age"),
+            ),
+        )
+
+    @cached_property
+    def text_admissions(self) -> str:
+        """Every seventh death time is broken."""
+        orders = self.table("orders").where("o_orderstatus = 'F'")
+        broken = F.pmod("o_orderkey", F.lit(7)) == 0
+        return self.as_text(
+            "admissions",
+            orders.select(
+                F.col("o_custkey").alias("subject_id"), F.col("o_orderkey").alias("hadm_id"),
+                F.when(broken, F.lit("31/12/2150")).otherwise(_stamp("o_orderdate")).alias("deathtime"),
+                (F.col("o_totalprice") > 150000).cast("int").alias("hospital_expire_flag"),
+            ),
+        )
+
+    @cached_property
+    def text_cultures(self) -> str:
+        """Odd events have a date only, every tenth one neither."""
+        rows = self.events.where(F.col("itemid") == "signup")
+        return self.as_text(
+            "cultures",
+            rows.select(
+                "subject_id", "hadm_id", F.lit("BLOOD").alias("spec_type_desc"),
+                F.when(F.col("event_id") % 10 > 0, F.date_format("charttime", "yyyy-MM-dd")).alias("chartdate"),
+                F.when((F.col("event_id") % 2 == 0) & (F.col("event_id") % 10 > 0), _stamp("charttime")).alias("charttime"),
+            ),
+        )
+
+    @cached_property
+    def text_events(self) -> str:
+        """Item codes instead of names; every thirteenth value does not parse."""
+        codes = F.array(*(F.lit(i) for i in ITEMS))
+        value = F.when(F.col("event_id") % 13 == 0, F.lit("> 99")).otherwise(F.col("valuenum").cast("string"))
+        return self.as_text(
+            "events",
+            self.events.select(
+                "event_id", "subject_id", "hadm_id", "stay_id", _stamp("charttime").alias("charttime"),
+                F.array_position(codes, F.col("itemid")).alias("itemid"), value.alias("valuenum"),
+            ),
+        )
+
+    @cached_property
+    def ragged_orders(self) -> str:
+        """Drug orders in which some rows have a field too many or too few."""
+        path = scratch_path(self.spark, "orders")
+        orders = self.table("orders")
+        fields = ["o_custkey", "o_orderkey", _stamp("o_orderdate"), _stamp("o_orderdate"), "o_orderpriority"]
+        whole = F.concat_ws(",", *(F.col(f).cast("string") if isinstance(f, str) else f for f in fields), F.lit("IV"))
+        n = F.col("o_orderkey")
+        line = (
+            F.when(n % 11 == 0, F.concat_ws(",", whole, F.lit("more")))
+            .when(n % 17 == 0, F.substring_index(whole, ",", 3))
+            .otherwise(whole)
+        )
+        header = "subject_id,hadm_id,starttime,stoptime,drug,route"
+        head = self.spark.range(1).select(F.lit(header).alias("value"), F.lit(-1).cast("long").alias("n"))
+        rows = head.unionByName(orders.select(line.alias("value"), n.alias("n")))
+        # one file, so that the header is its first line
+        rows.repartition(1).sortWithinPartitions("n").select("value").write.text(path)
+        return path
+
     # --- evaluation
 
     @property
@@ -312,7 +476,7 @@ class Study:
         joined = skew_join(rows, table, ["state_bin", "action"], "left")
         return joined.select(
             F.col("stay_id").alias("episode_id"), "step_index", "state", "action", "reward", "done", "policy_action",
-            F.coalesce("support_prob", F.lit(0.01)).alias("behavior_action_prob"),
+            F.coalesce("support_prob", F.lit(UNSEEN_PROB)).alias("behavior_action_prob"),
         )
 
     @property
@@ -375,5 +539,13 @@ class Study:
         )
 
 
+# Item codes of the text tables, by place
+ITEMS = ("view", "click", "error", "purchase", "signup")
+
+
+def _stamp(column: str) -> Column:
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+
+
 def sweep_plan() -> SweepPlan:
     return SweepPlan(subsets=SUBSETS)

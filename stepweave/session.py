@@ -51,6 +51,11 @@ def _shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it from there.
 
@@ -59,6 +64,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     and joins know the real size, so only sides under the broadcast threshold
     are broadcast.
     """
-    path = f"{_shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -34,9 +34,5 @@ RAW_TYPES: dict[str, str] = {
 
 METRIC_LOG = "step long, epoch long, name string, value double, timestamp double"
 
-MANIFEST = "subject_id long, split string, part int, episode_keys array<long>, n_episodes long"
-
-HELD_OUT_STEPS = (
-    "episode_id string, step_index int, state array<double>, action int, reward double, done boolean, "
-    "behavior_action_prob double"
-)
+# A stored manifest, partitioned by split
+MANIFEST = "key long, stay_id long, n_episodes long, split string"

@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from stepweave.operators.split import leakage_check
 from stepweave.operators.transitions import flatten, replay_layout
+from stepweave.sources import artifacts
+from stepweave.sources.schemas import MANIFEST
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
@@ -35,9 +39,34 @@ def write_replay(transitions: DataFrame, path: str, features: Sequence[str]) ->
     write_table(flat, path, ("split",) if "split" in flat.columns else ())
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """A small artifact table as JSON lines."""
-    df.write.mode("overwrite").json(path)
+def write_manifest(
+    manifest: DataFrame, root: str, seed: int, spec_version: str, key: str = "subject_id"
+) -> dict:
+    """A manifest as a table with one folder per split, and its summary record beside it.
+
+    The summary is taken from the table as written.
+    """
+    names = [f.split()[0] for f in MANIFEST.split(", ")]
+    rows = manifest.withColumn("key", F.col(key).cast("long")).select(*names)
+    write_table(rows, f"{root}/manifest", ("split",))
+    stored = manifest.sparkSession.read.schema(MANIFEST).parquet(f"{root}/manifest")
+    per_key = stored.groupBy("split", "key").agg(F.count(F.lit(1)).alias("n"))
+    counts = per_key.groupBy("split").agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("episodes")).collect()
+    summary = {
+        "seed": seed,
+        "spec_version": spec_version,
+        "keys": key,
+        "n_keys": {r["split"]: r["keys"] for r in counts},
+        "n_episodes": {r["split"]: r["episodes"] for r in counts},
+        "leakage_free": leakage_check(stored, "key").isEmpty(),
+    }
+    artifacts.save(manifest.sparkSession, root, "split_summary", summary)
+    return summary
+
+
+def write_text(df: DataFrame, path: str) -> None:
+    """A table as gzip CSV with a header, nulls as empty fields."""
+    df.write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
 
 
 def write_stage(tables: dict[str, DataFrame], root: str) -> dict[str, str]:

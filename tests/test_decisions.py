@@ -5,7 +5,7 @@ from conftest import at, rows_of
 from pyspark.sql import functions as F
 
 from stepweave.operators import actions as act
-from stepweave.operators import baselines, grid, ope, qdiag, report, rewards, safety, sweep
+from stepweave.operators import baselines, features, grid, ope, qdiag, report, rewards, safety, sweep
 from stepweave.operators import transitions as tr
 from stepweave.presets import clinical
 
@@ -48,7 +48,8 @@ def test_point_sum_and_combined_levels(spark):
     )
     got = act.point_sum(rows, eps, steps, items=(7,)).orderBy("step_index").collect()
     assert [r.fluid_volume_4h for r in got] == [0.0, 150.0, 25.0]
-    both = act.treatment_levels(rows, rows, eps, steps, (7,)).orderBy("step_index").collect()
+    given = act.treatments(rows, rows, eps, (7,))
+    both = features.raw_state({}, eps, {}, placed=given).orderBy("step_index").collect()
     assert [(r.vaso_dose_4h, r.fluid_volume_4h) for r in both] == [
         (0.0, 0.0), (pytest.approx(1.0), 150.0), (pytest.approx(3.0), 25.0),
     ]
@@ -144,10 +145,8 @@ def test_transitions_link_and_absorb(spark):
 def test_missing_action_fails_and_missing_reward_is_zero(spark):
     with pytest.raises(Exception, match="without an action"):
         tr.build_transitions(merged(spark, [(1, 0, None, 0.0, 1.0)]), ["f"]).collect()
-    state = spark.createDataFrame([(1, 0, 2.0)], "stay_id long, step_index int, f double")
-    acts = spark.createDataFrame([(1, 0, 7)], "stay_id long, step_index int, action_id int")
-    rew = spark.createDataFrame([], "stay_id long, step_index int, reward_total double")
-    assert tr.merge_steps(state, acts, rew).first().reward_total == 0.0
+    without = merged(spark, [(1, 0, 7, None, 1.0)])
+    assert tr.build_transitions(without, ["f"]).first().reward == 0.0
 
 
 def test_violations(spark):
