@@ -1,8 +1,11 @@
 import pytest
 from conftest import at
+from pyspark.sql import functions as F
 
+from stepweave.operators import actions as act
 from stepweave.operators import features as ft
-from stepweave.operators import grid, scaling
+from stepweave.operators import grid, rewards, scaling
+from stepweave.operators import transitions as tr
 from stepweave.operators.features import EventSource, FeatureSpec
 from stepweave.presets import clinical
 
@@ -98,6 +101,170 @@ def test_registry_rules():
         ft.make_registry([FeatureSpec("x", "derived", parents=("a", "b"))])
 
 
+def test_ratio_of_ratios_in_any_order(spark):
+    a = FeatureSpec("a", "chart", (1,), "last", ft.FORWARD_FILL, (0, 100), (0, 50), 10)
+    b = FeatureSpec("b", "chart", (2,), "last", ft.FORWARD_FILL, (0, 10), (0, 5), 2)
+    up = FeatureSpec("up", "derived", (), "last", ft.MEDIAN, (0, 1), (0, 20), 7.0, parents=("a", "b"))
+    down = FeatureSpec("down", "derived", (), "last", ft.MEDIAN, (0, 1), (0, 20), 4.0, parents=("b", "a"))
+    both = FeatureSpec("both", "derived", (), "last", ft.MEDIAN, (0, 1), (0, 400), 1.0, True, ("up", "down"))
+    top = FeatureSpec("top", "derived", (), "last", ft.MEDIAN, (0, 1), (0, 900), 1.0, False, ("both", "up"))
+    registry = ft.make_registry([top, both, down, up, b, a])
+    assert ft.derived_levels(registry) == [["down", "up"], ["both"], ["top"]]
+    got = state(spark, [top, both, down, up, b, a], [(1, 30.0, -24), (2, 4.0, -24), (2, 0.0, -20)])
+    assert got[0]["up"] == 7.5 and got[0]["down"] == pytest.approx(4 / 30)
+    assert got[0]["both"] == pytest.approx(7.5 / (4 / 30)) and got[0]["top"] == pytest.approx(7.5 / (4 / 30) / 7.5)
+    # b = 0: up takes its normal value, down is 0, both its own normal value
+    assert (got[1]["up"], got[1]["down"], got[1]["both"]) == (7.0, 0.0, 1.0)
+    assert {r["both_missing"] for r in got} == {1}
+
+
+def test_cycles_are_reported():
+    def ratio_of(name, *parents):
+        return FeatureSpec(name, "derived", parents=parents)
+
+    with pytest.raises(ValueError, match="depend on each other: .*->"):
+        ft.make_registry([HR, ratio_of("x", "y", "hr"), ratio_of("y", "z", "hr"), ratio_of("z", "x", "hr")])
+    with pytest.raises(ValueError, match="depend on each other: x -> x"):
+        ft.make_registry([HR, ratio_of("x", "x", "hr")])
+    with pytest.raises(ValueError, match="both items and parents"):
+        ft.make_registry([HR, FeatureSpec("x", "derived", (1,), parents=("hr", "hr"))])
+
+
+def test_an_item_may_serve_several_features(spark):
+    low = FeatureSpec("low", "chart", (1, 2), "min", ft.ZERO, (0, 50), (0, 100))
+    got = state(spark, [HR, low, MAP], [(1, 88.0, -24), (1, 20.0, -23), (2, 40.0, -23), (2, 9999.0, -22)])
+    assert (got[0]["hr"], got[0]["low"], got[0]["map"]) == (20.0, 20.0, 40.0)
+
+
+def test_dictionary_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(ft, "MAX_DICTIONARY", 1)
+    with pytest.raises(ValueError, match="too large"):
+        ft.item_dictionary(spark, [HR, MAP], ft.RULES, "long")
+
+
+def test_feature_of_a_source_not_given_is_never_observed(spark):
+    lab = FeatureSpec("lab", "lab", (9,), "last", ft.NORMAL, normal=3.0, flag=True)
+    got = state(spark, [HR, lab], [(1, 88.0, -24), (9, 1.0, -24)])
+    assert {(r["lab"], r["lab_missing"]) for r in got} == {(3.0, 1)}
+
+
+def test_equal_times_without_tie_go_by_item_then_value(spark):
+    spec = FeatureSpec("x", "chart", (5, 3, 4), "last", ft.ZERO, (-1e9, 1e9))
+    for values, want in (
+        ([(5, 9.0), (3, 1.0), (4, -7.0)], -7.0),
+        ([(3, -1.0), (3, -2.0)], -1.0),
+        ([(3, 0.1), (3, 0.1 + 2e-17), (3, 0.30000000000000004), (3, 0.3)], 0.30000000000000004),
+        ([(4, None), (4, 1e10), (3, 5.0)], 5.0),
+        ([(4, float("nan")), (3, -5e-324), (3, -1.0)], -5e-324),
+    ):
+        got = state(spark, [spec], [(i, v, 0) for i, v in values], impute=False)
+        raw = {r["x"] for r in got if r["x"] is not None}
+        assert raw == {want}
+
+
+def test_sortable_orders_doubles(spark):
+    import random
+    import struct
+
+    from stepweave.functions.scalars import sortable
+
+    rng = random.Random(1)
+    values = [struct.unpack("d", rng.randbytes(8))[0] for _ in range(3_000)]
+    values += [2.0**k * f for k in range(-1074, 1024, 7) for f in (1, -1)] + [2.0**k - 2.0 ** (k - 53) for k in range(-900, 900, 11)]
+    values += [0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), float("-inf")]
+    values = sorted({v for v in values if v == v})
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    keys = [r.k for r in frame.select("i", sortable(F.col("v")).alias("k")).orderBy("i").collect()]
+    assert all(a < b for a, b in zip(keys, keys[1:]))
+    none = spark.createDataFrame([(None,), (float("nan"),)], "v double")
+    assert [r[0] for r in none.select(sortable(F.col("v"))).collect()] == [None, None]
+
+
+def test_registered_rules_get_their_parameters(spark):
+    rules = ft.with_rules(
+        spark,
+        {
+            "above": ft.Rule(lambda value, order, weight, limit, unit=1.0: F.sum((value > limit).cast("double") * unit)),
+            "peak": ft.Rule(lambda value, order, weight: F.max(value), running=F.max),
+        },
+        trial={"above": {"limit": 1.0}},
+    )
+    specs = [
+        FeatureSpec("over3", "chart", (1,), "above", ft.ZERO, params=(("limit", 3.0),)),
+        FeatureSpec("over1", "chart", (1,), "above", ft.ZERO, params=(("limit", 1.0), ("unit", 10.0))),
+        FeatureSpec("peak", "chart", (1,), "peak", ft.ZERO),
+    ]
+    registry = ft.make_registry(specs, rules)
+    frame = spark.createDataFrame([(1, 1, v, at(t)) for v, t in ((2.0, -24), (5.0, -23), (4.0, -20))], EVENTS)
+    wide = ft.raw_state({"chart": EventSource(frame, "charttime", "valuenum")}, episodes(spark), registry, rules=rules)
+    got = wide.orderBy("step_index").collect()
+    assert [(r.over3, r.over1) for r in got[:3]] == [(1.0, 20.0), (1.0, 10.0), (None, None)]
+    assert [r.peak for r in got[:3]] == [5.0, 5.0, 5.0]
+    for params, message in (((), "needs"), ((("limit", 1.0), ("more", 2)), "takes")):
+        with pytest.raises(ValueError, match=message):
+            ft.make_registry([FeatureSpec("x", "chart", (1,), "above", params=params)], rules)
+
+
+def test_rules_that_cannot_be_merged_are_refused(spark):
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("double")
+    def median(v: pd.Series) -> float:
+        return float(v.median())
+
+    for rule, message in (
+        (lambda value, order, weight: F.element_at(F.collect_list(value), 1), "gathers"),
+        (lambda value, order, weight: F.percentile(value, 0.5), "gathers"),
+        (lambda value, order, weight: median(value), "cannot be merged"),
+        (lambda value, order, weight: value + 1, "not an aggregate"),
+    ):
+        with pytest.raises(ValueError, match=message):
+            ft.with_rules(spark, {"own": ft.Rule(rule)})
+    with pytest.raises(ValueError, match="defined already"):
+        ft.with_rules(spark, {"last": ft.RULES["last"]})
+    assert ft.rule_problem(spark, ft.RULES["last"], {}) is None
+
+
+def exchanges(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_events_treatments_and_steps_meet_in_one_exchange_by_stay(spark):
+    specs = [HR, MAP, FeatureSpec("total", "chart", (1,), "cumulative", ft.ZERO)]
+    registry = ft.make_registry(specs)
+    frame = spark.createDataFrame([(1, 1, 5.0, at(0))], EVENTS)
+    drips = spark.createDataFrame(
+        [(1, 7, at(0), at(1), 100.0, 1.0)],
+        "stay_id long, itemid long, starttime timestamp_ntz, endtime timestamp_ntz, amount double, standard_rate double",
+    )
+    eps = episodes(spark)
+    given = act.treatments(drips, drips, eps, (7,))
+    wide = ft.raw_state({"chart": EventSource(frame, "charttime", "valuenum")}, eps, registry, placed=given)
+    plan = exchanges(wide)
+    assert "SortAggregate" not in plan
+    # each input is dealt by stay once, below the union; nothing is dealt again above it
+    lines = plan.splitlines()
+    dealt = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(" in line]
+    assert dealt and all("step_index" not in lines[i] for i in dealt)
+    assert min(dealt) > next(i for i, line in enumerate(lines) if line.strip().endswith("Union"))
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stored = spark.createDataFrame(
+            [(1, 0, 1, 0, 80.0, 1, 60.0, 1, 1.0, 1, 1.0, 0.0, 0, "train")],
+            "stay_id long, step_index int, mortality_90d int, hours_relative int, hr double, hr__n long, map double, "
+            "map__n long, total double, total__n long, vaso_dose_4h double, fluid_volume_4h double, sofa int, split string",
+        )
+        acted = act.assign_bins(stored, act.ActionBins((1.0,), (1.0,), 3))
+        imputed = ft.impute_state(acted, registry).withColumn("sofa_score", F.lit(1))
+        rewarded = rewards.with_rewards(imputed, lactate="total")
+        linked = exchanges(tr.build_transitions(rewarded, ft.feature_columns(registry)))
+        assert linked.count("Exchange hashpartitioning") == 1 and linked.count("Sort [") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_feature_selection():
     registry = ft.make_registry([HR, MAP])
     warned = []
