@@ -14,10 +14,11 @@ from stepweave.operators import cohort as coh
 from stepweave.operators import safety, scaling, split
 from stepweave.operators import transitions as tr
 from stepweave.operators.sweep import Setup, run_sweep
+from stepweave.plans import pipeline
 from stepweave.plans.study import FULL, ITEMS, NESTED, ONSET, OWN_RULES, OWN_SPECS, REGISTRY, RULES, SEED, Study
 from stepweave.plans.study import sweep_plan
-from stepweave.session import scratch_path
-from stepweave.sources import readers, writers
+from stepweave.session import cut_lineage, scratch_path
+from stepweave.sources import artifacts, readers, writers
 from stepweave.sources.readers import first_stays, orders_matching, scan_intervals, scan_points
 
 Query = Callable[[Study], DataFrame]
@@ -772,6 +773,67 @@ def compare_runs(s: Study) -> DataFrame:
     return rows.drop("contract")
 
 
+# --- the staged pipeline, from gzip CSV to the replay table
+
+
+@query
+def pipeline_cohort(s: Study) -> DataFrame:
+    r = s.from_text
+    parts = pipeline.cohort_stage(r.raw["stays"], r.raw["patients"], r.raw["admissions"], r.config)
+    both = parts["cohort"].unionByName(parts["cohort_excluded"], allowMissingColumns=True)
+    return rounded(both.drop("deathtime", "hospital_expire_flag"))
+
+
+@query
+def pipeline_onset(s: Study) -> DataFrame:
+    r = s.from_text
+    cohort = pipeline.cohort_stage(r.raw["stays"], r.raw["patients"], r.raw["admissions"], r.config)["cohort"]
+    tables = (r.raw["cultures"], r.raw["prescriptions"], r.raw["chartevents"])
+    parts = pipeline.onset_stage(cut_lineage(cohort), *tables, r.config)
+    return parts["onset"].unionByName(parts["onset_unusable"], allowMissingColumns=True)
+
+
+@query
+def pipeline_truncation(s: Study) -> DataFrame:
+    return s.from_text.stage("truncation_reasons")
+
+
+@query
+def pipeline_steps(s: Study) -> DataFrame:
+    """Imputed state, doses, actions and rewards of every step."""
+    r = s.from_text
+    on = ["stay_id", "step_index"]
+    rewards_of = r.stage("rewards").drop("lactate_shaping", "map_shaping")
+    return rounded(r.stage("state_raw").join(r.stage("actions"), on).join(rewards_of, on))
+
+
+@query
+def pipeline_replay(s: Study) -> DataFrame:
+    """The stored replay table of normalised states, read through its contract."""
+    r = s.from_text
+    return rounded(tr.flatten(readers.read_replay(s.spark, r.paths["replay"], r.columns), r.columns))
+
+
+@query
+def pipeline_records(s: Study) -> DataFrame:
+    """Numbers from the stored JSON records and the manifest of a pipeline run."""
+    r = s.from_text
+
+    def stored(kind: str) -> dict:
+        return artifacts.load(s.spark, r.paths["artifacts"], kind)
+
+    bins = stored("action_bins")
+    rows = [("median", f, v) for f, v in stored("medians")["values"].items()]
+    rows += [("mean", t["feature"], t["mean"]) for t in stored("scaler")["features"]]
+    for name, at in (("vaso", "first"), ("fluid", "second")):
+        rows += [("edge", f"{name}{i}", e) for i, e in enumerate(bins[f"{at}_edges"], 1)]
+    rows += [("transitions", p["split"], float(p["n_transitions"])) for p in stored("dataset_meta")["splits"]]
+    rows.append(("reward", "survived", stored("reward_config")["survived"]))
+    summary = readers.read_manifest(s.spark, r.paths["split"], spec_version=pipeline.SPEC_VERSION)[1]
+    rows += [("manifest", split_name, float(n)) for split_name, n in summary["n_episodes"].items()]
+    return rounded(s.spark.createDataFrame(rows, "record string, field string, value double"))
+
+
 # --- action-value diagnostics
 
 

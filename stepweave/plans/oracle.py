@@ -128,13 +128,13 @@ FROM onset_all GROUP BY 1"""
 
 # --- grid
 
-def _grid(suffix: str, hours: int) -> None:
+def _grid(suffix: str, hours: int, onsets: str = "onset_all", deaths: str = "deaths") -> None:
     n = 72 // hours
-    CTES[f"windows{suffix}"] = """
+    CTES[f"windows{suffix}"] = f"""
 SELECT o.stay_id, o.subject_id, o.hadm_id, o.onset AS onset_time, o.intime, o.outtime, d.deathtime,
   o.onset - INTERVAL 24 HOUR AS window_start, o.onset + INTERVAL 48 HOUR AS window_end,
   least(o.onset + INTERVAL 48 HOUR, o.outtime, coalesce(d.deathtime, o.outtime)) AS actual_end
-FROM onset_all o LEFT JOIN deaths d ON d.hadm_id = o.hadm_id WHERE o.unusable_reason IS NULL"""
+FROM {onsets} o LEFT JOIN {deaths} d ON d.hadm_id = o.hadm_id WHERE o.unusable_reason IS NULL"""
     CTES[f"steps{suffix}"] = f"""
 SELECT stay_id, step_index, step_start, least(step_start + INTERVAL {hours} HOUR, actual_end) AS step_end,
   CAST(-24 + {hours} * step_index AS INTEGER) AS hours_relative, step_start < onset_time AS is_pre_onset
@@ -227,14 +227,14 @@ WHERE o_orderkey % 11 = 0 OR o_orderkey % 17 = 0"""
 # --- split
 
 
-def _split(name: str, ids: str) -> None:
+def _split(name: str, ids: str, source: str = "grid") -> None:
     CTES[name] = f"""
 SELECT id, CASE WHEN rn <= n_train THEN 'train' WHEN rn <= n_train + n_val THEN 'validation' ELSE 'test' END AS split
 FROM (
   SELECT id, row_number() OVER (ORDER BY md5('42:' || CAST(id AS VARCHAR))) AS rn,
     round_even(count(*) OVER () * CAST(0.7 AS DOUBLE), 0) AS n_train,
     round_even(count(*) OVER () * CAST(0.15 AS DOUBLE), 0) AS n_val
-  FROM (SELECT DISTINCT {ids} AS id FROM grid)
+  FROM (SELECT DISTINCT {ids} AS id FROM {source})
 )"""
 
 
@@ -518,7 +518,7 @@ JOIN fluid f ON f.stay_id = v.stay_id AND f.step_index = v.step_index
 JOIN grid g ON g.stay_id = v.stay_id JOIN splits sp ON sp.id = g.subject_id"""
 
 
-def _bins(suffix: str, n_bins: int) -> None:
+def _bins(suffix: str, n_bins: int, doses: str = "doses") -> None:
     cuts = n_bins - 1
 
     def raw(column: str, i: int) -> str:
@@ -531,7 +531,7 @@ def _bins(suffix: str, n_bins: int) -> None:
         for column, short in (("vaso_dose_4h", "v"), ("fluid_volume_4h", "f"))
         for i in range(1, cuts)
     ]
-    CTES[f"edges{suffix}"] = f"SELECT {', '.join(fields)} FROM doses WHERE split = 'train'"
+    CTES[f"edges{suffix}"] = f"SELECT {', '.join(fields)} FROM {doses} WHERE split = 'train'"
 
     def code(column: str, short: str) -> str:
         above = " + ".join(f"CAST({column} > e.{short}{i} AS INTEGER)" for i in range(1, cuts))
@@ -541,7 +541,7 @@ def _bins(suffix: str, n_bins: int) -> None:
 SELECT stay_id, step_index, vaso_bin, fluid_bin, CAST(vaso_bin * {n_bins} + fluid_bin AS INTEGER) AS action_id FROM (
   SELECT d.stay_id, d.step_index, CAST({code('d.vaso_dose_4h', 'v')} AS INTEGER) AS vaso_bin,
     CAST({code('d.fluid_volume_4h', 'f')} AS INTEGER) AS fluid_bin
-  FROM doses d CROSS JOIN edges{suffix} e)"""
+  FROM {doses} d CROSS JOIN edges{suffix} e)"""
 
 
 for _suffix, _n in (("", 5), ("3", 3), ("7", 7)):
@@ -1006,6 +1006,207 @@ SQL["greedy_action"] = f"""
 {_KEY}CAST(list_position(q, list_max(q)) - 1 AS INTEGER) AS policy_action, {_r('list_max(q)', 'policy_q')} FROM scored"""
 
 
+# --- the staged pipeline over raw text
+
+CTES["raw_ev"] = """
+SELECT event_id, date_trunc('second', ts) AS ts, ts AS whole, value AS v, event_type AS kind,
+  CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, user_id AS stay_id, user_id + 1000 AS hadm_id,
+  CASE WHEN user_id % 6 = 1 THEN user_id - 1 ELSE user_id END AS subject_id
+FROM events"""
+CTES["raw_base"] = """
+SELECT s.*, date_diff('second', intime, outtime) / 3600.0 AS los_hours, c.c_mktsegment AS gender,
+  CASE WHEN c.c_custkey % 9 <> 4 THEN CAST(18 + floor(abs(c.c_acctbal) / 150) AS INTEGER) END AS anchor_age
+FROM (
+  SELECT subject_id, hadm_id, stay_id, date_trunc('second', min(whole)) AS intime, date_trunc('second',
+    CASE WHEN stay_id % 3 = 2 THEN least(max(whole), min(whole) + INTERVAL 5 DAY) ELSE max(whole) END) AS outtime
+  FROM raw_ev GROUP BY 1, 2, 3) s
+LEFT JOIN customer c ON c.c_custkey = s.subject_id"""
+CTES["raw_deaths"] = """
+SELECT hadm_id, date_trunc('second', min(whole) + to_days(CAST(4 + stay_id % 5 AS INTEGER))) AS deathtime
+FROM raw_ev WHERE stay_id % 4 = 0 AND hadm_id % 5 <> 0 GROUP BY hadm_id, stay_id"""
+CTES["raw_rules"] = """
+SELECT *, CASE WHEN anchor_age < 18 THEN 'age_below_minimum'
+  WHEN los_hours IS NULL OR los_hours < 4 THEN 'los_below_minimum_hours'
+  WHEN anchor_age IS NULL OR gender IS NULL THEN 'missing_demographics' END AS rule
+FROM raw_base"""
+CTES["raw_cohort"] = """
+SELECT *, coalesce(rule, CASE WHEN row_number() OVER (PARTITION BY subject_id, rule IS NULL ORDER BY intime, stay_id) > 1
+  THEN 'readmission_not_first_stay' END) AS exclusion_reason
+FROM raw_rules"""
+SQL["pipeline_cohort"] = f"""
+SELECT subject_id, hadm_id, stay_id, intime, outtime, {_r('los_hours')}, anchor_age, gender, exclusion_reason
+FROM raw_cohort"""
+CTES["raw_anchors"] = """
+SELECT a.hadm_id, min(least(a.ts, b.t)) AS anchor_time
+FROM raw_ev a JOIN (SELECT hadm_id, CASE WHEN event_id % 2 = 0 THEN ts ELSE CAST(date_trunc('day', ts) AS TIMESTAMP) END AS t
+  FROM raw_ev WHERE kind = 'purchase') b ON b.hadm_id = a.hadm_id
+WHERE a.kind = 'signup' AND a.event_id % 3 <> 0 AND abs(date_diff('second', a.ts, b.t)) <= 72 * 3600 GROUP BY 1"""
+CTES["raw_chart"] = """
+SELECT stay_id, kind, CAST(date_trunc('day', ts) AS TIMESTAMP) AS t,
+  CASE WHEN kind = 'error' THEN 3 + event_id % 13 WHEN kind = 'click' OR event_id % 13 > 0 THEN v END AS x
+FROM raw_ev WHERE kind IN ('view', 'click', 'error')"""
+CTES["raw_scores"] = """
+SELECT stay_id, t, coalesce((min(x) FILTER (kind = 'view') < 70)::INTEGER, 0)
+  + coalesce((min(x) FILTER (kind = 'click') < 94)::INTEGER, 0)
+  + coalesce((min(x) FILTER (kind = 'error') < 15)::INTEGER, 0) AS score
+FROM raw_chart GROUP BY 1, 2"""
+CTES["raw_cand"] = """
+SELECT c.stay_id, count(*) AS n, min(s.t) AS first_time, first(s.score ORDER BY s.t) AS first_score
+FROM raw_cohort c JOIN raw_anchors a ON a.hadm_id = c.hadm_id JOIN raw_scores s ON s.stay_id = c.stay_id
+WHERE c.exclusion_reason IS NULL AND s.score >= 2 AND s.t >= a.anchor_time - INTERVAL 72 HOUR
+  AND s.t <= a.anchor_time + INTERVAL 120 HOUR GROUP BY 1"""
+CTES["raw_onsets"] = """
+SELECT c.*, least(a.anchor_time, d.first_time) AS onset, d.first_score, coalesce(d.n, 0) AS n,
+  CASE WHEN a.anchor_time IS NULL THEN 'no_suspected_infection_time'
+    WHEN d.n IS NULL THEN 'no_sofa_increase_within_window'
+    WHEN least(a.anchor_time, d.first_time) < c.intime - INTERVAL 6 HOUR
+      OR least(a.anchor_time, d.first_time) > c.outtime THEN 'onset_outside_icu_stay' END AS unusable_reason
+FROM raw_cohort c LEFT JOIN raw_anchors a ON a.hadm_id = c.hadm_id LEFT JOIN raw_cand d ON d.stay_id = c.stay_id
+WHERE c.exclusion_reason IS NULL"""
+SQL["pipeline_onset"] = """
+SELECT stay_id, subject_id, hadm_id, unusable_reason, CAST(n AS INTEGER) AS n_candidates,
+  CASE WHEN unusable_reason IS NULL THEN onset END AS onset_time,
+  CASE WHEN unusable_reason IS NULL THEN first_score END AS sofa_score_at_onset FROM raw_onsets"""
+_grid("_raw", 4, "raw_onsets", "raw_deaths")
+SQL["pipeline_truncation"] = """
+SELECT truncation_reason, count(*) AS episodes,
+  round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) * 100, 2) AS pct
+FROM grid_raw WHERE is_truncated GROUP BY 1"""
+_split("raw_splits", "subject_id", "grid_raw")
+
+_IN_STEP = "ON e.stay_id = s.stay_id AND e.{t} >= s.step_start AND e.{t} < s.step_end"
+CTES["raw_charted"] = f"""
+SELECT s.stay_id, s.step_index, last(x ORDER BY t, x) FILTER (kind = 'view' AND x BETWEEN 0 AND 300) AS map,
+  count(*) FILTER (kind = 'view' AND x BETWEEN 0 AND 300) AS map_n,
+  min(x) FILTER (kind = 'click' AND x BETWEEN 50 AND 100) AS spo2,
+  count(*) FILTER (kind = 'click' AND x BETWEEN 50 AND 100) AS spo2_n,
+  last(x ORDER BY t, x) FILTER (kind = 'error' AND x BETWEEN 3 AND 15) AS gcs_total,
+  count(*) FILTER (kind = 'error' AND x BETWEEN 3 AND 15) AS gcs_total_n
+FROM steps_raw s JOIN raw_chart e {_IN_STEP.format(t='t')} GROUP BY 1, 2"""
+CTES["raw_measured"] = f"""
+SELECT s.stay_id, s.step_index, max(v / 10) FILTER (kind = 'error' AND v BETWEEN 0 AND 300) AS lactate,
+  count(*) FILTER (kind = 'error' AND v BETWEEN 0 AND 300) AS lactate_n,
+  sum(v * 5) FILTER (kind = 'signup') AS urine, count(*) FILTER (kind = 'signup' AND v * 5 BETWEEN 0 AND 2000) AS urine_n,
+  sum(v * 10) FILTER (kind = 'click') AS fluid
+FROM steps_raw s JOIN raw_ev e {_IN_STEP.format(t='ts')} GROUP BY 1, 2"""
+CTES["raw_running"] = """
+SELECT s.stay_id, s.step_index, coalesce(sum(v * 10) FILTER (kind = 'click'), 0) AS cum_iv_fluid_ml,
+  coalesce(sum(v) FILTER (kind = 'purchase'), 0) AS cum_vasopressor_dose_nor_equiv
+FROM steps_raw s JOIN windows_raw w ON w.stay_id = s.stay_id
+LEFT JOIN raw_ev e ON e.stay_id = s.stay_id AND e.ts >= w.window_start AND e.ts < s.step_end GROUP BY 1, 2"""
+CTES["raw_drips"] = """
+SELECT stay_id, ts, date_trunc('second', whole + to_microseconds(CAST(round(v * 900) AS BIGINT) * 1000000)) AS te,
+  k / 100 AS rate, k FROM raw_ev WHERE kind = 'purchase'"""
+CTES["raw_weights"] = """
+SELECT stay_id, quantile_cont(k, 0.5) AS weight_kg FROM raw_drips
+WHERE ts < (SELECT max(window_end) FROM windows_raw) AND te >= (SELECT min(window_start) FROM windows_raw) GROUP BY 1"""
+CTES["raw_dosed"] = """
+SELECT stay_id, step_index, sum(rate * h) / sum(h) AS vaso FROM (
+  SELECT s.stay_id, s.step_index, rate,
+    date_diff('microsecond', greatest(d.ts, s.step_start), least(d.te, s.step_end)) / 3.6e9 AS h
+  FROM steps_raw s JOIN raw_drips d ON d.stay_id = s.stay_id AND d.ts < s.step_end AND d.te > s.step_start)
+WHERE h > 0 GROUP BY 1, 2"""
+CTES["raw_wide"] = """
+SELECT s.stay_id, s.step_index, s.hours_relative, g.subject_id, p.split, b.anchor_age, w.weight_kg,
+  CAST(d.deathtime IS NOT NULL AND d.deathtime <= g.onset_time + INTERVAL 90 DAY AS INTEGER) AS mortality_90d,
+  c.* EXCLUDE (stay_id, step_index), m.* EXCLUDE (stay_id, step_index), r.* EXCLUDE (stay_id, step_index),
+  coalesce(o.vaso, 0.0) AS vaso_dose_4h, coalesce(m.fluid, 0.0) AS fluid_volume_4h
+FROM steps_raw s JOIN grid_raw g USING (stay_id) JOIN raw_splits p ON p.id = g.subject_id
+JOIN raw_running r USING (stay_id, step_index) JOIN raw_base b USING (stay_id)
+LEFT JOIN raw_charted c USING (stay_id, step_index) LEFT JOIN raw_measured m USING (stay_id, step_index)
+LEFT JOIN raw_dosed o USING (stay_id, step_index) LEFT JOIN raw_weights w USING (stay_id)
+LEFT JOIN raw_deaths d ON d.hadm_id = g.hadm_id"""
+# strategy, normal value and clip of each feature, in state order
+_RAW = {
+    "map": ("map", 80, (0, 200)), "spo2": ("spo2", 98, (50, 100)), "gcs_total": ("gcs_total", 15, (3, 15)),
+    "lactate": ("lactate", 1, (0, 20)), "cum_iv_fluid_ml": (None, 0, (0, 30000)),
+    "cum_vasopressor_dose_nor_equiv": (None, 0, (0, 500)), "urine_output_4h": (None, 0, (0, 1500)),
+    "age_years": (None, None, (18, 110)), "weight_kg": (None, None, (20, 300)), "hours_since_onset": (None, 0, (-24, 48)),
+}
+_RAW_FLAGS = {"map": "map_n", "spo2": "spo2_n", "gcs_total": "gcs_total_n", "lactate": "lactate_n", "urine_output_4h": "urine_n"}
+_RAW_SOURCE = {"urine_output_4h": "urine", "age_years": "CAST(anchor_age AS DOUBLE)", "hours_since_onset": "CAST(hours_relative AS DOUBLE)"}
+_RAW_COLUMNS = [c for f in _RAW for c in ((f, f"{f}_missing") if f in _RAW_FLAGS else (f,))]
+
+
+def _raw_state(name: str, source: str, median: bool) -> None:
+    parts = []
+    for f, (fill, normal, bounds) in _RAW.items():
+        value = _RAW_SOURCE.get(f, f)
+        if fill:
+            value = f"last_value({fill} IGNORE NULLS) OVER (PARTITION BY stay_id ORDER BY step_index)"
+        chain = [value]
+        if median and (fill or f in ("age_years", "weight_kg")):
+            chain.append(f"(SELECT {f} FROM raw_medians)")
+        if normal is not None:
+            chain.append(f"CAST({normal} AS DOUBLE)")
+        parts.append(f"{_clip(f'coalesce({", ".join(chain)})', *bounds)} AS {f}")
+    parts += [f"CAST(coalesce({n}, 0) = 0 AS INTEGER) AS {f}_missing" for f, n in _RAW_FLAGS.items()]
+    CTES[name] = (
+        "SELECT subject_id, split, stay_id, step_index, mortality_90d, vaso_dose_4h, fluid_volume_4h, "
+        + ", ".join(parts) + f" FROM {source}"
+    )
+
+
+_raw_state("raw_pass1", "raw_wide", False)
+CTES["raw_medians"] = (
+    "SELECT " + ", ".join(f"coalesce(quantile_cont({f}, 0.5), {_RAW[f][1] or 0}) AS {f}" for f in _RAW)
+    + " FROM raw_pass1 WHERE split = 'train'"
+)
+_raw_state("raw_pass2", "raw_wide", True)
+_bins("_raw", 5, "raw_pass2")
+CTES["raw_state"] = """
+SELECT *, CAST(map < 70 AS INTEGER) + CAST(spo2 < 94 AS INTEGER) + CAST(gcs_total < 15 AS INTEGER) AS sofa_score
+FROM raw_pass2"""
+CTES["raw_rewards"] = """
+SELECT stay_id, step_index, is_terminal, shaped AS sofa_shaping, terminal, terminal + shaped AS reward_total FROM (
+  SELECT stay_id, step_index, is_terminal, coalesce(-0.025 * (sofa_score - before), 0) AS shaped,
+    CAST(CASE WHEN NOT is_terminal THEN 0 WHEN died = 0 THEN 15 ELSE -15 END AS DOUBLE) AS terminal
+  FROM (
+    SELECT stay_id, step_index, sofa_score, lag(sofa_score) OVER w AS before, first_value(mortality_90d) OVER w AS died,
+      step_index = max(step_index) OVER (PARTITION BY stay_id) AS is_terminal
+    FROM raw_state WINDOW w AS (PARTITION BY stay_id ORDER BY step_index)))"""
+SQL["pipeline_steps"] = (
+    "SELECT s.subject_id, s.split, s.stay_id, s.step_index, s.sofa_score, s.mortality_90d, "
+    + ", ".join(c if c.endswith("_missing") else _r(f"s.{c}", c) for c in _RAW_COLUMNS)
+    + f", {_r('s.vaso_dose_4h', 'vaso_dose_4h')}, {_r('s.fluid_volume_4h', 'fluid_volume_4h')}, a.vaso_bin, a.fluid_bin, "
+    + f"a.action_id, {_r('r.terminal', 'terminal')}, {_r('r.sofa_shaping', 'sofa_shaping')}, "
+    + f"{_r('r.reward_total', 'reward_total')}, r.is_terminal FROM raw_state s "
+    + "JOIN actions_raw a USING (stay_id, step_index) JOIN raw_rewards r USING (stay_id, step_index)"
+)
+CTES["raw_scales"] = (
+    "SELECT " + ", ".join(
+        f"avg({f}) AS {f}_mean, CASE WHEN stddev_pop({f}) <= 1e-12 THEN 1.0 ELSE stddev_pop({f}) END AS {f}_scale" for f in _RAW
+    ) + " FROM (SELECT " + ", ".join(
+        f"{_clip(f'coalesce(s.{f}, m.{f})', *_RAW[f][2])} AS {f}" for f in _RAW
+    ) + " FROM raw_state s CROSS JOIN raw_medians m WHERE split = 'train')"
+)
+CTES["raw_normal"] = (
+    "SELECT stay_id, step_index, " + ", ".join(
+        c if c.endswith("_missing")
+        else f"({_clip(f'coalesce(s.{c}, m.{c})', *_RAW[c][2])} - w.{c}_mean) / w.{c}_scale AS {c}" for c in _RAW_COLUMNS
+    ) + " FROM raw_state s CROSS JOIN raw_medians m CROSS JOIN raw_scales w"
+)
+SQL["pipeline_replay"] = (
+    f"SELECT s.split, s.stay_id, s.step_index, a.action_id AS action, {_r('r.reward_total', 'reward')}, r.is_terminal AS done, "
+    + ", ".join(_r(f"CAST(n.{c} AS DOUBLE)", f"s_{c}") for c in _RAW_COLUMNS) + ", "
+    + ", ".join(_r(f"CAST(coalesce(x.{c}, n.{c}) AS DOUBLE)", f"ns_{c}") for c in _RAW_COLUMNS)
+    + " FROM raw_state s JOIN raw_normal n USING (stay_id, step_index) JOIN actions_raw a USING (stay_id, step_index) "
+    + "JOIN raw_rewards r USING (stay_id, step_index) "
+    + "LEFT JOIN raw_normal x ON x.stay_id = s.stay_id AND x.step_index = s.step_index + 1"
+)
+SQL["pipeline_records"] = (
+    "SELECT 'median' AS record, field, value FROM (" + " UNION ALL ".join(
+        f"SELECT '{f}' AS field, {_r(f, 'value')} FROM raw_medians" for f in _RAW
+    ) + ") UNION ALL SELECT 'mean', field, value FROM (" + " UNION ALL ".join(
+        f"SELECT '{f}' AS field, {_r(f'{f}_mean', 'value')} FROM raw_scales" for f in _RAW
+    ) + ") UNION ALL SELECT 'edge', field, value FROM (" + " UNION ALL ".join(
+        f"SELECT '{d}{i}' AS field, {_r(f'{s}{i}', 'value')} FROM edges_raw" for d, s in (("vaso", "v"), ("fluid", "f")) for i in (1, 2, 3)
+    ) + ") UNION ALL SELECT 'transitions', split, CAST(count(*) AS DOUBLE) FROM raw_state GROUP BY 2 "
+    "UNION ALL SELECT 'manifest', p.split, CAST(count(*) AS DOUBLE) FROM grid_raw g JOIN raw_splits p ON p.id = g.subject_id "
+    "GROUP BY 2 UNION ALL SELECT 'reward', 'survived', 15.0"
+)
+
+
 def _needed(sql: str) -> list[str]:
     """CTE names the text refers to, dependencies first."""
     order: list[str] = []

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from stepweave.operators.features import EventSource, Registry
 from stepweave.operators.grid import GridConfig
 from stepweave.presets import clinical
 from stepweave.session import configure, cut_lineage
-from stepweave.sources import readers, writers
+from stepweave.sources import artifacts, readers, writers
 
 Tables = dict[str, DataFrame]
 SPEC_VERSION = "1"
@@ -140,8 +141,8 @@ def trajectory_stage(
     ages: DataFrame,
     admissions: DataFrame,
     cfg: PipelineConfig,
-) -> tuple[Tables, list[str]]:
-    """State, actions, rewards and transitions; returns the tables and the state columns."""
+) -> tuple[Tables, dict[str, dict[str, Any]], list[str]]:
+    """State, actions, rewards and transitions; returns the tables, what was fitted as records, and the state columns."""
     registry = cfg.registry
     if cfg.limit_stays is not None:
         episodes = cut_lineage(readers.first_stays(episodes, cfg.limit_stays))
@@ -175,25 +176,34 @@ def trajectory_stage(
     rows = cut_lineage(rewarded)
     normalised = scaling.apply_scaler(rows, scaler)
     transitions = tr.build_transitions(normalised, columns)
-    spark = wide.sparkSession
+    records = {
+        "medians": {"values": medians},
+        "scaler": {"features": [artifacts.dataclass_record(t) for t in scaler]},
+        "action_bins": artifacts.dataclass_record(bins),
+        "reward_config": artifacts.dataclass_record(cfg.reward),
+    }
     tables = {
-        "state_raw": rows.select("subject_id", "split", "stay_id", "step_index", *columns, "sofa_score", "mortality_90d"),
+        "state_raw": rows.select(
+            "subject_id", "split", "stay_id", "step_index", *columns, "sofa_score", "mortality_90d"
+        ),
         "state": normalised.select("subject_id", "split", "stay_id", "step_index", *columns),
         "actions": rows.select(
             "stay_id", "step_index", "vaso_dose_4h", "fluid_volume_4h", "vaso_bin", "fluid_bin", "action_id"
         ),
         "rewards": rows.select("stay_id", "step_index", *rewards.TERMS, "reward_total", "is_terminal"),
         "transitions": transitions,
-        "scaler": scaling.artifact_frame(spark, scaler),
-        "action_bins": act.bins_frame(spark, bins),
         "reward_summary": rewards.reward_summary(rows),
     }
-    return tables, columns
+    return tables, records, columns
 
 
-def run(spark: SparkSession, raw: Mapping[str, DataFrame], root: str, cfg: PipelineConfig = PipelineConfig()) -> dict[str, str]:
+def run(
+    spark: SparkSession, raw: Mapping[str, DataFrame], root: str, cfg: PipelineConfig = PipelineConfig()
+) -> dict[str, str]:
     """All stages from raw tables to the replay table; returns the written paths.
 
+    Tables go to parquet. What is fitted goes to versioned JSON records under
+    ``artifacts``, the manifest to ``split`` with its summary record.
     ``raw`` holds the tables of :mod:`stepweave.sources.schemas` by name, with
     ``cultures`` and ``prescriptions`` as the order readers deliver them.
     """
@@ -209,11 +219,18 @@ def run(spark: SparkSession, raw: Mapping[str, DataFrame], root: str, cfg: Pipel
     store(cohort_stage(raw["stays"], raw["patients"], raw["admissions"], cfg))
     store(onset_stage(load("cohort"), raw["cultures"], raw["prescriptions"], raw["chartevents"], cfg))
     store(grid_stage(load("onset"), raw["stays"], raw["admissions"], cfg))
-    store(split_stage(load("episodes"), cfg))
+    divided = split_stage(load("episodes"), cfg)
+    manifest = divided.pop("manifest")
+    store(divided)
+    paths["split"] = f"{root}/split"
+    writers.write_manifest(manifest, paths["split"], cfg.seed, SPEC_VERSION)
     ages = raw["patients"].select("subject_id", F.col("anchor_age").cast("double").alias("age_years"))
-    tables, columns = trajectory_stage(raw, load("episodes"), load("splits"), ages, raw["admissions"], cfg)
+    tables, records, columns = trajectory_stage(raw, load("episodes"), load("splits"), ages, raw["admissions"], cfg)
     transitions = tables.pop("transitions")
     store(tables)
+    paths["artifacts"] = f"{root}/artifacts"
+    for kind, record in records.items():
+        artifacts.save(spark, paths["artifacts"], kind, record)
     paths["replay"] = f"{root}/replay"
     writers.write_replay(transitions, paths["replay"], columns)
     description = {
@@ -226,4 +243,12 @@ def run(spark: SparkSession, raw: Mapping[str, DataFrame], root: str, cfg: Pipel
     replay = readers.read_replay(spark, paths["replay"], columns)
     meta = tr.dataset_meta(replay, cfg.n_bins**2, ["split"], description)
     store({"meta": meta.withColumn("split_label", F.col("split"))})
+    counted = ("split", "n_episodes", "n_transitions", "state_dim")
+    record = {k: v for k, v in description.items() if k != "feature_columns"} | {
+        "feature_columns": columns,
+        "n_actions": cfg.n_bins**2,
+        # one row per split
+        "splits": [{k: r[k] for k in counted} for r in load("meta").orderBy("split").collect()],
+    }
+    artifacts.save(spark, paths["artifacts"], "dataset_meta", record)
     return paths

@@ -23,6 +23,7 @@ from stepweave.operators import transitions as tr
 from stepweave.operators.features import FORWARD_FILL, MEDIAN, NORMAL, ZERO, EventSource, FeatureSpec
 from stepweave.operators.grid import GridConfig
 from stepweave.operators.sweep import Setup, SweepPlan
+from stepweave.plans.raw_study import RawStudy
 from stepweave.session import configure, cut_lineage, scratch_path
 from stepweave.sources import artifacts, writers
 
@@ -101,6 +102,11 @@ class Study:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def from_text(self) -> RawStudy:
+        """The staged pipeline over raw text tables."""
+        return RawStudy(self.spark, self.sf_dir)
+
     # --- cohort over orders, customer and lineitem
 
     @cached_property
