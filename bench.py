@@ -20,7 +20,8 @@ from stepweave.plans import catalog  # noqa: E402
 
 HEADLINE = (
     "cohort_included", "anchor_pairs", "onset_usable", "grid_steps", "feature_long", "state_imputed",
-    "interval_weighted_mean", "transitions", "ope_wis_ess", "metric_summary",
+    "interval_weighted_mean", "transitions", "ope_wis_ess", "metric_summary", "policy_scores", "policy_report",
+    "behaviour_cloning", "rolling_return", "sweep_features", "pipeline_replay",
 )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepweave.session import cut_lineage
@@ -12,6 +12,15 @@ from stepweave.session import cut_lineage
 BUCKETS = 1024
 
 
+def edges_below(edges: Column, value: Column) -> Column:
+    """How many of at most ``BUCKETS - 1`` ascending edges lie below the value, by bisection."""
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range((BUCKETS - 1).bit_length()))))
+    # beyond the last edge there is null, which is not below anything
+    return F.aggregate(
+        halves, F.lit(0), lambda found, half: F.when(F.get(edges, found + half - 1) < value, found + half).otherwise(found)
+    )
+
+
 def group_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], method: str = "linear"
 ) -> DataFrame:
@@ -43,7 +52,7 @@ def group_quantiles(
         )
     )
     bucketed = counts.join(edges, keys).select(
-        *keys, "_v", "_c", F.size(F.filter("_edges", lambda e: e < F.col("_v"))).alias("_b")
+        *keys, "_v", "_c", edges_below(F.col("_edges"), F.col("_v")).alias("_b")
     )
 
     per_bucket = bucketed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bn"))

@@ -248,8 +248,11 @@ def items_of(registry: Mapping[str, FeatureSpec], source: str) -> list:
 
 def registry_frame(spark, registry: Mapping[str, FeatureSpec]) -> DataFrame:
     """The dictionary as a small dimension table, one row per feature."""
+    def bound(x: float | None) -> float | None:
+        return None if x is None else float(x)
+
     rows = [
-        (s.name, s.source, [str(i) for i in s.items], s.agg, s.missing, *s.valid, *s.clip, s.normal, s.flag)
+        (s.name, s.source, [str(i) for i in s.items], s.agg, s.missing, *map(bound, (*s.valid, *s.clip, s.normal)), s.flag)
         for s in registry.values()
     ]
     schema = (

@@ -155,6 +155,16 @@ def completeness(s: Study) -> DataFrame:
     return coh.funnel_completeness(included, excluded, s.cohort_base)
 
 
+@query
+def completeness_faults(s: Study) -> DataFrame:
+    """A funnel with lost, doubled and unexplained stays, to have something to find."""
+    included, excluded = coh.cohort_funnel(s.cohort_base, RULES)
+    doubled = included.unionByName(included.where(F.pmod("stay_id", F.lit(7)) == 0))
+    kept = excluded.where(F.pmod("stay_id", F.lit(10)) > 0)
+    reason = F.when(F.pmod("stay_id", F.lit(6)) > 0, F.col("exclusion_reason"))
+    return coh.funnel_completeness(doubled, kept.withColumn("exclusion_reason", reason), s.cohort_base)
+
+
 # --- anchor and onset
 
 
@@ -322,6 +332,24 @@ def nested_ratio(s: Study) -> DataFrame:
     return rounded(rows.select("stay_id", "step_index", "click_error", NESTED.name, f"{NESTED.name}_missing"))
 
 
+@query
+def registry_coverage(s: Study) -> DataFrame:
+    """The feature dictionary by source, rule and strategy, with what the events deliver for it."""
+    dictionary = features.registry_frame(s.spark, s.registry)
+    specs = [f for f in s.registry.values() if f.is_event]
+    found = features.feature_long(s.source, s.episodes, specs, s.cfg)
+    per_feature = found.groupBy("feature").agg(F.count("value").alias("steps"), F.sum("n_valid").alias("events"))
+    kinds = F.array(
+        *(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("source", "agg", "missing"))
+    )
+    rows = dictionary.join(per_feature, "feature", "left").select("steps", "events", F.inline(kinds))
+    summary = features.registry_summary(dictionary)
+    seen = rows.groupBy("kind", "value").agg(
+        F.coalesce(F.sum("steps"), F.lit(0)).alias("steps"), F.coalesce(F.sum("events"), F.lit(0)).alias("events")
+    )
+    return summary.join(seen, ["kind", "value"])
+
+
 @query
 def own_rules(s: Study) -> DataFrame:
     """Features under registered rules with parameters."""
@@ -727,6 +755,12 @@ def metric_summary(s: Study) -> DataFrame:
     return rounded(report.metric_summary(s.metric_log))
 
 
+@query
+def metric_summary_epochs(s: Study) -> DataFrame:
+    """Metric curves per run with their first and last epoch."""
+    return rounded(report.metric_summary(s.metric_log, ["run", "name"], epochs=True))
+
+
 @query
 def metric_log_reload(s: Study) -> DataFrame:
     """A metric log written as JSON lines, some of them broken, and what its reader makes of them."""
@@ -773,6 +807,15 @@ def compare_runs(s: Study) -> DataFrame:
     return rows.drop("contract")
 
 
+@query
+def compare_runs_drift(s: Study) -> DataFrame:
+    """Runs whose dataset descriptions have drifted apart: one has another seed, two other metrics."""
+    seed = F.when(F.col("run") == 2, SEED + 1).otherwise(SEED)
+    metas = s.metric_log.groupBy("run").agg(F.count_distinct("name").alias("n_metrics"))
+    rows = report.compare_runs(metas.withColumn("manifest_seed", seed), s.metric_log, ["n_metrics", "manifest_seed"])
+    return rounded(rows)
+
+
 # --- the staged pipeline, from gzip CSV to the replay table
 
 

@@ -68,6 +68,15 @@ SELECT violation, rows FROM (
   SELECT 'duplicate_included_stay', count(*) - count(DISTINCT stay_id) FROM cohort WHERE exclusion_reason IS NULL
 ) WHERE rows <> 0"""
 
+SQL["completeness_faults"] = """
+SELECT violation, rows FROM (
+  SELECT 'count_mismatch' AS violation, count(*) FILTER (exclusion_reason IS NULL AND stay_id % 7 = 0)
+    - count(*) FILTER (exclusion_reason IS NOT NULL AND stay_id % 10 = 0) AS rows FROM cohort
+  UNION ALL SELECT 'null_exclusion_reason',
+    count(*) FILTER (exclusion_reason IS NOT NULL AND stay_id % 10 > 0 AND stay_id % 6 = 0) FROM cohort
+  UNION ALL SELECT 'duplicate_included_stay', count(*) FILTER (exclusion_reason IS NULL AND stay_id % 7 = 0) FROM cohort
+) WHERE rows <> 0"""
+
 # --- events, anchors and onset
 
 CTES["ev"] = """
@@ -408,6 +417,19 @@ def _state_list(names) -> str:
 
 
 SQL["feature_long"] = f"SELECT stay_id, step_index, feature, {_r('value')}, n_valid FROM long"
+_DICTIONARY = [
+    ("view_last", "events", "last", "forward_fill"), ("click_min", "events", "min", "forward_fill"),
+    ("error_max", "events", "max", "median_train"), ("purchase_mean", "events", "mean", "median_train"),
+    ("signup_sum", "events", "sum", "zero"), ("paid_total", "events", "cumulative", "zero"),
+    ("age_years", "static", "last", "median_train"), ("click_error", "derived", "last", "median_train"),
+    ("view_error", "derived", "last", "forward_fill"), ("hours_since_onset", "grid", "last", "normal_value"),
+]
+SQL["registry_coverage"] = f"""
+SELECT k.kind, k.value, count(DISTINCT k.feature) AS features, count(l.value) AS steps,
+  CAST(coalesce(sum(l.n_valid), 0) AS BIGINT) AS events
+FROM (VALUES {', '.join(f"('{f}', '{kind}', '{v}')" for f, *vs in _DICTIONARY
+                        for kind, v in zip(("source", "agg", "missing"), vs))}) k(feature, kind, value)
+LEFT JOIN long l ON l.feature = k.feature GROUP BY 1, 2"""
 SQL["state_raw"] = (
     "SELECT stay_id, step_index, step_start, step_end, " + ", ".join(_r(f) for f in _EVENT_FEATURES) + " FROM wide"
 )
@@ -956,6 +978,12 @@ SELECT event_type AS name, count(value) AS "count", {_r('min(value)', 'min')}, {
   {_r('avg(value)', 'mean')}, {_r('arg_max(value, event_id)', 'final')}, min(event_id) AS first_step,
   max(event_id) AS last_step, {_r('quantile_cont(value, 0.5)', 'median')}
 FROM events GROUP BY 1"""
+SQL["metric_summary_epochs"] = f"""
+SELECT user_id % 3 AS run, event_type AS name, count(value) AS "count", {_r('min(value)', 'min')}, {_r('max(value)', 'max')},
+  {_r('avg(value)', 'mean')}, {_r('arg_max(value, event_id)', 'final')}, min(event_id) AS first_step,
+  max(event_id) AS last_step, CAST(min(day(ts)) AS BIGINT) AS first_epoch, CAST(max(day(ts)) AS BIGINT) AS last_epoch,
+  {_r('quantile_cont(value, 0.5)', 'median')}
+FROM events GROUP BY 1, 2"""
 SQL["metric_log_reload"] = f"""
 SELECT line, count(*) AS lines, {_r('sum(value)', 'total')} FROM (
   SELECT CASE WHEN event_id % 29 = 0 THEN 'no record' WHEN event_id % 31 = 0 THEN 'no name' ELSE event_type END AS line,
@@ -978,6 +1006,12 @@ SELECT e.run, e.name, arg_max(e.value, e.event_id) AS final_value,
     AS contract_consistent
 FROM (SELECT user_id % 3 AS run, event_type AS name, value, event_id FROM events) e GROUP BY 1, 2"""
 
+SQL["compare_runs_drift"] = f"""
+SELECT e.run, e.name, {_r('arg_max(e.value, e.event_id)', 'final_value')}, FALSE AS contract_consistent,
+  '{{"n_metrics":' || CAST((SELECT count(DISTINCT event_type) FROM events v WHERE v.user_id % 3 = e.run) AS VARCHAR)
+    || ',"manifest_seed":' || CASE WHEN e.run = 2 THEN '43' ELSE '42' END || '}}' AS contract
+FROM (SELECT user_id % 3 AS run, event_type AS name, value, event_id FROM events) e GROUP BY 1, 2"""
+
 # --- action-value diagnostics
 
 _KEY = "SELECT stay_id, step_index, "
