@@ -91,8 +91,8 @@ SUBSETS = {
 class Study:
     """Lazily built stages over one data directory.
 
-    ``anchored``, ``episodes``, ``context``, ``wide`` and ``transitions`` feed several
-    consumers each and are written once to the shared checkpoint folder.
+    ``anchored``, ``episodes``, ``wide`` and ``transitions`` feed several consumers
+    each and are written once to the shared checkpoint folder.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, setup: Setup = Setup()):
@@ -215,8 +215,7 @@ class Study:
 
     @cached_property
     def context(self) -> DataFrame:
-        rows = features.step_context(self.episodes, ages=self.ages, splits=self.splits, outcomes=self.labels)
-        return cut_lineage(rows)
+        return features.step_context(self.episodes, ages=self.ages, splits=self.splits, outcomes=self.labels)
 
     @cached_property
     def raw(self) -> DataFrame:
