@@ -35,6 +35,10 @@ from stepweave.session import _shared_folder
 
 END_ID = 2
 TAILS = ",.;:!?"
+SPACE_SIGN = "\u0120"
+# White space beside a space: ASCII pairs, and the white space beyond
+BESIDE = ["  ", *(p for w in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f" for p in (w + " ", " " + w))]
+BEYOND = [w for w in map(chr, range(0x80, 0x3001)) if w.isspace()]
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
@@ -43,38 +47,47 @@ PAGE_ROWS = 2_000
 class ByteLevelCodec:
     """Ids of whole texts by the tokenizers library, each distinct chunk encoded once.
 
-    The byte-level splitting pattern always cuts before a single space that
-    follows no other white space, so chunks cut there are encoded on their own.
-    Texts with runs of spaces are encoded whole.
+    The byte-level splitting pattern always cuts before a single space that has
+    no other white space beside it, so chunks cut there are encoded on their own.
+    Texts with other spaces are encoded whole.
     """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_file)
+        # ids whose piece starts with the sign of a space
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.starts_spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.starts_spaced[[i for piece, i in vocabulary.items() if piece.startswith(SPACE_SIGN)]] = True
         # the pattern cuts between a letter or digit and a mark
         self.cache = ChunkCache(self._encode_chunks, tails=dict(zip(TAILS, self._encode_chunks(list(TAILS), False))))
 
     def _encode_chunks(self, chunks: list[str], spaced: bool) -> list[bytes]:
         if not spaced:
-            found = self.library.encode_batch_fast(chunks, add_special_tokens=False)
-            return [np.array(x.ids, "<u4").tobytes() for x in found]
+            return [np.array(x.ids, "<u4").tobytes() for x in self._encode_alone(chunks)]
         if not chunks:
             return []
-        # one text of all chunks, cut again where each begins
-        starts = np.zeros(len(chunks) + 1, np.int64)
-        np.cumsum(np.fromiter((len(c) + 1 for c in chunks), np.int64, len(chunks)), out=starts[1:])
-        coded = self.library.encode(" " + " ".join(chunks), add_special_tokens=False)
-        offsets = np.fromiter((a for a, _ in coded.offsets), np.int64, len(coded))
-        cuts = np.searchsorted(offsets, starts[:-1]).tolist() + [len(offsets)]
-        whole = np.array(coded.ids, "<u4").tobytes()
+        # one text of all chunks, cut again at the ids that start with a space, as only chunks do
+        ids = np.array(self._encode_alone([" " + " ".join(chunks)])[0].ids, "<u4")
+        cuts = np.flatnonzero(self.starts_spaced[ids]).tolist()
+        if len(cuts) != len(chunks):
+            return [np.array(x.ids, "<u4").tobytes() for x in self._encode_alone([" " + c for c in chunks])]
+        cuts.append(len(ids))
+        whole = ids.tobytes()
         return [whole[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
 
+    def _encode_alone(self, texts: list[str]) -> list:
+        return self.library.encode_batch_fast(texts, add_special_tokens=False)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         plain = []
         for i, text in enumerate(texts):
-            if "  " in text or text[-1:] == " " or text[:1] == " ":
+            beside = text[-1:] == " " or text[:1] == " " or any(p in text for p in BESIDE)
+            if not beside and not text.isascii():
+                beside = any(w + " " in text or " " + w in text for w in BEYOND if w in text)
+            if beside:
                 out[i] = self._encode_chunks([text], False)[0]
             else:
                 plain.append(i)

@@ -73,6 +73,14 @@ def test_byte_level_ids_equal_the_library():
         assert got == [x.ids for x in codec.library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_white_space_beside_spaces_is_encoded_in_its_context():
+    codec = ByteLevelCodec(vocabulary("byte_bpe_50k.json"))
+    texts = ["a\n \nb", "a\n b", "a \nb", "a b", "x a\n", "\nb y", "a\u00a0 b", "a \u3000b c", "a\t b a\n", "Ġa b Ġc", "a <|endoftext|> b"]
+    for order in (texts, texts[::-1]):
+        found = [np.frombuffer(x, "<u4").tolist() for x in codec.encode(order)]
+        assert found == [x.ids for x in codec.library.encode_batch(order, add_special_tokens=False)]
+
+
 def test_token_files(spark, docs_of, tmp_path):
     rows = [(50 - i, t) for i, t in enumerate(TEXTS)] + [(50, "tie b"), (50, "tie a"), (None, "null id")]
     path = token_files.write_tokens(docs_of(rows), vocabulary("byte_bpe_50k.json"), str(tmp_path / "tokens"))
