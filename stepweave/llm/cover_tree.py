@@ -9,8 +9,10 @@ than the product of the centres plus what both radii allow, so a pair of nodes
 is left out if that is below the worst k-th score in the query group. The block
 results are merged per query.
 
-Scores are exact: products of whole numbers stay below 2^53, else they are taken
-with Python's integers (a score beyond a 64-bit integer is set to its limit).
+Scores are exact: where the largest numbers of both blocks may give products
+beyond 2^53, both blocks are taken as Python's integers (a score beyond a 64-bit
+integer is set to its limit). Bounds are floats in any case, widened by more than
+their rounding.
 
 Cases: null vectors, and vectors with a null or non-finite component, take no
 part, nor do rows without an id. Only vectors of the same length are compared. A
@@ -101,6 +103,7 @@ class DualSearch:
         n = len(queries)
         self.scores: list[np.ndarray] = [np.empty(0, queries.dtype)] * n
         self.ids: list[np.ndarray] = [np.empty(0, np.int64)] * n
+        # a lower bound of each query's k-th best score
         self.worst = np.full(n, -np.inf)
 
     def _score(self, low: int, high: int, rows: np.ndarray) -> None:
@@ -119,13 +122,16 @@ class DualSearch:
             )
             self.scores[i], self.ids[i] = scores[best], names[best]
             if len(best) == self.k:
-                self.worst[i] = float(scores[best[-1]])
+                last = float(scores[best[-1]])
+                self.worst[i] = last if self.exact else np.nextafter(last, -np.inf)
 
     def _bounds(self, q: int, nodes: np.ndarray) -> np.ndarray:
         centre, radius = self.q.centres[q], self.q.radius[q]
         radii = self.d.radius[nodes]
-        reach = self.d.centres[nodes] @ centre + self.q.norms[q] * radii + self.d.norms[nodes] * radius + radius * radii
-        return reach + 1e-9 * (1 + np.abs(reach))
+        norm, norms = self.q.norms[q], self.d.norms[nodes]
+        reach = self.d.centres[nodes] @ centre + norm * radii + norms * radius + radius * radii
+        # rounding goes with the size of the terms, not with that of their sum
+        return reach + 1e-9 + 1e-12 * (norm * norms + norm * radii + norms * radius + radius * radii)
 
     def run(self) -> None:
         if len(self.queries) and len(self.data):
@@ -162,12 +168,12 @@ class DualSearch:
                 queue = np.concatenate([queue, *inner])
 
 
-def _matrix(vectors: list[list[float]]) -> np.ndarray:
-    """Whole numbers as floats where all products are exact, else Python integers."""
-    x = np.array(vectors, float).reshape(len(vectors), -1)
-    if x.size and np.abs(x).max() ** 2 * x.shape[1] >= 2.0**53:
-        return np.array([[int(v) for v in row] for row in vectors], object)
-    return x
+def _matrices(queries: list[list[float]], data: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Both blocks as floats where all their products are exact, else both as Python integers."""
+    q, d = (np.array(v, float).reshape(len(v), -1) for v in (queries, data))
+    if q.size and d.size and np.abs(q).max() * np.abs(d).max() * q.shape[1] >= 2.0**53:
+        return tuple(np.array([[int(v) for v in row] for row in m], object) for m in (queries, data))
+    return q, d
 
 
 def _limited(score) -> int:
@@ -210,10 +216,8 @@ def top_k(
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if left.num_rows and right.num_rows:
-            s = DualSearch(
-                _matrix(left.column("v").to_pylist()), left.column("id").to_numpy(),
-                _matrix(right.column("v").to_pylist()), right.column("id").to_numpy(), k,
-            )
+            asked_for, among = _matrices(left.column("v").to_pylist(), right.column("v").to_pylist())
+            s = DualSearch(asked_for, left.column("id").to_numpy(), among, right.column("id").to_numpy(), k)
             s.run()
             for i, query in enumerate(s.query_ids.tolist()):
                 out[0].extend([query] * len(s.ids[i]))

@@ -63,3 +63,28 @@ def test_tree_covers_and_prunes():
     search._score = lambda a, b, r: (read.append((b - a) * len(r)), plain(a, b, r))
     search.run()
     assert sum(read) < 0.5 * 40 * 4000
+
+
+def test_small_queries_and_large_data(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    sizes = [2.0**10, 2.0**18, 2.0**14, 1.0]
+    data = [(i, (rng.normal(size=4) * sizes[i % 4]).tolist()) for i in range(1, 400)]
+    # scores that differ in the last place of large numbers
+    base = [2.0**18, 1.0, -(2.0**18), 3.0]
+    data += [(1000 + i, [base[0], base[1], base[2], base[3] + i / 1024]) for i in range(1, 40)]
+    data += [(i * 5000, (rng.normal(size=4) * s).tolist()) for i, s in ((1, 1.0), (2, 2.0**10), (3, 2.0**-8), (4, 2.0**17))]
+    data += [(25_000, [1.0, 1.0, 1.0, 1.0])]
+    vectors = frame(spark, data)
+    for block in (10_000, 90):
+        monkeypatch.setattr(cover_tree, "DATA_BLOCK", block)
+        monkeypatch.setattr(cover_tree, "QUERY_BLOCK", max(1, block // 45))
+        got = sorted(map(tuple, cover_tree.top_k(vectors, vectors.where("vec_id % 5000 = 0"), k=10).collect()))
+        want = by_hand(data, {5000, 10_000, 15_000, 20_000, 25_000}, 10)
+        assert got == want
+
+
+def test_exactness_is_decided_per_pair_of_blocks():
+    small, large = [[3.0, 1.0]], [[2.0**40, 5.0]]
+    assert cover_tree._matrices(small, small)[0].dtype == float and cover_tree._matrices(small, large)[0].dtype == float
+    q, d = cover_tree._matrices([[2.0**20, 1.0]], large)
+    assert q.dtype == d.dtype == object and (q @ d.T)[0, 0] == 2**60 + 5
