@@ -38,7 +38,7 @@ class ChunkCache:
         self.older: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
 
-    def _heads(self, heads: list[str]) -> list[bytes]:
+    def unspaced(self, heads: list[str]) -> list[bytes]:
         asked = list(set(heads).difference(self.heads))
         if len(self.heads) + len(asked) > self.half // 8:
             self.heads = {}
@@ -71,10 +71,8 @@ class ChunkCache:
             found[c] = found[c[:-1]] + tails[c[-1]]
         return found
 
-    def texts(self, texts: Sequence[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        heads = self._heads([s[0] for s in split])
-        chunks = list(chain.from_iterable(s[1:] for s in split))
+    def spaced(self, chunks: Sequence[str]) -> list[bytes]:
+        """Ids of chunks with a space before them."""
         ids = list(map(self.known.get, chunks))
         gaps = [i for i, x in enumerate(ids) if x is None]
         if gaps:
@@ -85,6 +83,12 @@ class ChunkCache:
                 self.older, self.known = self.known, found
             else:
                 self.known.update(found)
+        return ids
+
+    def texts(self, texts: Sequence[str]) -> list[bytes]:
+        split = [t.split(" ") for t in texts]
+        heads = self.unspaced([s[0] for s in split])
+        ids = self.spaced(list(chain.from_iterable(s[1:] for s in split)))
         out, at = [], 0
         for head, s in zip(heads, split):
             end = at + len(s) - 1

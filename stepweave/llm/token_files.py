@@ -24,26 +24,33 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepweave.llm.common import ship
-from stepweave.llm.pieces import ChunkCache, list_column, text_groups
+from stepweave.llm.pieces import ChunkCache, text_groups
 from stepweave.session import _shared_folder
 
 END_ID = 2
 TAILS = ",.;:!?"
 SPACE_SIGN = "\u0120"
-# White space beside a space: ASCII pairs, and the white space beyond
-BESIDE = ["  ", *(p for w in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f" for p in (w + " ", " " + w))]
-BEYOND = [w for w in map(chr, range(0x80, 0x3001)) if w.isspace()]
+WHITE = "".join(w for w in map(chr, range(0x3001)) if w.isspace())
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 
 
+def _white_ends(chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each chunk starts and ends with white space; an empty one does both."""
+    empty = pc.equal(chunks, "")
+    starts = pc.or_(empty, pc.not_equal(pc.utf8_ltrim(chunks, WHITE), chunks))
+    ends = pc.or_(empty, pc.not_equal(pc.utf8_rtrim(chunks, WHITE), chunks))
+    return starts.to_numpy(zero_copy_only=False), ends.to_numpy(zero_copy_only=False)
+
+
 class ByteLevelCodec:
     """Ids of whole texts by the tokenizers library, each distinct chunk encoded once.
 
@@ -80,20 +87,65 @@ class ByteLevelCodec:
     def _encode_alone(self, texts: list[str]) -> list:
         return self.library.encode_batch_fast(texts, add_special_tokens=False)
 
+    def encode_flat(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, ``end`` behind each, and where each begins (and the last ends).
+
+        Chunks are cut and numbered by Arrow, so that only the distinct ones of
+        these texts are looked up; the ids are gathered by their numbers.
+        """
+        n = len(texts)
+        if not n:
+            return np.empty(0, "<u4"), np.zeros(1, np.int64)
+        cut = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        flat, bounds = cut.flatten(), cut.offsets.to_numpy()
+        numbered = flat.dictionary_encode()
+        number, chunks = numbered.indices.to_numpy(), numbered.dictionary
+        first, last = bounds[:-1], bounds[1:] - 1
+
+        # a text with white space beside a space is encoded whole
+        starts_odd, ends_odd = _white_ends(chunks)
+        odd = starts_odd[number]
+        odd[first] = False
+        beside = ends_odd[number]
+        beside[last] = False
+        whole = np.logical_or.reduceat(odd | beside, first)
+        sizes_of = np.diff(bounds)
+        kept = ~np.repeat(whole, sizes_of)
+        inner = kept.copy()
+        inner[first] = False
+
+        # ids by place: distinct chunks, distinct first chunks, texts encoded whole, the end
+        asked = np.zeros(len(chunks), bool)
+        asked[number[inner]] = True
+        known = self.cache.spaced(chunks.filter(pa.array(asked)).to_pylist())
+        place = (np.cumsum(asked, dtype=np.int32) - 1)[number]
+        heads = flat.take(pa.array(first[~whole])).dictionary_encode()
+        place[first[~whole]] = len(known) + heads.indices.to_numpy()
+        known += self.cache.unspaced(heads.dictionary.to_pylist())
+        before = len(known)
+        known += [self._encode_chunks([texts[i]], False)[0] for i in np.flatnonzero(whole)]
+        known.append(end)
+
+        steps = np.where(whole, 1, sizes_of) + 1
+        ends = np.cumsum(steps)
+        order = np.full(ends[-1], len(known) - 1, np.int32)
+        filled = np.repeat(~whole, steps)
+        filled[ends - 1] = False
+        order[filled] = place[kept]
+        order[ends[whole] - 2] = np.arange(before, len(known) - 1)
+
+        sizes = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        stored = np.cumsum(sizes, dtype=np.int32) - sizes
+        lengths = sizes[order]
+        upto = np.cumsum(lengths, dtype=np.int32)
+        # each chunk's ids follow each other: a running number, moved to where the chunk is stored
+        at = np.repeat(stored[order] - (upto - lengths), lengths)
+        at += np.arange(len(at), dtype=np.int32)
+        return np.frombuffer(b"".join(known), "<u4")[at], np.r_[0, upto[ends - 1]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        plain = []
-        for i, text in enumerate(texts):
-            beside = text[-1:] == " " or text[:1] == " " or any(p in text for p in BESIDE)
-            if not beside and not text.isascii():
-                beside = any(w + " " in text or " " + w in text for w in BEYOND if w in text)
-            if beside:
-                out[i] = self._encode_chunks([text], False)[0]
-            else:
-                plain.append(i)
-        for i, ids in zip(plain, self.cache.texts([texts[i] for i in plain])):
-            out[i] = ids
-        return out
+        ids, starts = self.encode_flat(texts)
+        return [ids[a:b].tobytes() for a, b in zip(starts, starts[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -124,15 +176,15 @@ def write_tokens(
         codec = _codec(tokenizer_file)
         part, row = TaskContext.get().partitionId(), 0
         for rows, texts in text_groups(batches, "whole"):
-            packed = [x + end for x in codec.encode(texts)]
+            ids, begins = codec.encode_flat(texts, end)
             n = len(texts)
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("id"),
                     pa.array([part] * n, pa.int32()),
                     pa.array(range(row, row + n), pa.int64()),
-                    pa.array([len(x) // 4 for x in packed], pa.int64()),
-                    list_column(packed),
+                    pa.array(np.diff(begins)),
+                    pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids.view(np.int32))),
                 ],
                 ["id", "part", "row", "n_tokens", "tokens"],
             )
