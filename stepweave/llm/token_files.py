@@ -43,6 +43,11 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 
 
+def _strings(chunks: pa.StringArray) -> list[str]:
+    """A list by way of numpy, many times faster than Arrow's own."""
+    return chunks.to_numpy(zero_copy_only=False).tolist()
+
+
 def _white_ends(chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each chunk starts and ends with white space; an empty one does both."""
     empty = pc.equal(chunks, "")
@@ -117,11 +122,11 @@ class ByteLevelCodec:
         # ids by place: distinct chunks, distinct first chunks, texts encoded whole, the end
         asked = np.zeros(len(chunks), bool)
         asked[number[inner]] = True
-        known = self.cache.spaced(chunks.filter(pa.array(asked)).to_pylist())
+        known = self.cache.spaced(_strings(chunks.filter(pa.array(asked))))
         place = (np.cumsum(asked, dtype=np.int32) - 1)[number]
         heads = flat.take(pa.array(first[~whole])).dictionary_encode()
         place[first[~whole]] = len(known) + heads.indices.to_numpy()
-        known += self.cache.unspaced(heads.dictionary.to_pylist())
+        known += self.cache.unspaced(_strings(heads.dictionary))
         before = len(known)
         known += [self._encode_chunks([texts[i]], False)[0] for i in np.flatnonzero(whole)]
         known.append(end)
@@ -183,7 +188,7 @@ def write_tokens(
                     rows.column("id"),
                     pa.array([part] * n, pa.int32()),
                     pa.array(range(row, row + n), pa.int64()),
-                    pa.array(np.diff(begins)),
+                    pa.array(np.diff(begins).astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids.view(np.int32))),
                 ],
                 ["id", "part", "row", "n_tokens", "tokens"],
