@@ -111,7 +111,9 @@ def grouped(texts: Iterable[str], chars: int = GROUP_CHARS) -> Iterator[list[str
         yield out
 
 
-def text_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_groups(
+    batches: Iterator[pa.RecordBatch], column: str, chars: int = GROUP_CHARS
+) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of Arrow batches with their texts, null as empty, of a bounded number of characters.
 
     The cyclic collector is off meanwhile: millions of short-lived strings and
@@ -122,7 +124,7 @@ def text_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tupl
         for batch in batches:
             at = 0
             texts = (t or "" for t in batch.column(column).to_pylist())
-            for group in grouped(texts):
+            for group in grouped(texts, chars):
                 yield batch.slice(at, len(group)), group
                 at += len(group)
     finally:

@@ -38,6 +38,9 @@ END_ID = 2
 TAILS = ",.;:!?"
 SPACE_SIGN = "\u0120"
 WHITE = "".join(w for w in map(chr, range(0x3001)) if w.isspace())
+# Chunks a worker remembers, some 200 bytes each, and characters it takes at a time
+CACHE_ENTRIES = 1_200_000
+GROUP_CHARS = 4_000_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
@@ -73,7 +76,8 @@ class ByteLevelCodec:
         self.starts_spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.starts_spaced[[i for piece, i in vocabulary.items() if piece.startswith(SPACE_SIGN)]] = True
         # the pattern cuts between a letter or digit and a mark
-        self.cache = ChunkCache(self._encode_chunks, tails=dict(zip(TAILS, self._encode_chunks(list(TAILS), False))))
+        tails = dict(zip(TAILS, self._encode_chunks(list(TAILS), False)))
+        self.cache = ChunkCache(self._encode_chunks, CACHE_ENTRIES, tails)
 
     def _encode_chunks(self, chunks: list[str], spaced: bool) -> list[bytes]:
         if not spaced:
@@ -180,7 +184,7 @@ def write_tokens(
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(tokenizer_file)
         part, row = TaskContext.get().partitionId(), 0
-        for rows, texts in text_groups(batches, "whole"):
+        for rows, texts in text_groups(batches, "whole", GROUP_CHARS):
             ids, begins = codec.encode_flat(texts, end)
             n = len(texts)
             yield pa.RecordBatch.from_arrays(
