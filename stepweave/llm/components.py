@@ -1,4 +1,9 @@
-"""Connected components of links, by alternating large and small stars."""
+"""Connected components of links, by alternating large and small stars.
+
+Cases: a link given twice or both ways counts once, a link of a node with itself
+counts for nothing, so a node without another link is not in the result. Links
+need both ends. No links give no rows.
+"""
 
 from __future__ import annotations
 

@@ -85,6 +85,42 @@ def test_exact_copies_of_short_lines_go_whole(spark, docs_of):
     assert any(r[0] == 905 for r in left)  # holds a line of its own
 
 
+def folder_of(spark, path, labels, items):
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+ODD = [(1, None), (1, None), (2, ""), (3, " \n"), (None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (5, "x")]
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None)], ODD], ids=["no rows", "nulls", "odd"])
+@pytest.mark.parametrize("others", ["none", "null"])
+def test_stages_keep_columns_and_clean_rows_of_odd_tables(spark, docs_of, tmp_path, rows, others):
+    """Without labels and items, or with null ones, nothing is toxic or contaminated; clashing columns stay."""
+    empty = others == "none"
+    labels = [] if empty else [(None, None, 1), (1, None, None), (99, 1, 1), (2, 0, 0)]
+    sf = folder_of(spark, tmp_path, labels, [] if empty else [(None, None), (3, "")])
+    docs = docs_of(rows)
+    given = sorted(map(str, docs.collect()))
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("toxicity", "decontamination"):
+        out = stages[name](spark, docs, sf)
+        assert out.columns == docs.columns and sorted(map(str, out.collect())) == given
+    # of equal texts the one of the least id stays, null first; texts without words all stay
+    cut = stages["line dedup"](spark, docs, sf)
+    assert cut.columns == docs.columns
+    once = stages["near copies"](spark, docs, sf)
+    assert once.columns == docs.columns
+    if rows is ODD:
+        wordless = [(1, None), (1, None), (2, ""), (3, " \n")]
+        assert texts(cut) == sorted([*wordless, (None, "a b c d e f"), (None, "a b c d e f"), (5, "x")], key=str)
+        assert texts(once) == sorted([*wordless, (4, "a b c d e f"), (5, "x")], key=str)
+    coded = stages["sentence pieces"](spark, docs, sf)
+    assert coded.columns == ["doc_id", "n_tokens", "ids", "decoded"] and coded.count() == len(rows)
+    assert {r["n_tokens"] for r in coded.collect() if not (r["decoded"] or "").strip()} <= {0, 1, 2}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="bundled tables not present")
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
@@ -99,4 +135,4 @@ def test_query_equals_sql(spark, name):
 
 def test_names():
     assert set(queries.oracle_sql()) <= set(queries.queries())
-    assert [n.split("_")[0] for n in queries.queries()] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in queries.queries()] == [*(f"op{i}" for i in range(1, 14)), "pipeline"]
