@@ -2,6 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)``, with docs in the columns of
 ``documents``, and returns those columns, the last one the encoded documents.
+
+Cases, for every stage: an empty table gives an empty one. Columns beyond text
+and id pass through untouched, whatever their names. Rows are judged by text and
+id, repeated rows alike. What else holds is said at the stage.
 """
 
 from __future__ import annotations
@@ -15,7 +19,12 @@ from stepweave.session import cut_lineage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go. The labels are learned from the texts given."""
+    """Documents predicted toxic go. The labels are learned from the texts given.
+
+    Cases: a null or empty text is scored like one without known features. With
+    no labels, or none but of unknown documents, every score is below the cut and
+    all stay; null labels and labels of null ids teach nothing.
+    """
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out("doc_id"))
     model = toxicity.train(docs, labels, "text", "doc_id", "toxic")
     return toxicity.score(docs, model).where("predicted = 0").select("doc.*")
@@ -38,6 +47,9 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Repeated passages are cut out of the texts; a document that holds nothing else goes.
 
     So does an exact copy of an earlier document, whatever lines the cuts would leave of it.
+
+    Cases: null and empty texts stay as they are. A null id comes before all
+    others. The same row twice (id and text) stays twice or goes twice.
     """
     cleaned = line_dedup.dedup_lines(docs).where("n_removed = 0 OR text <> ''")
     cleaned = cleaned.withColumn("copy", copy_key("doc.doc_id", F.sha2("doc.text", 256)))
@@ -52,18 +64,27 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of the least id."""
+    """One document of each group of near copies stays, the one of the least id.
+
+    Cases: texts without words, null ones too, are no copies and all stay. Of the
+    same row twice one stays. Null ids come after all others: of a group whose
+    ids are all null one stays.
+    """
     return near_copies.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold too much of a benchmark go."""
+    """Documents that hold too much of a benchmark go.
+
+    Cases: texts without words, null ones too, hold nothing and stay. Items
+    without words, null ones too, and an empty benchmark contaminate nothing.
+    """
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return found.where(~decontaminate.contaminated()).select("doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded`` of each document."""
+    """``doc_id, n_tokens, ids, decoded`` of each document, null ids and repeated rows included; a null text is empty."""
     coded = sentencepieces.encode_decode(docs, vocabulary("piece_bpe_32k.model"))
     return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
