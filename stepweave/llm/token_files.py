@@ -38,9 +38,8 @@ END_ID = 2
 TAILS = ",.;:!?"
 SPACE_SIGN = "\u0120"
 WHITE = "".join(w for w in map(chr, range(0x3001)) if w.isspace())
-# Chunks a worker remembers, some 200 bytes each, and characters it takes at a time
-CACHE_ENTRIES = 1_200_000
-GROUP_CHARS = 4_000_000
+# Chunks a worker remembers, some 200 bytes each
+CACHE_ENTRIES = 1_000_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
@@ -184,7 +183,7 @@ def write_tokens(
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(tokenizer_file)
         part, row = TaskContext.get().partitionId(), 0
-        for rows, texts in text_groups(batches, "whole", GROUP_CHARS):
+        for rows, texts in text_groups(batches, "whole"):
             ids, begins = codec.encode_flat(texts, end)
             n = len(texts)
             yield pa.RecordBatch.from_arrays(
