@@ -508,6 +508,20 @@ def replay_reload(s: Study) -> DataFrame:
     return rounded(tr.flatten(readers.read_replay(s.spark, path, s.columns, split="validation"), s.columns))
 
 
+@query
+def replay_layout(s: Study) -> DataFrame:
+    """Where the replay sink puts an episode: in one file, its steps one after the other and in order."""
+    path = scratch_path(s.spark, "replay")
+    writers.write_replay(s.transitions, path, s.columns)
+    stored = s.spark.read.parquet(path).select("stay_id", "step_index", "_metadata.file_path", "_metadata.row_index")
+    shift = F.col("row_index") - F.col("step_index")
+    return stored.groupBy("stay_id").agg(
+        F.count_distinct("file_path").alias("files"),
+        F.count(F.lit(1)).alias("steps"),
+        (F.max(shift) == F.min(shift)).alias("in_order"),
+    )
+
+
 @query
 def artifact_reload(s: Study) -> DataFrame:
     """Stored medians, scaler, bins and rewards, reloaded and applied."""
@@ -827,18 +841,24 @@ def pipeline_cohort(s: Study) -> DataFrame:
     return rounded(both.drop("deathtime", "hospital_expire_flag"))
 
 
-@query
-def pipeline_onset(s: Study) -> DataFrame:
+def _onsets(s: Study) -> dict[str, DataFrame]:
     r = s.from_text
     cohort = pipeline.cohort_stage(r.raw["stays"], r.raw["patients"], r.raw["admissions"], r.config)["cohort"]
     tables = (r.raw["cultures"], r.raw["prescriptions"], r.raw["chartevents"])
-    parts = pipeline.onset_stage(cut_lineage(cohort), *tables, r.config)
+    return pipeline.onset_stage(cut_lineage(cohort), *tables, r.config)
+
+
+@query
+def pipeline_onset(s: Study) -> DataFrame:
+    parts = _onsets(s)
     return parts["onset"].unionByName(parts["onset_unusable"], allowMissingColumns=True)
 
 
 @query
 def pipeline_truncation(s: Study) -> DataFrame:
-    return s.from_text.stage("truncation_reasons")
+    r = s.from_text
+    onsets = cut_lineage(_onsets(s)["onset"])
+    return pipeline.grid_stage(onsets, r.raw["stays"], r.raw["admissions"], r.config)["truncation_reasons"]
 
 
 @query

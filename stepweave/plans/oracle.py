@@ -646,6 +646,8 @@ SQL["transitions"] = (
     + " FROM linked"
 )
 SQL["replay_reload"] = f"SELECT * FROM ({SQL['transitions']}) WHERE split = 'validation'"
+SQL["replay_layout"] = """
+SELECT stay_id, CAST(1 AS BIGINT) AS files, count(*) AS steps, TRUE AS in_order FROM trans GROUP BY 1"""
 SQL["artifact_reload"] = (
     f"SELECT n.stay_id, n.step_index, a.action_id, {_r('r.reward_total', 'reward_total')}, "
     + ", ".join(f"n.{c}" if c.endswith("_missing") else _r(f"n.{c}", c) for c in _COLUMNS)
