@@ -47,6 +47,8 @@ NEIGHBOURS = 15
 BLOCK = 64
 PRIOR_WEIGHT = 0.2
 CUT = 0.7
+# score without any labelled document
+UNKNOWN = 0.5
 
 SPLIT = bytes(range(48)) + bytes(range(48, 58)) + bytes(range(58, 65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 TO_WORDS = bytes(b if (48 <= b < 58 or 97 <= b < 123 or b >= 128) else 32 for b in SPLIT)
@@ -236,11 +238,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str, id_col: str, label: str
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)))]
         rows.sort(key=lambda r: (hash_of(r[1]), r[1], r[2]))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows[:most], share))], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows[:most], share if rows else UNKNOWN))], pa.binary())], ["model"])
 
     # the corpus meets the sample in parallel; one task reads the written sample, of bounded size
     row = cut_lineage(chosen).coalesce(1).mapInArrow(build, "model binary").first()
-    return pickle.loads(bytes(row[0])) if row else fit([], share)
+    return pickle.loads(bytes(row[0])) if row else fit([], UNKNOWN)
 
 
 def hash_of(text: str) -> int:
