@@ -1,9 +1,11 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,31 @@ def test_no_training_rows_and_no_rows(docs_of):
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
     assert all(r["score"] == pytest.approx(0, abs=1e-6) for r in got)
     assert katz.digest(katz.score(docs_of([]), F.lit(True))).count() == 0
+
+
+@pytest.mark.parametrize("bits", [20, 62])
+def test_distinct_codes(bits):
+    codes = np.random.default_rng(1).integers(0, 1 << 10, 600_000) << (bits - 10)
+    found, places = np.unique(codes, return_inverse=True)
+    got = katz.distinct(codes.copy(), bits)
+    assert (got[0] == found).all() and (got[1] == places).all()
+
+
+def test_memory_of_a_block():
+    rng = np.random.default_rng(2)
+    drawn = rng.zipf(1.3, 1_000_000) % 100_000
+    texts = [" ".join(map(str, x)) for x in np.split(drawn, 1_000)]
+    count = Counter(w for t in texts for w in katz.tokens_of(t))
+    block = pa.table({"whole": texts})
+    answers = pa.table({"word": pa.array(list(count), pa.binary()), "c": pa.array(list(count.values()), pa.int64())})
+    symbols = katz.Symbols.fit(katz.Words.fit(sum(count.values()), len(count), Counter(count.values())), None)
+    del texts, count
+    tracemalloc.start()
+    try:
+        tokens = katz.Tokens.of(block, answers, symbols)
+        for _ in tokens.parts(70, tokens.hashes[:9]):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 * len(tokens.place)
