@@ -22,7 +22,7 @@ asks for the counts of its own words, and for those of its own pairs and the sum
 of their contexts; its texts meet the answers in one task. A pair's partition
 follows from its context, for the most frequent contexts (sent to every task,
 fewer than there are partitions) from both its words. Pairs are held under the
-64-bit hashes of their two words.
+numbers of their two words in the word table.
 
 Cases: a null or empty text is the end token alone. A null id counts as a
 training row. Without training rows every word has the probability of an unseen
@@ -40,7 +40,6 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,8 +52,7 @@ LARGEST_DISCOUNTED = 5
 BLOCK_BYTES = 24 << 20
 END = b""  # no word is empty
 SUMS = LARGEST_DISCOUNTED + 2  # of a context: tokens, pairs seen once to LARGEST_DISCOUNTED times, probability held
-START_HASH = xxhash.xxh3_64_intdigest(b" start")  # no word has a space
-OTHER_HASH = xxhash.xxh3_64_intdigest(b" other")
+START, OTHER, FIRST = 0, 1, 2  # numbers: before a text, the class of all others, the first of a word
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -196,6 +194,10 @@ class Symbols:
         other = max(1 - kept, level.unseen)
         return cls(level, frozenset(w for w, _ in ranked), 1 / (kept + other), other / (kept + other))
 
+    def share(self, counts: np.ndarray) -> np.ndarray:
+        """Probabilities of symbols from their words' counts, which are 0 for the class of all others."""
+        return np.where(counts > 0, self.level.probability(counts) * self.scale, self.other)
+
 
 @dataclass
 class Tokens:
@@ -205,9 +207,9 @@ class Tokens:
     place: np.ndarray  # of each token among the block's distinct words
     counts: np.ndarray  # of the words
     apart: np.ndarray  # whether a word is a symbol of its own
-    hashes: np.ndarray  # of the symbols, ascending
-    share: np.ndarray
-    contexts: np.ndarray  # of the distinct pairs, ascending, as places in hashes
+    numbers: np.ndarray  # of the symbols, ascending
+    known: np.ndarray  # of the symbols: the word's count, 0 for the class of all others
+    contexts: np.ndarray  # of the distinct pairs, ascending, as places in numbers
     nexts: np.ndarray
     pair: np.ndarray
 
@@ -228,15 +230,15 @@ class Tokens:
         c[: answers.num_rows] = answers.column("c").to_numpy()
         own = symbols.own
         apart = c > 0 if own is None else np.fromiter((w in own for w in index), bool, len(index))
-        digest = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
         del index
+        number = np.full(len(c), OTHER, np.int64)
+        number[: answers.num_rows] = answers.column("number").to_numpy()
         place = np.concatenate(places)
         del places
-        named = np.append(np.where(apart, digest, np.uint64(OTHER_HASH)), np.uint64(START_HASH))
-        hashes, of = np.unique(named, return_inverse=True)
-        share = np.zeros(len(hashes))
-        share[of[:-1]] = np.where(apart, symbols.level.probability(c) * symbols.scale, symbols.other)
-        of, width = of.astype(np.int32), len(hashes).bit_length()
+        numbers, of = np.unique(np.append(np.where(apart, number, OTHER), START), return_inverse=True)
+        known = np.zeros(len(numbers), np.int64)
+        known[of[:-1]] = np.where(apart, c, 0)
+        of, width = of.astype(np.int32), len(numbers).bit_length()
         code = np.empty(len(place), np.int64)
         code[1:] = of[place[:-1]]
         code[np.r_[0, np.cumsum(sizes)[:-1]]] = of[-1]
@@ -245,17 +247,18 @@ class Tokens:
         codes, pair = distinct(code, 2 * width)
         del code
         contexts, nexts = (codes >> width).astype(np.int32), (codes & ((1 << width) - 1)).astype(np.int32)
-        return cls(np.array(sizes), place, c, apart, hashes, share, contexts, nexts, pair)
+        return cls(np.array(sizes), place, c, apart, numbers, known, contexts, nexts, pair)
 
     def parts(self, n: int, frequent: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """The partitions of the pairs, each with the places of its pairs, ascending."""
-        spread = np.isin(self.hashes, frequent)
+        spread = np.isin(self.numbers, frequent)
+        keys = self.numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         part = np.empty(len(self.contexts), np.min_scalar_type(n))
         for start in range(0, len(part), 1 << 18):  # so that what lies between stays small
             some = slice(start, start + (1 << 18))
             at = self.contexts[some]
-            mixed = np.where(spread[at], self.hashes[self.nexts[some]] * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
-            part[some] = ((self.hashes[at] ^ mixed) >> np.uint64(20)) % np.uint64(n)
+            mixed = np.where(spread[at], keys[self.nexts[some]] >> np.uint64(1), np.uint64(0))
+            part[some] = ((keys[at] ^ mixed) >> np.uint64(24)) % np.uint64(n)
         order = np.argsort(part, kind="stable").astype(np.int32)
         ends = np.cumsum(np.bincount(part, minlength=n))
         del part
@@ -268,7 +271,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unpack(packed: bytes) -> tuple[np.ndarray, ...]:
+def _unpack(packed: bytes | pa.Buffer) -> tuple[np.ndarray, ...]:
     return pickle.loads(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True))
 
 
@@ -308,7 +311,7 @@ def _least(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
 
-def tally(table: pa.Table, frequent: np.ndarray) -> pa.Table:
+def tally(table: pa.Table, symbols: Symbols, frequent: np.ndarray) -> pa.Table:
     """One partition of the pair table: its counts as answers to each block, sums of frequent contexts, a histogram.
 
     Rows of block -1 hold sums of a frequent context, the row of block -2 how many pairs were seen 0, 1, ... times.
@@ -317,18 +320,20 @@ def tally(table: pa.Table, frequent: np.ndarray) -> pa.Table:
     ends = np.cumsum([len(x[0]) for x in asked])[:-1]
     contexts, context = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
     words, first, word = np.unique(np.concatenate([x[2] for x in asked]), return_index=True, return_inverse=True)
-    share = np.concatenate([x[3] for x in asked])[first]
+    share = symbols.share(np.concatenate([x[3] for x in asked])[first])
     mine = np.split(context, ends)
     theirs = np.split(word, np.cumsum([len(x[2]) for x in asked])[:-1])
-    code = np.concatenate([np.repeat(m, x[1]) << 32 | t[x[4]] for m, t, x in zip(mine, theirs, asked)])
-    codes, pair = np.unique(code, return_inverse=True)
+    width = len(words).bit_length()
+    code = np.concatenate([np.repeat(m, x[1]) << width | t[x[4]] for m, t, x in zip(mine, theirs, asked)])
+    codes, pair = distinct(code, width + len(contexts).bit_length())
+    del code
     counts = np.bincount(pair, np.concatenate([x[5] for x in asked])).astype(np.int64)
-    of, n = codes >> 32, len(contexts)
+    of, n = codes >> width, len(contexts)
     sums = np.zeros((n, SUMS))
     sums[:, 0] = np.bincount(of, counts, n)
     for r in range(1, LARGEST_DISCOUNTED + 1):
         sums[:, r] = np.bincount(of[counts == r], minlength=n)
-    sums[:, -1] = np.bincount(of, np.where(counts > 0, share[codes & 0xFFFFFFFF], 0), n)
+    sums[:, -1] = np.bincount(of, np.where(counts > 0, share[codes & ((1 << width) - 1)], 0), n)
     answers = np.split(counts[pair], np.cumsum([len(x[4]) for x in asked])[:-1])
     packed = [
         _pack(_least(c), *(_least(sums[m, i]) for i in range(SUMS - 1)), sums[m, -1]) for c, m in zip(answers, mine)
@@ -341,7 +346,7 @@ def tally(table: pa.Table, frequent: np.ndarray) -> pa.Table:
             "block": pa.array(table.column("block").to_pylist() + extra, pa.int32()),
             "part": pa.array([table.column("part")[0].as_py()] * (len(packed) + len(extra)), pa.int32()),
             "packed": pa.array(packed + [None] * len(extra), pa.binary()),
-            "context": pa.array([None] * len(packed) + contexts[often].view(np.int64).tolist() + [None], pa.int64()),
+            "context": pa.array([None] * len(packed) + contexts[often].tolist() + [None], pa.int64()),
             "sums": pa.array([None] * len(packed) + sums[often].tolist() + [seen.tolist()], pa.list_(pa.float64())),
         }
     )
@@ -360,17 +365,18 @@ def score(
     blocks, n_blocks = _blocks(docs, text, id_col, learns)
     by_word = Window.partitionBy("word")
     # at most one row per block and word; the first block of a word stands for it in the word table
-    words = cut_lineage(
-        _block_words(blocks).select(
-            "block",
-            "word",
-            F.sum("c").over(by_word).alias("c"),
-            (F.min("block").over(by_word) == F.col("block")).alias("first"),
-        )
+    counted = _block_words(blocks).select(
+        "block",
+        "word",
+        F.sum("c").over(by_word).alias("c"),
+        (F.min("block").over(by_word) == F.col("block")).alias("first"),
     )
+    # all rows of a word are in one partition, so the least of their numbers is its own
+    numbered = counted.withColumn("number", F.monotonically_increasing_id())
+    words = cut_lineage(numbered.withColumn("number", F.min("number").over(by_word)))
     table = words.where("first AND c > 0")
     of_counts = table.groupBy(F.least("c", F.lit(LARGEST_DISCOUNTED + 2)).alias("r")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("c").alias("tokens")
+        F.count(F.lit(1)).alias("n"), F.sum("c").alias("tokens"), F.max(F.shiftright("number", 33)).alias("last")
     )
     rows = of_counts.collect()  # at most LARGEST_DISCOUNTED + 2 rows
     fitted = Words.fit(
@@ -383,12 +389,15 @@ def score(
         ordered = table.orderBy(F.desc(F.octet_length("word") == 0), F.desc("c"), "word").limit(classes - 1)
         ranked = [(bytes(r["word"]), r["c"]) for r in ordered.select("word", "c").collect()]
     symbols = Symbols.fit(fitted, ranked)
-    n_parts = 2 * n_blocks
-    often = table.where(F.col("c") > fitted.total // n_parts).select("word").collect()  # fewer than n_parts rows
-    hashed = [START_HASH, OTHER_HASH, *(xxhash.xxh3_64_intdigest(bytes(r["word"])) for r in often)]
-    frequent = np.unique(np.array(hashed, np.uint64))
+    n_parts = n_blocks
+    # Spark's numbers hold the partition above 33 bits: closed up, they take half the bytes
+    row = F.col("number").bitwiseAND((1 << 33) - 1)
+    number = row * (max((r["last"] for r in rows), default=0) + 1) + F.shiftright("number", 33) + FIRST
+    # fewer than n_parts rows
+    often = table.where(F.col("c") > fitted.total // n_parts).select(number.alias("number")).collect()
+    frequent = np.unique([START, OTHER, *(r["number"] for r in often)])
     shared = spark.sparkContext.broadcast((symbols, frequent))
-    answers = words.where("c > 0").select("block", "word", "c", F.lit(-1).alias("part"))
+    answers = words.where("c > 0").select("block", "word", "c", number.alias("number"), F.lit(-1).alias("part"))
 
     def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
         symbols, frequent = shared.value
@@ -403,7 +412,7 @@ def score(
             found.append(part)
             packed.append(
                 _pack(
-                    tokens.hashes[context], _least(lengths), tokens.hashes[word], tokens.share[word],
+                    _least(tokens.numbers[context]), _least(lengths), _least(tokens.numbers[word]), _least(tokens.known[word]),
                     _least(place), _least(counts[at]),
                 )
             )
@@ -416,7 +425,7 @@ def score(
     asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, "block int, part int, packed binary")
     tallied = cut_lineage(
         asked.groupBy("part").applyInArrow(
-            lambda table: tally(table, shared.value[1]),
+            lambda table: tally(table, *shared.value),
             "block int, part int, packed binary, context long, sums array<double>",
         )
     )
@@ -424,7 +433,7 @@ def score(
     seen = tallied.where("block = -2").agg(*total).first()
     ratios = discounts({r: int(seen[r] or 0) for r in range(1, LARGEST_DISCOUNTED + 2)})
     rows = tallied.where("block = -1").groupBy("context").agg(*total[:SUMS]).collect()  # at most as many as frequent
-    sums_of = {r["context"] % (1 << 64): [r[str(i)] for i in range(SUMS)] for r in rows}
+    sums_of = {r["context"]: [r[str(i)] for i in range(SUMS)] for r in rows}
     weights = spark.sparkContext.broadcast((ratios, np.array([sums_of.get(h, [0.0] * SUMS) for h in frequent.tolist()])))
 
     def judge(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -434,26 +443,26 @@ def score(
         of_words = pc.less(answers.column("part"), 0)
         tokens = Tokens.of(table, answers.filter(of_words), symbols)
         of_pairs = answers.filter(pc.invert(of_words))
-        packed = dict(zip(of_pairs.column("part").to_pylist(), of_pairs.column("packed").to_pylist()))
+        packed = dict(zip(of_pairs.column("part").to_pylist(), of_pairs.column("packed")))
         del answers, of_pairs
         counts = np.zeros(len(tokens.contexts), np.int32)
-        sums = np.zeros((len(tokens.hashes), SUMS))
+        sums = np.zeros((len(tokens.numbers), SUMS))
         for part, at in tokens.parts(n_parts, frequent):
-            found, *columns = _unpack(packed.pop(part))
+            found, *columns = _unpack(packed.pop(part).as_buffer())
             counts[at] = found
             sums[np.unique(tokens.contexts[at])] = np.column_stack(columns)
-        often = np.flatnonzero(np.isin(tokens.hashes, frequent))
-        sums[often] = of_frequent[np.searchsorted(frequent, tokens.hashes[often])]
+        often = np.flatnonzero(np.isin(tokens.numbers, frequent))
+        sums[often] = of_frequent[np.searchsorted(frequent, tokens.numbers[often])]
         totals = sums[:, 0]
         taken = sums[:, 1:-1] @ (np.arange(1, LARGEST_DISCOUNTED + 1) * (1 - ratios[1:]))
         left, free = taken / np.maximum(totals, 1), 1 - sums[:, -1]
         totals = totals.copy()
         del sums
-        logs = np.empty(len(counts))
+        logs, shares = np.empty(len(counts)), symbols.share(tokens.known)
         for start in range(0, len(counts), 1 << 18):  # so that what lies between stays small
             some = slice(start, start + (1 << 18))
             at = tokens.contexts[some]
-            share = tokens.share[tokens.nexts[some]]
+            share = shares[tokens.nexts[some]]
             logs[some] = pair_logs(counts[some], totals[at], left[at], free[at], ratios, share)
         del counts
         within = np.log10(level.probability(tokens.counts)) - np.log10(symbols.other)
@@ -473,8 +482,8 @@ def score(
             }
         )
 
-    of_pairs = tallied.where("block >= 0").select("block", F.lit(None).cast("binary").alias("word"), F.lit(0).cast("long").alias("c"), "part", "packed")
-    both = answers.withColumn("packed", F.lit(None).cast("binary")).unionByName(of_pairs)
+    of_pairs = tallied.where("block >= 0").select("block", "part", "packed")
+    both = answers.unionByName(of_pairs, allowMissingColumns=True)
     kind = blocks.schema["id"].dataType.simpleString()
     return (
         blocks.groupBy("block")

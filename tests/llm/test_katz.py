@@ -143,13 +143,14 @@ def test_memory_of_a_block():
     texts = [" ".join(map(str, x)) for x in np.split(drawn, 1_000)]
     count = Counter(w for t in texts for w in katz.tokens_of(t))
     block = pa.table({"whole": texts})
-    answers = pa.table({"word": pa.array(list(count), pa.binary()), "c": pa.array(list(count.values()), pa.int64())})
+    columns = {"word": pa.array(list(count), pa.binary()), "c": list(count.values()), "number": range(2, len(count) + 2)}
+    answers = pa.table(columns)
     symbols = katz.Symbols.fit(katz.Words.fit(sum(count.values()), len(count), Counter(count.values())), None)
     del texts, count
     tracemalloc.start()
     try:
         tokens = katz.Tokens.of(block, answers, symbols)
-        for _ in tokens.parts(70, tokens.hashes[:9]):
+        for _ in tokens.parts(70, tokens.numbers[:9]):
             pass
         peak = tracemalloc.get_traced_memory()[1]
     finally:
