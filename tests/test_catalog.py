@@ -62,3 +62,15 @@ def test_query(name, study, duck):
 def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.count() > 0 and "view_last_missing" in df.columns
+
+
+def test_ragged_orders_are_written_by_many_tasks(spark, study, monkeypatch):
+    whole = Study.table
+    monkeypatch.setattr(Study, "table", lambda s, name: whole(s, name).repartition(3))
+    path = Study(spark, SF).ragged_orders.removeprefix("file:")
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert len(files) == 3
+    lines = [open(f"{path}/{f}").read().splitlines() for f in files]
+    assert {x[0] for x in lines} == {"subject_id,hadm_id,starttime,stoptime,drug,route"}
+    assert sorted(y for x in lines for y in x[1:]) == sorted(r[0] for r in spark.read.csv(path, sep="\x01", header=True).collect())
+    assert sum(len(x) - 1 for x in lines) == whole(study, "orders").count()
