@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stepweave.operators import anchor, features
 from stepweave.plans import pipeline
 from stepweave.presets import clinical
-from stepweave.session import configure, scratch_path
+from stepweave.session import configure, cut_lineage, scratch_path
 from stepweave.sources import readers, writers
 
 # Items of the preset that the event types stand for
@@ -139,7 +139,7 @@ class RawStudy:
 
     @cached_property
     def raw(self) -> dict[str, DataFrame]:
-        """All tables, written as text and read back by their readers."""
+        """All tables, written as text, read back by their readers and landed."""
         names = (
             "stays", "patients", "admissions", "cultures", "prescriptions", "chartevents", "labevents", "inputevents",
             "outputevents",
@@ -156,7 +156,15 @@ class RawStudy:
                 self.spark, paths["prescriptions"], clinical.ANTIBIOTIC_KEYWORDS
             ),
         }
-        return {n: own[n] if n in own else readers.raw_table(self.spark, paths[n], n) for n in names}
+        return {n: self.landed(n, own[n] if n in own else readers.raw_table(self.spark, paths[n], n)) for n in names}
+
+    def landed(self, name: str, rows: DataFrame) -> DataFrame:
+        """A table parsed once, as stages read most tables several times; events are sorted by item."""
+        if "itemid" not in rows.columns:
+            return cut_lineage(rows)
+        path = f"{self.root}/landed/{name}"
+        writers.land_events(rows, path, key="hadm_id" if name == "labevents" else "stay_id")
+        return readers.raw_table(self.spark, path, name, "parquet")
 
     @cached_property
     def paths(self) -> dict[str, str]:

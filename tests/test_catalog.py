@@ -74,3 +74,8 @@ def test_ragged_orders_are_written_by_many_tasks(spark, study, monkeypatch):
     assert {x[0] for x in lines} == {"subject_id,hadm_id,starttime,stoptime,drug,route"}
     assert sorted(y for x in lines for y in x[1:]) == sorted(r[0] for r in spark.read.csv(path, sep="\x01", header=True).collect())
     assert sum(len(x) - 1 for x in lines) == whole(study, "orders").count()
+
+
+def test_raw_tables_are_parsed_once(study):
+    for rows in study.from_text.raw.values():
+        assert rows.inputFiles() and all(f.endswith(".parquet") for f in rows.inputFiles())
