@@ -17,6 +17,7 @@ table gives an empty dataset.
 
 from __future__ import annotations
 
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,19 +32,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepweave.llm.common import ship
-from stepweave.llm.pieces import ChunkCache, text_groups
+from stepweave.llm.pieces import ChunkCache
 from stepweave.session import _shared_folder
 
 END_ID = 2
-TAILS = ",.;:!?"
 SPACE_SIGN = "\u0120"
 WHITE = "".join(w for w in map(chr, range(0x3001)) if w.isspace())
 # Chunks a worker remembers, some 200 bytes each
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 600_000
+# Texts encoded at a time (one at least)
+GROUP_BYTES = 2_000_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 
+LETTER_OR_DIGIT = np.zeros(256, bool)
+LETTER_OR_DIGIT[list((string.ascii_letters + string.digits).encode())] = True
+# first bytes of U+00C0 to U+027F, all letters but the signs of times and division, and of U+00C0 to U+07FF, none white
+LATIN_LEAD = np.zeros(256, bool)
+LATIN_LEAD[0xC3:0xCA] = True
+PRINTED = np.zeros(256, bool)
+PRINTED[0x21:0x7F] = True
+PRINTED_OR_LEAD = PRINTED.copy()
+PRINTED_OR_LEAD[0xC3:0xE0] = True
+
 
 def _strings(chunks: pa.StringArray) -> list[str]:
     """A list by way of numpy, many times faster than Arrow's own."""
@@ -58,12 +70,33 @@ def _white_ends(chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return starts.to_numpy(zero_copy_only=False), ends.to_numpy(zero_copy_only=False)
 
 
+def _gather(stored: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``stored``, which have these sizes, in another order, and where each one ends."""
+    begins = np.cumsum(sizes, dtype=np.int32) - sizes
+    lengths = sizes[order]
+    upto = np.cumsum(lengths, dtype=np.int32)
+    # a run's entries follow each other: a running number, moved to where the run is stored
+    at = np.repeat(begins[order] - (upto - lengths), lengths)
+    at += np.arange(len(at), dtype=np.int32)
+    return stored[at], upto
+
+
+def _joined(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in a row, and how many each entry has."""
+    return np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int32, len(packed)) // 4
+
+
 class ByteLevelCodec:
-    """Ids of whole texts by the tokenizers library, each distinct chunk encoded once.
+    """Ids of whole texts by the tokenizers library, each distinct piece encoded once.
 
     The byte-level splitting pattern always cuts before a single space that has
     no other white space beside it, so chunks cut there are encoded on their own.
     Texts with other spaces are encoded whole.
+
+    Inside a chunk it always cuts between a letter or digit and a mark or line
+    end, and behind a single line end between printed characters. Pieces cut
+    there are encoded on their own too, but for marks of added tokens, which the
+    library looks for before it splits.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -74,37 +107,90 @@ class ByteLevelCodec:
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.starts_spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.starts_spaced[[i for piece, i in vocabulary.items() if piece.startswith(SPACE_SIGN)]] = True
-        # the pattern cuts between a letter or digit and a mark
-        tails = dict(zip(TAILS, self._encode_chunks(list(TAILS), False)))
-        self.cache = ChunkCache(self._encode_chunks, CACHE_ENTRIES, tails)
+        self.line_end = self._encode_alone(["\n"])[0].ids
+        added = {c for token in self.library.get_added_tokens_decoder().values() for c in token.content}
+        self.cut_before = np.zeros(256, bool)
+        self.cut_before[[ord(c) for c in string.punctuation + "\n" if c not in added]] = True
+        self.cache = ChunkCache(self._encode_chunks, CACHE_ENTRIES)
 
     def _encode_chunks(self, chunks: list[str], spaced: bool) -> list[bytes]:
-        if not spaced:
-            return [np.array(x.ids, "<u4").tobytes() for x in self._encode_alone(chunks)]
+        if spaced:
+            return self._encode_joined(chunks, " ")
+        plain = [c.split() == [c] for c in chunks]
+        joined = iter(self._encode_joined([c for c, p in zip(chunks, plain) if p], "\n"))
+        alone = iter(self._encode_alone([c for c, p in zip(chunks, plain) if not p]))
+        return [next(joined) if p else np.array(next(alone).ids, "<u4").tobytes() for p in plain]
+
+    def _encode_joined(self, chunks: list[str], mark: str) -> list[bytes]:
+        """Ids of chunks without white space at their ends, with a space before them or with none.
+
+        One text of all of them, cut again at the ids that start with a space, as
+        only chunks do, or at the line ends between them.
+        """
         if not chunks:
             return []
-        # one text of all chunks, cut again at the ids that start with a space, as only chunks do
-        ids = np.array(self._encode_alone([" " + " ".join(chunks)])[0].ids, "<u4")
-        cuts = np.flatnonzero(self.starts_spaced[ids]).tolist()
-        if len(cuts) != len(chunks):
-            return [np.array(x.ids, "<u4").tobytes() for x in self._encode_alone([" " + c for c in chunks])]
+        ids = np.array(self._encode_alone([mark + mark.join(chunks)])[0].ids, "<u4")
+        cuts = np.flatnonzero(self.starts_spaced[ids] if mark == " " else ids == self.line_end[0]).tolist()
+        if len(cuts) != len(chunks) or len(self.line_end) != 1:
+            before = " " if mark == " " else ""
+            return [np.array(x.ids, "<u4").tobytes() for x in self._encode_alone([before + c for c in chunks])]
         cuts.append(len(ids))
-        whole = ids.tobytes()
-        return [whole[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
+        whole, left_out = ids.tobytes(), 0 if mark == " " else 1
+        return [whole[4 * (a + left_out) : 4 * b] for a, b in zip(cuts, cuts[1:])]
 
     def _encode_alone(self, texts: list[str]) -> list:
         return self.library.encode_batch_fast(texts, add_special_tokens=False)
 
-    def encode_flat(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    def _begins(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where pieces begin in the UTF-8 bytes of chunks, and the end of the last."""
+        begins = np.zeros(len(data) + 1, bool)
+        begins[bounds] = True
+        marks = np.flatnonzero(self.cut_before[data])
+        marks = marks[marks > 0]
+        left, second = data[marks - 1], data[marks - 2]
+        sign = (second == 0xC3) & ((left == 0x97) | (left == 0xB7))
+        begins[marks[LETTER_OR_DIGIT[left] | (LATIN_LEAD[second] & ~sign)]] = True
+        if self.cut_before[ord("\n")]:
+            lines = np.flatnonzero(data[1:-1] == ord("\n")) + 1
+            begins[lines[PRINTED[data[lines - 1]] & PRINTED_OR_LEAD[data[lines + 1]]] + 1] = True
+        return begins
+
+    def _spaced(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct chunks with a space before them, and how many each has.
+
+        No chunk is empty or has white space at its ends.
+        """
+        if not len(chunks):
+            return np.empty(0, "<u4"), np.empty(0, np.int32)
+        bounds = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset : chunks.offset + len(chunks) + 1]
+        data = np.frombuffer(chunks.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        begins = self._begins(data, bounds)
+        cuts = np.flatnonzero(begins).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data))
+        first = np.cumsum(begins, dtype=np.int32)[bounds[:-1]] - 1
+        leads = np.zeros(len(pieces), bool)
+        leads[first] = True
+        with_space = pieces.filter(pa.array(leads)).dictionary_encode()
+        without = pieces.filter(pa.array(~leads)).dictionary_encode()
+        stored, sizes = _joined(
+            self.cache.spaced(_strings(with_space.dictionary)) + self.cache.unspaced(_strings(without.dictionary))
+        )
+        order = np.empty(len(pieces), np.int32)
+        order[leads] = with_space.indices.to_numpy()
+        order[~leads] = without.indices.to_numpy() + len(with_space.dictionary)
+        ids, upto = _gather(stored, sizes, order)
+        return ids, np.diff(upto[np.r_[first[1:], len(pieces)] - 1], prepend=np.int32(0))
+
+    def encode_flat(self, texts: pa.StringArray, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, ``end`` behind each, and where each begins (and the last ends).
 
         Chunks are cut and numbered by Arrow, so that only the distinct ones of
         these texts are looked up; the ids are gathered by their numbers.
         """
-        n = len(texts)
-        if not n:
+        if not len(texts):
             return np.empty(0, "<u4"), np.zeros(1, np.int64)
-        cut = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        cut = pc.split_pattern(texts, " ")
         flat, bounds = cut.flatten(), cut.offsets.to_numpy()
         numbered = flat.dictionary_encode()
         number, chunks = numbered.indices.to_numpy(), numbered.dictionary
@@ -122,40 +208,47 @@ class ByteLevelCodec:
         inner = kept.copy()
         inner[first] = False
 
-        # ids by place: distinct chunks, distinct first chunks, texts encoded whole, the end
+        # places: distinct chunks, distinct first chunks, texts encoded whole, the end
         asked = np.zeros(len(chunks), bool)
         asked[number[inner]] = True
-        known = self.cache.spaced(_strings(chunks.filter(pa.array(asked))))
         place = (np.cumsum(asked, dtype=np.int32) - 1)[number]
+        inside, inside_sizes = self._spaced(chunks.filter(pa.array(asked)))
         heads = flat.take(pa.array(first[~whole])).dictionary_encode()
-        place[first[~whole]] = len(known) + heads.indices.to_numpy()
-        known += self.cache.unspaced(_strings(heads.dictionary))
-        before = len(known)
-        known += [self._encode_chunks([texts[i]], False)[0] for i in np.flatnonzero(whole)]
-        known.append(end)
+        place[first[~whole]] = len(inside_sizes) + heads.indices.to_numpy()
+        others = self.cache.unspaced(_strings(heads.dictionary))
+        before = len(inside_sizes) + len(others)
+        others += [np.array(self._encode_alone([texts[i].as_py()])[0].ids, "<u4").tobytes() for i in np.flatnonzero(whole)]
+        others.append(end)
+        outside, outside_sizes = _joined(others)
 
         steps = np.where(whole, 1, sizes_of) + 1
         ends = np.cumsum(steps)
-        order = np.full(ends[-1], len(known) - 1, np.int32)
+        the_end = len(inside_sizes) + len(others) - 1
+        order = np.full(ends[-1], the_end, np.int32)
         filled = np.repeat(~whole, steps)
         filled[ends - 1] = False
         order[filled] = place[kept]
-        order[ends[whole] - 2] = np.arange(before, len(known) - 1)
-
-        sizes = np.fromiter(map(len, known), np.int32, len(known)) // 4
-        stored = np.cumsum(sizes, dtype=np.int32) - sizes
-        lengths = sizes[order]
-        upto = np.cumsum(lengths, dtype=np.int32)
-        # each chunk's ids follow each other: a running number, moved to where the chunk is stored
-        at = np.repeat(stored[order] - (upto - lengths), lengths)
-        at += np.arange(len(at), dtype=np.int32)
-        return np.frombuffer(b"".join(known), "<u4")[at], np.r_[0, upto[ends - 1]]
+        order[ends[whole] - 2] = np.arange(before, the_end)
+        ids, upto = _gather(np.r_[inside, outside], np.r_[inside_sizes, outside_sizes], order)
+        return ids, np.r_[0, upto[ends - 1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        ids, starts = self.encode_flat(texts)
+        ids, starts = self.encode_flat(pa.array(texts, pa.string()))
         return [ids[a:b].tobytes() for a, b in zip(starts, starts[1:])]
 
 
+def _text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, pa.StringArray]]:
+    """Slices of a batch with their texts, null as empty, of a bounded number of bytes."""
+    texts = pc.fill_null(batch.column(column), "")
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        done = upto[at - 1] if at else 0
+        size = int(np.searchsorted(upto, done + GROUP_BYTES)) + 1 - at
+        yield batch.slice(at, size), texts.slice(at, size)
+        at += size
+
+
 @lru_cache(maxsize=2)
 def _codec(tokenizer_file: str) -> ByteLevelCodec:
     return ByteLevelCodec(tokenizer_file)
@@ -183,7 +276,7 @@ def write_tokens(
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(tokenizer_file)
         part, row = TaskContext.get().partitionId(), 0
-        for rows, texts in text_groups(batches, "whole"):
+        for rows, texts in (x for batch in batches for x in _text_slices(batch, "whole")):
             ids, begins = codec.encode_flat(texts, end)
             n = len(texts)
             yield pa.RecordBatch.from_arrays(

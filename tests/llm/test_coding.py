@@ -81,6 +81,34 @@ def test_white_space_beside_spaces_is_encoded_in_its_context():
         assert found == [x.ids for x in codec.library.encode_batch(order, add_special_tokens=False)]
 
 
+def test_a_word_is_encoded_once_whatever_marks_and_line_ends_follow():
+    codec = ByteLevelCodec(vocabulary("byte_bpe_50k.json"))
+    given, encode = {True: [], False: []}, codec.cache.encode_many
+
+    def watched(chunks, spaced):
+        given[spaced] += chunks
+        return encode(chunks, spaced)
+
+    codec.cache.encode_many = watched
+    texts = ["a tree, tree. tree*** tree%%% tree's forêt", "a forêt! tree.\nForest forêt.\nForest tree.\nA forêt\nForest"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)]
+    assert got == [x.ids for x in codec.library.encode_batch(texts, add_special_tokens=False)]
+    assert sorted(given[True]) == ["forêt", "tree"]
+    assert len(given[False]) == len(set(given[False]))
+    assert set(given[False]) == {"a", "A", "Forest", ",", ".", "!", "***", "%%%", "'s", ".\n", "\n"}
+
+
+def test_pieces_inside_chunks_equal_the_library():
+    codec = ByteLevelCodec(vocabulary("byte_bpe_50k.json"))
+    texts = [
+        "x don't, we'll'll 'tis x's'table x.'s", "x a×. b÷! é×÷ ×a÷.", "x 3.14, 1_000 v2.\nNext ½. ²,", "x a.\n\nB c.\r\nD e\n\n\nF g.\nÉ",
+        "x a.\n\u00a0b c.\n\u3000d e\u0085\nf g\u2028.\nh", "x a.<|endoftext|>.b c<|endoftext|>,d <|x|>.\n<|endoftext|>\ne", "x e\u0301. 日。\n本. ʰ! ɏ.",
+    ]
+    for order in (texts, texts[::-1], texts + ["x a. b."], []):
+        found = [np.frombuffer(x, "<u4").tolist() for x in codec.encode(order)]
+        assert found == [x.ids for x in codec.library.encode_batch(order, add_special_tokens=False)]
+
+
 def test_token_files(spark, docs_of, tmp_path):
     rows = [(50 - i, t) for i, t in enumerate(TEXTS)] + [(50, "tie b"), (50, "tie a"), (None, "null id")]
     path = token_files.write_tokens(docs_of(rows), vocabulary("byte_bpe_50k.json"), str(tmp_path / "tokens"))
