@@ -49,11 +49,6 @@ class ChunkCache:
     def _find(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of chunks that are not in the younger generation."""
         older, tails = self.older, self.tails
-        if not tails:
-            found = {c: older[c] for c in chunks if c in older}
-            fresh = list(chunks.difference(found))
-            found.update(zip(fresh, self.encode_many(fresh, True)))
-            return found
         found, split, asked = {}, [], set()
         for c in chunks:
             ids = older.get(c)

@@ -20,7 +20,7 @@ from __future__ import annotations
 import string
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepweave.llm.common import ship
-from stepweave.llm.pieces import ChunkCache
 from stepweave.session import _shared_folder
 
 END_ID = 2
 SPACE_SIGN = "\u0120"
 WHITE = "".join(w for w in map(chr, range(0x3001)) if w.isspace())
-# Chunks a worker remembers, some 200 bytes each
-CACHE_ENTRIES = 600_000
+# Pieces a worker remembers, some 60 bytes each, and the most ids that one may have
+CACHE_ENTRIES = 800_000
+CACHE_IDS = 64
 # Texts encoded at a time (one at least)
 GROUP_BYTES = 2_000_000
 ROW_GROUP_BYTES = 16 << 20
@@ -70,9 +70,10 @@ def _white_ends(chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return starts.to_numpy(zero_copy_only=False), ends.to_numpy(zero_copy_only=False)
 
 
-def _gather(stored: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of ``stored``, which have these sizes, in another order, and where each one ends."""
-    begins = np.cumsum(sizes, dtype=np.int32) - sizes
+def _gather(
+    stored: np.ndarray, begins: np.ndarray, sizes: np.ndarray, order: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``stored`` in the given order, and where each one ends."""
     lengths = sizes[order]
     upto = np.cumsum(lengths, dtype=np.int32)
     # a run's entries follow each other: a running number, moved to where the run is stored
@@ -86,6 +87,91 @@ def _joined(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int32, len(packed)) // 4
 
 
+def _utf8(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and where each begins (and the last ends)."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    buffer = texts.buffers()[2]
+    data = np.empty(0, np.uint8) if buffer is None else np.frombuffer(buffer, np.uint8)
+    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+class PieceTable:
+    """Ids of pieces in flat arrays, found by a hash of their bytes; equal bytes decide.
+
+    When it is full, the half that was asked for last stays, and long pieces are
+    not remembered. Sizes and equal hashes change no result.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int):
+        self.encode, self.entries, self.time = encode, max(2, entries), 0
+        self.factors = np.random.default_rng(0).integers(0, 1 << 63, 64, np.uint64) * 2 + 1
+        self.keys, self.ids = pa.array([], pa.string()), np.empty(0, "<u4")
+        self.begins, self.sizes, self.used = (np.empty(0, np.int32) for _ in range(3))
+        # sorted, each with its row
+        self.hashes, self.rows = np.empty(0, np.uint64), np.empty(0, np.int32)
+
+    def _hashes(self, pieces: pa.StringArray) -> np.ndarray:
+        data, bounds = _utf8(pieces)
+        at = np.arange(len(data), dtype=np.int32) - np.repeat(bounds[:-1], np.diff(bounds))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + 1) * self.factors[at % len(self.factors)], out=sums[1:])
+        return sums[bounds[1:]] - sums[bounds[:-1]]
+
+    def find(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct pieces, and how many each has."""
+        if not len(pieces):
+            return np.empty(0, "<u4"), np.empty(0, np.int32)
+        hashes = self._hashes(pieces)
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        at = np.searchsorted(self.hashes, ordered)
+        hit = np.zeros(len(pieces), bool)
+        inside = at < len(self.hashes)
+        hit[inside] = self.hashes[at[inside]] == ordered[inside]
+        rows = np.full(len(pieces), -1, np.int32)
+        rows[order[hit]] = self.rows[at[hit]]
+        asked = np.flatnonzero(rows >= 0)
+        same = pc.equal(self.keys.take(pa.array(rows[asked])), pieces.take(pa.array(asked)))
+        rows[asked[~same.to_numpy(zero_copy_only=False)]] = -1
+
+        missing = np.flatnonzero(rows < 0)
+        rows[missing] = np.arange(len(self.keys), len(self.keys) + len(missing), dtype=np.int32)
+        if len(missing):
+            self._add(pieces.take(pa.array(missing)))
+            # where they go among the sorted hashes; of equal ones the first is found again
+            new = ~hit
+            new[1:] &= ordered[1:] != ordered[:-1]
+            self.hashes = np.insert(self.hashes, at[new], ordered[new])
+            self.rows = np.insert(self.rows, at[new], rows[order[new]])
+        self.time += 1
+        self.used[rows] = self.time
+        ids, _ = _gather(self.ids, self.begins, self.sizes, rows)
+        sizes = self.sizes[rows]
+        if len(missing) and (len(self.keys) > self.entries or self.sizes[rows[missing]].max() > CACHE_IDS):
+            self._forget()
+        return ids, sizes
+
+    def _add(self, pieces: pa.StringArray) -> None:
+        ids, sizes = _joined(self.encode(_strings(pieces)))
+        begins = np.cumsum(sizes, dtype=np.int32) - sizes + np.int32(len(self.ids))
+        self.keys = pa.concat_arrays([self.keys, pieces])
+        self.ids, self.begins = np.r_[self.ids, ids], np.r_[self.begins, begins]
+        self.sizes, self.used = np.r_[self.sizes, sizes], np.r_[self.used, np.zeros_like(sizes)]
+
+    def _forget(self) -> None:
+        kept = np.flatnonzero(self.sizes <= CACHE_IDS)
+        if len(kept) > self.entries:
+            kept = np.sort(kept[np.argsort(self.used[kept], kind="stable")[-(self.entries // 2) :]])
+        row_of = np.full(len(self.keys), -1, np.int32)
+        row_of[kept] = np.arange(len(kept), dtype=np.int32)
+        self.keys = self.keys.take(pa.array(kept))
+        self.ids, upto = _gather(self.ids, self.begins, self.sizes, kept)
+        self.sizes, self.used = self.sizes[kept], self.used[kept]
+        self.begins = upto - self.sizes
+        rows = row_of[self.rows]
+        self.hashes, self.rows = self.hashes[rows >= 0], rows[rows >= 0]
+
+
 class ByteLevelCodec:
     """Ids of whole texts by the tokenizers library, each distinct piece encoded once.
 
@@ -111,7 +197,8 @@ class ByteLevelCodec:
         added = {c for token in self.library.get_added_tokens_decoder().values() for c in token.content}
         self.cut_before = np.zeros(256, bool)
         self.cut_before[[ord(c) for c in string.punctuation + "\n" if c not in added]] = True
-        self.cache = ChunkCache(self._encode_chunks, CACHE_ENTRIES)
+        self.spaced = PieceTable(lambda pieces: self._encode_chunks(pieces, True), CACHE_ENTRIES)
+        self.unspaced = PieceTable(lambda pieces: self._encode_chunks(pieces, False), CACHE_ENTRIES // 8)
 
     def _encode_chunks(self, chunks: list[str], spaced: bool) -> list[bytes]:
         if spaced:
@@ -155,16 +242,14 @@ class ByteLevelCodec:
             begins[lines[PRINTED[data[lines - 1]] & PRINTED_OR_LEAD[data[lines + 1]]] + 1] = True
         return begins
 
-    def _spaced(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    def _chunks_inside(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of distinct chunks with a space before them, and how many each has.
 
         No chunk is empty or has white space at its ends.
         """
         if not len(chunks):
             return np.empty(0, "<u4"), np.empty(0, np.int32)
-        bounds = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset : chunks.offset + len(chunks) + 1]
-        data = np.frombuffer(chunks.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
-        bounds = bounds - bounds[0]
+        data, bounds = _utf8(chunks)
         begins = self._begins(data, bounds)
         cuts = np.flatnonzero(begins).astype(np.int32)
         pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data))
@@ -173,13 +258,13 @@ class ByteLevelCodec:
         leads[first] = True
         with_space = pieces.filter(pa.array(leads)).dictionary_encode()
         without = pieces.filter(pa.array(~leads)).dictionary_encode()
-        stored, sizes = _joined(
-            self.cache.spaced(_strings(with_space.dictionary)) + self.cache.unspaced(_strings(without.dictionary))
-        )
+        ids, sizes = self.spaced.find(with_space.dictionary)
+        more, more_sizes = self.unspaced.find(without.dictionary)
+        stored, sizes = np.r_[ids, more], np.r_[sizes, more_sizes]
         order = np.empty(len(pieces), np.int32)
         order[leads] = with_space.indices.to_numpy()
         order[~leads] = without.indices.to_numpy() + len(with_space.dictionary)
-        ids, upto = _gather(stored, sizes, order)
+        ids, upto = _gather(stored, np.cumsum(sizes, dtype=np.int32) - sizes, sizes, order)
         return ids, np.diff(upto[np.r_[first[1:], len(pieces)] - 1], prepend=np.int32(0))
 
     def encode_flat(self, texts: pa.StringArray, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
@@ -212,24 +297,24 @@ class ByteLevelCodec:
         asked = np.zeros(len(chunks), bool)
         asked[number[inner]] = True
         place = (np.cumsum(asked, dtype=np.int32) - 1)[number]
-        inside, inside_sizes = self._spaced(chunks.filter(pa.array(asked)))
+        inside, inside_sizes = self._chunks_inside(chunks.filter(pa.array(asked)))
         heads = flat.take(pa.array(first[~whole])).dictionary_encode()
         place[first[~whole]] = len(inside_sizes) + heads.indices.to_numpy()
-        others = self.cache.unspaced(_strings(heads.dictionary))
-        before = len(inside_sizes) + len(others)
-        others += [np.array(self._encode_alone([texts[i].as_py()])[0].ids, "<u4").tobytes() for i in np.flatnonzero(whole)]
+        leading, leading_sizes = self.unspaced.find(heads.dictionary)
+        others = [np.array(self._encode_alone([texts[i].as_py()])[0].ids, "<u4").tobytes() for i in np.flatnonzero(whole)]
         others.append(end)
         outside, outside_sizes = _joined(others)
+        stored, stored_sizes = np.r_[inside, leading, outside], np.r_[inside_sizes, leading_sizes, outside_sizes]
 
         steps = np.where(whole, 1, sizes_of) + 1
         ends = np.cumsum(steps)
-        the_end = len(inside_sizes) + len(others) - 1
+        the_end = len(stored_sizes) - 1
         order = np.full(ends[-1], the_end, np.int32)
         filled = np.repeat(~whole, steps)
         filled[ends - 1] = False
         order[filled] = place[kept]
-        order[ends[whole] - 2] = np.arange(before, the_end)
-        ids, upto = _gather(np.r_[inside, outside], np.r_[inside_sizes, outside_sizes], order)
+        order[ends[whole] - 2] = np.arange(the_end - len(others) + 1, the_end)
+        ids, upto = _gather(stored, np.cumsum(stored_sizes, dtype=np.int32) - stored_sizes, stored_sizes, order)
         return ids, np.r_[0, upto[ends - 1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:

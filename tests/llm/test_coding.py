@@ -81,15 +81,15 @@ def test_white_space_beside_spaces_is_encoded_in_its_context():
         assert found == [x.ids for x in codec.library.encode_batch(order, add_special_tokens=False)]
 
 
-def test_a_word_is_encoded_once_whatever_marks_and_line_ends_follow():
-    codec = ByteLevelCodec(vocabulary("byte_bpe_50k.json"))
-    given, encode = {True: [], False: []}, codec.cache.encode_many
+def test_a_word_is_encoded_once_whatever_marks_and_line_ends_follow(monkeypatch):
+    given, encode = {True: [], False: []}, ByteLevelCodec._encode_chunks
 
-    def watched(chunks, spaced):
+    def watched(self, chunks, spaced):
         given[spaced] += chunks
-        return encode(chunks, spaced)
+        return encode(self, chunks, spaced)
 
-    codec.cache.encode_many = watched
+    monkeypatch.setattr(ByteLevelCodec, "_encode_chunks", watched)
+    codec = ByteLevelCodec(vocabulary("byte_bpe_50k.json"))
     texts = ["a tree, tree. tree*** tree%%% tree's forêt", "a forêt! tree.\nForest forêt.\nForest tree.\nA forêt\nForest"]
     got = [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)]
     assert got == [x.ids for x in codec.library.encode_batch(texts, add_special_tokens=False)]
@@ -109,6 +109,20 @@ def test_pieces_inside_chunks_equal_the_library():
         assert found == [x.ids for x in codec.library.encode_batch(order, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("entries, factor", [(3, None), (10, 0), (100_000, 0), (100_000, None)])
+def test_forgotten_pieces_and_equal_hashes_change_nothing(monkeypatch, entries, factor):
+    monkeypatch.setattr(token_files, "CACHE_ENTRIES", entries)
+    codec = ByteLevelCodec(vocabulary("byte_bpe_50k.json"))
+    if factor is not None:
+        for table in (codec.spaced, codec.unspaced):
+            table.factors[:] = factor
+    texts = ["one two, three four.", "five six\none two", "two seven " + "x" * 900 + " eight, nine! one", "y" * 900, ""] * 2
+    for batch in [[t] for t in texts] + [texts, texts[::-1]]:
+        found = [np.frombuffer(x, "<u4").tolist() for x in codec.encode(batch)]
+        assert found == [x.ids for x in codec.library.encode_batch(batch, add_special_tokens=False)]
+    assert codec.spaced.sizes.max() <= token_files.CACHE_IDS and len(codec.spaced.keys) <= max(entries, 2)
+
+
 def test_token_files(spark, docs_of, tmp_path):
     rows = [(50 - i, t) for i, t in enumerate(TEXTS)] + [(50, "tie b"), (50, "tie a"), (None, "null id")]
     path = token_files.write_tokens(docs_of(rows), vocabulary("byte_bpe_50k.json"), str(tmp_path / "tokens"))
