@@ -47,6 +47,8 @@ NEIGHBOURS = 15
 BLOCK = 64
 PRIOR_WEIGHT = 0.2
 CUT = 0.7
+# words whose features a task remembers, before the last text's
+MAX_KNOWN = 500_000
 # score without any labelled document
 UNKNOWN = 0.5
 
@@ -272,9 +274,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 words = words_of(x)
                 hits = list(map(known.get, words))
                 if None in hits:
-                    if len(known) > 500_000:
+                    fresh = {w for w, h in zip(words, hits) if h is None}
+                    if len(known) > MAX_KNOWN:
+                        # the text's other words go too, so all of them are looked up again
                         known.clear()
-                    for word in {w for w, h in zip(words, hits) if h is None}:
+                        fresh = set(words)
+                    for word in fresh:
                         known[word] = tuple(names[f] for f in features_of(word) if f in names)
                     hits = list(map(known.__getitem__, words))
                 counts = Counter(i for h in hits if h for i in h)

@@ -59,6 +59,17 @@ def test_held_out_documents(spark, docs_of, model):
     assert mean == pytest.approx(np.mean([y for *_, y in rows]), abs=0.05)
 
 
+def test_one_task_of_more_words_than_it_remembers(spark, docs_of, model):
+    size = 20_000
+    rows = [(i, "vile " + " ".join(f"z{j}z" for j in range(i * size, (i + 1) * size))) for i in range(27)] + [(99, "vile vile")]
+    assert 26 * size > 500_000
+    got = toxicity.score(docs_of(rows, partitions=1), model).select("doc.doc_id", "score", "evidence").collect()
+    assert sorted(r["doc_id"] for r in got) == [i for i, _ in rows]
+    near, sims = model.nearest(*model.vector({model.names[b"vile"]: 1}))
+    want = model.score(model.vote(near, sims))
+    assert all(r["evidence"] for r in got) and [r["score"] for r in got if r["doc_id"] < 99] == [pytest.approx(want)] * 27
+
+
 def test_train_reads_labels(spark, docs_of):
     rows = corpus(200)
     docs = docs_of([(i, t) for i, t, _ in rows] + [(0, rows[0][1]), (999, None)])
