@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,20 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator > 0, numerator / denominator)
 
 
+def exact_sum(value: Column, window: WindowSpec | None = None) -> Column:
+    """Sum of doubles as decimals of 18 places, so it does not depend on the order of the rows.
+
+    Where such a decimal does not give back a value (very large or small ones,
+    infinity), or the total is too large for one, it is the plain sum.
+    """
+    def agg(one: Column) -> Column:
+        return one if window is None else one.over(window)
+
+    exact = value.try_cast("decimal(38,18)")
+    held = agg(F.count(F.when(exact.cast("double") == value, 1))) == agg(F.count(value))
+    return F.coalesce(F.when(held, agg(F.try_sum(exact)).cast("double")), agg(F.sum(value)))
+
+
 def hours(n: float) -> Column:
     """Day-time interval of ``n`` hours, exact to the second."""
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(int(round(n * 3600))))

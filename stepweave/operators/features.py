@@ -9,10 +9,10 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from graphlib import CycleError, TopologicalSorter
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from stepweave.functions.scalars import clip, number, offset_key, order_key, ratio
+from stepweave.functions.scalars import clip, exact_sum, number, offset_key, order_key, ratio
 from stepweave.functions.skew import skew_join
 from stepweave.operators.grid import GridConfig, events_in_steps, grid_steps
 from stepweave.operators.split import attach_split
@@ -62,7 +62,7 @@ class Rule:
     can merge from partial results; ``order`` is a number that sorts events by
     time, ``weight`` is set for rows with a duration. A rule with ``running``
     counts from the window start on: that aggregate takes its step values over
-    all steps so far, and its null steps are filled.
+    all steps so far, and its null steps are filled; ``F.sum`` adds exactly there.
     """
 
     build: Callable[..., Column]
@@ -82,8 +82,8 @@ RULES: Rules = {
     "mean": Rule(lambda value, order, weight: F.avg(value)),
     "max": Rule(lambda value, order, weight: F.max(value)),
     "min": Rule(lambda value, order, weight: F.min(value)),
-    "sum": Rule(lambda value, order, weight: F.sum(value)),
-    "cumulative": Rule(lambda value, order, weight: F.sum(value), running=F.sum),
+    "sum": Rule(lambda value, order, weight: exact_sum(value)),
+    "cumulative": Rule(lambda value, order, weight: exact_sum(value), running=F.sum),
     "weighted_mean": Rule(lambda value, order, weight: F.try_divide(F.sum(value * weight), F.sum(weight))),
 }
 
@@ -488,11 +488,15 @@ def raw_state(
         aggs.append(F.coalesce(found, default).alias(table.name))
     wide = stacked.groupBy("stay_id", "step_index").agg(*aggs)
     so_far = Window.partitionBy("stay_id").orderBy("step_index").rowsBetween(Window.unboundedPreceding, 0)
-    running = {s.name: rules[s.agg].running(F.col(s.name)).over(so_far) for s in events if rules[s.agg].running}
+    running = {s.name: _running(rules[s.agg].running, F.col(s.name), so_far) for s in events if rules[s.agg].running}
     wide = wide.withColumns(running) if running else wide
     return wide.where(F.col("step_start").isNotNull())
 
 
+def _running(rule: Callable[[Column], Column], value: Column, so_far: WindowSpec) -> Column:
+    return exact_sum(value, so_far) if rule is F.sum else rule(value).over(so_far)
+
+
 def impute_state(
     wide: DataFrame, registry: Registry, medians: Mapping[str, float | None] | None = None, impute: bool = True
 ) -> DataFrame:

@@ -21,6 +21,20 @@ def test_bins_are_right_closed_and_missing_is_zero(spark):
     assert got == [1, 1, 2, 2, 3, 3, 4, 0, 0, 0, 0]
 
 
+def test_exact_sum_in_any_order(spark):
+    for values in ([0.1, 0.2, 0.3, 39.41], [39.41, 0.3, 0.2, 0.1], [0.3, None, 39.41, 0.1, 0.2]):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").coalesce(1)
+        assert df.agg(scalars.exact_sum(F.col("v"))).first()[0] == 40.01
+        upto = Window.partitionBy(F.lit(1)).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+        assert df.select("i", scalars.exact_sum(F.col("v"), upto).alias("s")).orderBy("i").collect()[-1].s == 40.01
+
+
+def test_exact_sum_of_values_no_decimal_holds(spark):
+    for values in ([1e300, 1.0], [1e-30, 2e-30], [math.inf, 1.0], [9e19, 9e19], [None, None], []):
+        df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
+        assert df.agg(scalars.exact_sum(F.col("v"))).first()[0] == df.agg(F.sum("v")).first()[0]
+
+
 def test_action_codes_round_trip_and_labels(spark):
     df = spark.range(25).select(F.col("id").cast("int").alias("a"))
     first, second = scalars.decode_action(F.col("a"))

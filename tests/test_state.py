@@ -77,6 +77,13 @@ def test_running_total_includes_time_before_the_first_step(spark):
     assert [r["total"] for r in got[:3]] == [505.0, 512.0, 512.0]
 
 
+@pytest.mark.parametrize("times", [(-20, -19, -18), (-20, -19, -14), (-20, -14, -13), (-14, -20, -8), (-8, -14, -20)])
+def test_running_total_does_not_depend_on_the_steps_of_its_events(spark, times):
+    spec = FeatureSpec("total", "chart", (1,), "cumulative", ft.ZERO, (0, 50), (0, 1000), check_range=False)
+    got = state(spark, [spec], [(1, v, t) for v, t in zip((0.1, 0.2, 0.3), times)])
+    assert got[-1]["total"] == 0.6
+
+
 def test_derived_ratio_uses_imputed_parents(spark):
     a = FeatureSpec("a", "chart", (1,), "last", ft.FORWARD_FILL, (0, 100), (0, 50), 10)
     b = FeatureSpec("b", "chart", (2,), "last", ft.FORWARD_FILL, (0, 10), (0, 5), 2)
